@@ -1,0 +1,24 @@
+"""Size checks that decide between a one-task and a split execution."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+
+def peak_group_rows(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group. One pruned scan; only a single number reaches the driver."""
+    peak = df.groupBy(*keys).count().agg(F.max("count").alias("peak")).first()
+    return int(peak["peak"] or 0)
+
+
+def chunk_width(
+    df: DataFrame, keys: list[str], order: str, target_rows: int = 2_000_000, probe_width: int = 60_000
+) -> int | None:
+    """Width of order-value chunks that keeps every (keys, chunk) near ``target_rows``; None = no split needed.
+
+    The probe counts rows per (keys, probe chunk); a hot group gets narrower chunks, down to one order value.
+    """
+    if peak_group_rows(df, keys) <= target_rows:
+        return None
+    probe = df.select(*keys, F.floor(F.col(order) / probe_width).alias("_probe"))
+    peak = peak_group_rows(probe, [*keys, "_probe"])
+    return max(1, min(probe_width * 60, probe_width * target_rows // max(peak, 1)))
