@@ -37,7 +37,9 @@ def _same(keys: list[str], left: str, right: str) -> Column:
 def _ranked(src: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     counts = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     cuts = counts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.percentile_approx("_v", [i / SLICES for i in range(1, SLICES)], F.lit(1000)).alias("_cuts")
+        F.percentile_approx("_v", [i / SLICES for i in range(1, SLICES)], F.lit(1000)).alias("_cuts"),
+        # Reading the count keeps this branch's plan equal to the others, so one exchange serves them all.
+        F.max("_c").alias("_peak"),
     )
     sliced = counts.join(cuts, _same(keys, "{}", "_k_{}")).select(
         *keys, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_slice")

@@ -12,11 +12,17 @@ from ..functions.arrays import array_median
 from ..functions.codes import STATUS_LABELS, code_body, commodity_of, delivery_month, is_contract_code, month_index, translate
 from ..operators.quantiles import exact_quantiles
 
-DAY = Window.partitionBy("commodity", "trade_date")
-HISTORY = Window.partitionBy("commodity", "contract").orderBy("trade_date")
 QUANTILES = {"q90": 0.90, "q95": 0.95, "q99": 0.99}
 
 
+def _day():
+    return Window.partitionBy("commodity", "trade_date")
+
+
+def _history():
+    return Window.partitionBy("commodity", "contract").orderBy("trade_date")
+
+
 def standardize_bars(raw: DataFrame, symbols: list[str], sequence: list[str]) -> DataFrame:
     """Raw vendor rows to the nine fixed bar columns; ``sequence`` orders duplicate rows (last one wins)."""
     prices = ["open", "high", "low", "close", "pre_close", "pre_settle", "vol"]
@@ -43,7 +49,7 @@ def standardize_bars(raw: DataFrame, symbols: list[str], sequence: list[str]) ->
 
 
 def with_previous_close(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("pre_close", F.lag("close").over(HISTORY))
+    return bars.withColumn("pre_close", F.lag("close").over(_history()))
 
 
 def contract_bounds(history: DataFrame) -> DataFrame:
@@ -58,34 +64,49 @@ def contract_meta(bars: DataFrame, bounds: DataFrame) -> DataFrame:
     ).withColumn("delivery_month", delivery_month(F.col("contract")))
 
 
+def with_lifetime(bars: DataFrame) -> DataFrame:
+    """Listing bounds from the bars themselves, for inputs that hold the full history: no second scan, no join."""
+    whole = Window.partitionBy("commodity", "contract")
+    return bars.withColumns({
+        "listed_date": F.min("trade_date").over(whole), "last_trade_date": F.max("trade_date").over(whole),
+    })
+
+
 def attach_references(bars: DataFrame) -> DataFrame:
-    ranked = DAY.orderBy(F.col("volume").desc_nulls_last(), "contract")
-    out = bars.withColumn("main_reference_contract", F.first("contract").over(ranked))
+    ranked = _day().orderBy(F.col("volume").desc_nulls_last(), "contract")
+    return bars.withColumn("main_reference_contract", F.first("contract").over(ranked))
+
+
+def reference_changes(referenced: DataFrame) -> DataFrame:
+    """One row per commodity-day: its main contract and whether it differs from the previous day's."""
     by_day = Window.partitionBy("commodity").orderBy("trade_date")
-    changes = out.groupBy("commodity", "trade_date").agg(
-        F.max("main_reference_contract").alias("_main")
-    ).select(
-        "commodity", "trade_date",
-        (~F.col("_main").eqNullSafe(F.lag("_main").over(by_day))).alias("main_reference_changed_today"),
+    return referenced.groupBy("commodity", "trade_date").agg(
+        F.max("main_reference_contract").alias("main_reference_contract")
+    ).withColumn(
+        "main_reference_changed_today",
+        ~F.col("main_reference_contract").eqNullSafe(F.lag("main_reference_contract").over(by_day)),
     )
-    return out.join(changes, ["commodity", "trade_date"], "left")
 
 
 def _holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def assign_status(bars: DataFrame, meta: DataFrame, cfg: DailyConfig = DailyConfig()) -> DataFrame:
-    """Waterfall of sample statuses; the last two rules look at statuses as they stood one rule earlier."""
-    recent = HISTORY.rowsBetween(-cfg.rolling_rows, -1)
-    earlier = HISTORY.rowsBetween(Window.unboundedPreceding, -1)
+def assign_status(bars: DataFrame, meta: DataFrame | None, cfg: DailyConfig = DailyConfig()) -> DataFrame:
+    """Waterfall of sample statuses; the last two rules look at statuses as they stood one rule earlier.
+
+    ``meta`` supplies the listing bounds; None means the bars already carry them.
+    """
+    recent = _history().rowsBetween(-cfg.rolling_rows, -1)
+    earlier = _history().rowsBetween(Window.unboundedPreceding, -1)
     c = F.col
     missing = c("open").isNull() | c("high").isNull() | c("low").isNull() | c("close").isNull() | c("pre_close").isNull()
     broken = (
         (c("high") < c("low")) | (c("open") < c("low")) | (c("open") > c("high")) | (c("close") < c("low"))
         | (c("close") > c("high")) | (c("pre_close") <= 0) | (c("volume") < 0)
     )
-    df = bars.join(meta, ["commodity", "contract"], "left").withColumns({
+    df = bars if meta is None else bars.join(meta, ["commodity", "contract"], "left")
+    df = df.withColumns({
         "observed_history_count": F.count("trade_date").over(recent),
         "recent_active_days": F.coalesce(F.sum(F.when(c("volume") > 0, 1).otherwise(0)).over(recent), F.lit(0)),
     })
@@ -106,8 +127,8 @@ def assign_status(bars: DataFrame, meta: DataFrame, cfg: DailyConfig = DailyConf
         (c("_own") == "valid") & (c("prior_valid_count") < cfg.min_samples), "invalid_insufficient_history"
     ).otherwise(c("_own")))
     df = df.withColumns({
-        "main_reference_status": F.max(F.when(c("contract") == c("main_reference_contract"), c("_settled"))).over(DAY),
-        "analyzable_count": F.sum(F.when(c("_settled") == "valid", 1).otherwise(0)).over(DAY),
+        "main_reference_status": F.max(F.when(c("contract") == c("main_reference_contract"), c("_settled"))).over(_day()),
+        "analyzable_count": F.sum(F.when(c("_settled") == "valid", 1).otherwise(0)).over(_day()),
     })
     weak_peer = (
         c("main_reference_contract").isNull() | ~c("main_reference_status").eqNullSafe("valid")
@@ -121,7 +142,7 @@ def assign_status(bars: DataFrame, meta: DataFrame, cfg: DailyConfig = DailyConf
 def active_ranked(df: DataFrame, cfg: DailyConfig = DailyConfig()) -> DataFrame:
     """Adds ``is_active``: among the day's most traded valid contracts."""
     eligible = _holds((F.col("sample_status") == "valid") & (F.col("volume") > 0))
-    order = DAY.orderBy(F.col("_eligible").desc(), F.col("volume").desc_nulls_last(), "contract")
+    order = _day().orderBy(F.col("_eligible").desc(), F.col("volume").desc_nulls_last(), "contract")
     return df.withColumn("_eligible", eligible).withColumn(
         "is_active", F.col("_eligible") & (F.row_number().over(order) <= cfg.active_limit)
     ).drop("_eligible")
@@ -140,7 +161,7 @@ def same_day_peers(df: DataFrame, cfg: DailyConfig = DailyConfig()) -> DataFrame
         / F.nullif(c("close"), F.lit(0.0)),
     })
     member = F.struct("contract", "high", "low", c("volume").cast("double").alias("volume"), "range_pct")
-    df = df.withColumn("_active", F.collect_list(F.when(c("is_active"), member)).over(DAY))
+    df = df.withColumn("_active", F.collect_list(F.when(c("is_active"), member)).over(_day()))
     df = df.withColumn("_peers", F.filter("_active", lambda p: p["contract"] != c("contract")))
     df = df.withColumns({
         "active_contract_count": F.size("_active"),
@@ -165,11 +186,11 @@ def same_day_peers(df: DataFrame, cfg: DailyConfig = DailyConfig()) -> DataFrame
 def leave_one_out_gap(df: DataFrame, value: str) -> DataFrame:
     """value - median(value of the other contracts that day), and its positive part."""
     c = F.col
-    order = DAY.orderBy(c(value).asc_nulls_last(), "contract")
-    df = df.withColumns({"_r": F.row_number().over(order), "_m": F.count(value).over(DAY) - 1})
+    order = _day().orderBy(c(value).asc_nulls_last(), "contract")
+    df = df.withColumns({"_r": F.row_number().over(order), "_m": F.count(value).over(_day()) - 1})
     lo, hi = F.floor((c("_m") + 1) / 2), F.floor(c("_m") / 2) + 1
     df = df.withColumns({
-        f"_v{i}": F.max(F.when(c("_r") == pos, c(value))).over(DAY)
+        f"_v{i}": F.max(F.when(c("_r") == pos, c(value))).over(_day())
         for i, pos in enumerate((lo, lo + 1, hi, hi + 1))
     })
     others = (F.when(lo < c("_r"), c("_v0")).otherwise(c("_v1")) + F.when(hi < c("_r"), c("_v2")).otherwise(c("_v3"))) / 2
@@ -265,7 +286,7 @@ def score(df: DataFrame) -> DataFrame:
     return df.withColumn("candidate_level", level)
 
 
-def screen(bars: DataFrame, meta: DataFrame, cfg: DailyConfig = DailyConfig()) -> DataFrame:
+def screen(bars: DataFrame, meta: DataFrame | None, cfg: DailyConfig = DailyConfig()) -> DataFrame:
     """The whole chain from bars to scored contract-days."""
     return score(history_metrics(same_day_peers(assign_status(attach_references(bars), meta, cfg), cfg), cfg))
 
@@ -323,13 +344,13 @@ PEER_DISPLAY = ["contract", "volume", "high", "low", "close", "range_pct", "raw_
 def peer_display(samples: DataFrame, cfg: DailyConfig = DailyConfig()) -> DataFrame:
     """Each sample with its display rows: the day's active set, preceded by the sample itself when absent."""
     c = F.col
-    order = DAY.orderBy(c("_eligible").desc(), c("volume").desc_nulls_last(), "contract")
+    order = _day().orderBy(c("_eligible").desc(), c("volume").desc_nulls_last(), "contract")
     ranked = samples.withColumn("_eligible", _holds((c("sample_status") == "valid") & (c("volume") > 0))).withColumn(
         "_rank", F.row_number().over(order)
     )
     active = c("_eligible") & (c("_rank") <= cfg.active_limit)
     row = F.struct(c("_rank").alias("rank"), *PEER_DISPLAY)
-    with_set = ranked.withColumn("_set", F.array_sort(F.collect_list(F.when(active, row)).over(DAY)))
+    with_set = ranked.withColumn("_set", F.array_sort(F.collect_list(F.when(active, row)).over(_day())))
     own = F.array(F.struct(F.lit(0).alias("rank"), *PEER_DISPLAY))
     shown = F.when(active, c("_set")).otherwise(F.concat(own, c("_set")))
     return with_set.withColumn("peer_rows", F.transform(shown, lambda p: F.struct(

@@ -19,7 +19,10 @@ def q6(*names: str) -> str:
     return ", ".join(f"round({n} + 1e-9::double, 6) as {n}" for n in names)
 
 
-DATE = F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date")
+def _date():
+    return F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date")
+
+
 QDATE = "strftime(trade_date, '%Y-%m-%d') as trade_date"
 
 
@@ -27,13 +30,8 @@ def _bars(spark, d):
     return P.with_previous_close(daily_bars(spark, d))
 
 
-def _meta(bars: DataFrame) -> DataFrame:
-    return P.contract_meta(bars, P.contract_bounds(bars))
-
-
 def _status(spark, d):
-    bars = _bars(spark, d)
-    return P.assign_status(P.attach_references(bars), _meta(bars))
+    return P.assign_status(P.attach_references(P.with_lifetime(_bars(spark, d))), None)
 
 
 def _peers(spark, d):
@@ -191,13 +189,16 @@ gaps as (select commodity, cast(abs((cast(substr(contract, 3, 2) as int) * 12 +
    - (cast(substr(main_reference_contract, 3, 2) as int) * 12 + cast(substr(main_reference_contract, 5, 2) as int))) as bigint)
    as gap_months from suspects)"""
 
-ID = ["commodity", "contract", DATE]
+def _id():
+    return ["commodity", "contract", _date()]
+
+
 QID = f"commodity, contract, {QDATE}"
 
 
 def _top_rank(spark, d):
     df = P.active_ranked(_status(spark, d)).filter("is_active")
-    return df.select(*ID, F.col("volume"))
+    return df.select(*_id(), F.col("volume"))
 
 
 def _status_counts(spark, d):
@@ -218,38 +219,38 @@ QUERIES = {
     "src_02_contract_bounds": lambda s, d: P.contract_bounds(daily_bars(s, d)).select(
         "commodity", "contract", F.date_format("listed_date", "yyyy-MM-dd").alias("listed_date"),
         F.date_format("last_trade_date", "yyyy-MM-dd").alias("last_trade_date")),
-    "prj_05_previous_close": lambda s, d: _bars(s, d).select(*ID, *r6("close", "pre_close")),
-    "prj_07_contract_meta": lambda s, d: _meta(_bars(s, d)).select(
+    "prj_05_previous_close": lambda s, d: _bars(s, d).select(*_id(), *r6("close", "pre_close")),
+    "prj_07_contract_meta": lambda s, d: P.contract_meta(_bars(s, d), P.contract_bounds(_bars(s, d))).select(
         "commodity", "contract", "delivery_month", F.datediff("last_trade_date", "listed_date").cast("bigint").alias("span_days")),
-    "prj_08_range_extreme": lambda s, d: _peers(s, d).select(*ID, *r6("range_pct", "extreme_pct")),
-    "top_03_main_reference": lambda s, d: P.attach_references(_bars(s, d)).select(*ID, "main_reference_contract"),
-    "win_01_main_changed": lambda s, d: P.attach_references(_bars(s, d)).select(
-        "commodity", DATE, "main_reference_changed_today").distinct(),
+    "prj_08_range_extreme": lambda s, d: _peers(s, d).select(*_id(), *r6("range_pct", "extreme_pct")),
+    "top_03_main_reference": lambda s, d: P.attach_references(_bars(s, d)).select(*_id(), "main_reference_contract"),
+    "win_01_main_changed": lambda s, d: P.reference_changes(P.attach_references(_bars(s, d))).select(
+        "commodity", _date(), "main_reference_changed_today"),
     "win_02_recent_activity": lambda s, d: _status(s, d).select(
-        *ID, F.col("observed_history_count").cast("bigint").alias("observed_history_count"),
+        *_id(), F.col("observed_history_count").cast("bigint").alias("observed_history_count"),
         F.col("recent_active_days").cast("bigint").alias("recent_active_days")),
     "win_03_prior_valid_count": lambda s, d: _status(s, d).select(
-        *ID, F.col("prior_valid_count").cast("bigint").alias("prior_valid_count")),
-    "rul_01_sample_status": lambda s, d: _status(s, d).select(*ID, "sample_status"),
+        *_id(), F.col("prior_valid_count").cast("bigint").alias("prior_valid_count")),
+    "rul_01_sample_status": lambda s, d: _status(s, d).select(*_id(), "sample_status"),
     "agg_03_analyzable_count": lambda s, d: _status(s, d).select(
-        "commodity", DATE, F.col("analyzable_count").cast("bigint").alias("analyzable_count")).distinct(),
+        "commodity", _date(), F.col("analyzable_count").cast("bigint").alias("analyzable_count")).distinct(),
     "joi_03_main_reference_status": _status_counts,
     "top_01_active_contracts": _top_rank,
     "agg_04_peer_medians": lambda s, d: _peers(s, d).select(
-        *ID, F.col("active_peer_count").cast("bigint").alias("active_peer_count"),
+        *_id(), F.col("active_peer_count").cast("bigint").alias("active_peer_count"),
         *r6("peer_high_median", "peer_low_median", "peer_volume_median", "peer_range_median")),
     "rul_02_structure_residual": lambda s, d: _peers(s, d).select(
-        *ID, *r6("raw_structure_residual", "excess_structure_residual", "normalized_structure_residual")),
-    "rul_03_uniqueness_gap": lambda s, d: _peers(s, d).select(*ID, *r6("raw_uniqueness_gap", "uniqueness_gap")),
-    "win_04_rolling_quantiles": lambda s, d: P.history_metrics(_peers(s, d)).select(*ID, *r6(*[
+        *_id(), *r6("raw_structure_residual", "excess_structure_residual", "normalized_structure_residual")),
+    "rul_03_uniqueness_gap": lambda s, d: _peers(s, d).select(*_id(), *r6("raw_uniqueness_gap", "uniqueness_gap")),
+    "win_04_rolling_quantiles": lambda s, d: P.history_metrics(_peers(s, d)).select(*_id(), *r6(*[
         f"{n}_{q}" for n in ("range", "extreme", "structure", "uniqueness") for q in ("q90", "q95", "q99")])),
     "win_05_rolling_medians": lambda s, d: P.history_metrics(_peers(s, d)).select(
-        *ID, *r6("rolling_median_volume", "rolling_median_active_peer_count"),
+        *_id(), *r6("rolling_median_volume", "rolling_median_active_peer_count"),
         "peer_comparability_weak_flag", "target_liquidity_weak_flag"),
-    "rul_04_a_score": lambda s, d: _scored(s, d).select(*ID, *r6("A1_score", "A2_score", "A_score")),
-    "rul_05_c_score": lambda s, d: _scored(s, d).select(*ID, *r6("C1_score", "C2_score", "C_score")),
-    "rul_06_e_score": lambda s, d: _scored(s, d).select(*ID, *r6("E_score")),
-    "rul_07_candidate_level": lambda s, d: _scored(s, d).select(*ID, *r6("candidate_score"), "candidate_level"),
+    "rul_04_a_score": lambda s, d: _scored(s, d).select(*_id(), *r6("A1_score", "A2_score", "A_score")),
+    "rul_05_c_score": lambda s, d: _scored(s, d).select(*_id(), *r6("C1_score", "C2_score", "C_score")),
+    "rul_06_e_score": lambda s, d: _scored(s, d).select(*_id(), *r6("E_score")),
+    "rul_07_candidate_level": lambda s, d: _scored(s, d).select(*_id(), *r6("candidate_score"), "candidate_level"),
     "rul_08_suspicious_dates": lambda s, d: P.suspicious(_samples(s, d)).select(
         "detail_id", *r6("candidate_score"), "candidate_level", "main_reference_contract"),
     "rul_09_trigger_reasons": lambda s, d: _samples(s, d).select("detail_id", "trigger_reasons"),
