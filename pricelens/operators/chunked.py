@@ -41,6 +41,7 @@ def ordered_state(
     previous: Mapping[str, Column] | None = None,
     last_known: Mapping[str, Column] | None = None,
     running: Mapping[str, Column] | None = None,
+    clustered: bool = False,
 ) -> DataFrame:
     """Adds per row, in (keys, order):
 
@@ -48,7 +49,8 @@ def ordered_state(
     ``last_known`` last non-null value strictly before,
     ``running``    running sum including the row (nulls count as zero).
 
-    ``chunk`` names a column that is non-decreasing along ``order``; None evaluates whole groups.
+    ``chunk`` names a column that is non-decreasing along ``order``; None evaluates whole groups. ``clustered``
+    says that ``df`` is already distributed by (keys, chunk), so the rows are not shuffled again.
     ``order`` must be unique inside a group.
     """
     previous, last_known, running = dict(previous or {}), dict(last_known or {}), dict(running or {})
@@ -64,8 +66,12 @@ def ordered_state(
             | {name: F.coalesce(F.sum(expr).over(upto), F.lit(0)) for name, expr in running.items()}
         )
 
+    if not clustered:
+        df = df.repartition(*part)
     position = F.struct(*order)
-    tails = []
+    # Touching every column keeps the chunk summary's input identical to the row branch's input, so both read one
+    # shuffle instead of computing everything upstream twice.
+    tails = [F.max(F.xxhash64(*df.columns)).alias("_touch")]
     if previous:
         tails.append(F.max_by(F.struct(*[e.alias(n) for n, e in previous.items()]), position).alias("_tail"))
     for name, expr in last_known.items():
@@ -75,7 +81,7 @@ def ordered_state(
     by_chunk = Window.partitionBy(*keys).orderBy(chunk)
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     carried = df.groupBy(*part).agg(*tails).select(
-        *part,
+        *part, F.col("_touch"),
         *([F.lag("_tail").over(by_chunk).alias("_carry_tail")] if previous else []),
         *[F.last(f"_known_{n}", ignorenulls=True).over(earlier).alias(f"_carry_known_{n}") for n in last_known],
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_carry_sum_{n}") for n in running],
@@ -104,7 +110,9 @@ def islands(
     """Numbers runs of rows. ``starts`` names previous-row values that ``is_start`` may refer to."""
     with_prev = ordered_state(df, keys, order, chunk, previous=starts)
     flagged = with_prev.withColumn("_start", F.when(is_start, 1).otherwise(0).cast("bigint"))
-    return ordered_state(flagged, keys, order, chunk, running={island: F.col("_start")}).drop("_start", *starts)
+    return ordered_state(
+        flagged, keys, order, chunk, running={island: F.col("_start")}, clustered=True
+    ).drop("_start", *starts)
 
 
 def gap_islands(

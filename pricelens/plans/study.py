@@ -13,6 +13,7 @@ from ..operators.chunked import CHUNK, chunk_of, islands, ordered_state
 from ..operators.quantiles import exact_quantiles
 from ..operators.rangejoin import range_join
 from ..operators.sizing import chunk_width
+from ..session import ensure_checkpoint_dir
 
 KEYS = ["trade_date", "InstrumentID"]
 COMBO = ["threshold_pct", "side", "mode"]
@@ -23,10 +24,12 @@ def finite_price(price: Column) -> Column:
     return F.coalesce(price.isNotNull() & ~F.isnan(price) & (price > 0) & (price < PRICE_MAX), F.lit(False))
 
 
-def with_row_chunks(raw: DataFrame, target_rows: int = 2_000_000) -> DataFrame:
-    """Adds ``_chunk`` from ``row_order``; a single chunk when the largest contract-day is small enough."""
+def row_chunks(raw: DataFrame, target_rows: int = 2_000_000) -> tuple[DataFrame, str | None]:
+    """The rows and the name of their chunk column; None when the largest contract-day fits one task."""
     width = chunk_width(raw, KEYS, "row_order", target_rows, probe_width=target_rows)
-    return raw.withColumn(CHUNK, F.lit(0).cast("bigint") if width is None else chunk_of("row_order", width))
+    if width is None:
+        return raw, None
+    return raw.withColumn(CHUNK, chunk_of("row_order", width)), CHUNK
 
 
 def prepare(raw: DataFrame, cfg: StudyConfig = StudyConfig(), chunk: str | None = None) -> DataFrame:
@@ -68,6 +71,7 @@ def prepare(raw: DataFrame, cfg: StudyConfig = StudyConfig(), chunk: str | None
             "_seen_mid": F.when(c("valid_bbo"), F.struct("row_order", "mid")),
             "_seen_start": F.when(c("segment_start"), c("row_order")),
         },
+        clustered=True,
     )
     x = x.withColumns({
         "ts_ms": c("clock") + c("_days") * DAY_MS,
@@ -333,10 +337,14 @@ def manifest(sources: DataFrame, quality_rows: DataFrame, details: DataFrame) ->
 
 
 def analyze(raw: DataFrame, cfg: StudyConfig = StudyConfig(), chunk: str | None = None) -> dict[str, DataFrame]:
-    """The five result tables plus the replay windows."""
-    prepared = prepare(raw, cfg, chunk)
+    """The five result tables plus the replay windows.
+
+    Prepared rows and events feed several results, so both are written once to the checkpoint folder.
+    """
+    ensure_checkpoint_dir(raw.sparkSession)
+    prepared = prepare(raw, cfg, chunk).checkpoint()
     cands = candidates(prepared, cfg)
-    events = cluster(cands, cfg, chunk)
+    events = cluster(cands, cfg, chunk).checkpoint()
     details = event_details(prepared, events, cfg)
     days = day_summary(prepared, cands, details, cfg)
     return {

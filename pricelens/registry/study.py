@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..config import StudyConfig
 from ..operators.asof import forward_join
-from ..operators.chunked import CHUNK
 from ..plans import study as P
 from ..sources.driver_tables import SNAPSHOTS_SQL, snapshots
 from .daily import q6, r6
@@ -27,12 +26,14 @@ def raw_rows(spark, d):
 
 
 def prepared(spark, d):
-    return P.prepare(P.with_row_chunks(raw_rows(spark, d)), CFG, CHUNK)
+    rows, chunk = P.row_chunks(raw_rows(spark, d))
+    return P.prepare(rows, CFG, chunk)
 
 
 def _events(spark, d):
-    p = prepared(spark, d)
-    return p, P.cluster(P.candidates(p, CFG), CFG, CHUNK)
+    rows, chunk = P.row_chunks(raw_rows(spark, d))
+    p = P.prepare(rows, CFG, chunk)
+    return p, P.cluster(P.candidates(p, CFG), CFG, chunk)
 
 
 def details(spark, d):
@@ -41,7 +42,8 @@ def details(spark, d):
 
 
 def _all(spark, d):
-    return P.analyze(P.with_row_chunks(raw_rows(spark, d)), CFG, CHUNK)
+    rows, chunk = P.row_chunks(raw_rows(spark, d))
+    return P.analyze(rows, CFG, chunk)
 
 
 def _day(spark, d):
