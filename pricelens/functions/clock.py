@@ -15,11 +15,15 @@ SESSION_OPENS = ("09:00:00", "10:30:00", "13:30:00", "21:00:00")
 def parse_clock(text: Column, millis: Column | None = None) -> Column:
     """Milliseconds since midnight of ``H:MM:SS[.fff]`` plus ``millis``; null when either part is invalid."""
     t = F.trim(text)
-    pattern = r"^(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d+))?$"
-    part = lambda i: F.regexp_extract(t, pattern, i).try_cast("bigint")
-    h, m, s = part(1), part(2), part(3)
-    fraction = F.rpad(F.substring(F.regexp_extract(t, pattern, 4), 1, 3), 3, "0").try_cast("bigint")
-    clock = F.when(t.rlike(pattern) & (h <= 23) & (m <= 59) & (s <= 59), (h * 3600 + m * 60 + s) * 1000 + fraction)
+    last = F.substring_index(t, ":", -1)
+    number = lambda piece: piece.try_cast("bigint")
+    h = number(F.substring_index(t, ":", 1))
+    m = number(F.substring_index(F.substring_index(t, ":", 2), ":", -1))
+    s = number(F.substring_index(last, ".", 1))
+    digits = F.rpad(F.substring(F.substring_index(last, ".", -1), 1, 3), 3, "0")
+    fraction = F.when(F.contains(last, F.lit(".")), number(digits)).otherwise(F.lit(0))
+    shaped = t.rlike(r"^\d{1,2}:\d{2}:\d{2}(\.\d+)?$")
+    clock = F.when(shaped & (h <= 23) & (m <= 59) & (s <= 59), (h * 3600 + m * 60 + s) * 1000 + fraction)
     if millis is None:
         return clock
     extra = F.coalesce(millis, F.lit(0))

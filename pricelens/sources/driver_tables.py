@@ -118,7 +118,7 @@ bars as (
 SNAPSHOTS_SQL = """
 ev0 as (
   select event_id as eid, value, user_id // 75 as trade_day, upper(event_type) as commodity, user_id % 6 as cno,
-         cast(floor((epoch_ms(ts) - 1704067200000) / 720000.0::double) * 100 as bigint) as ms
+         cast(floor((epoch_us(ts) // 1000 - 1704067200000) / 720000.0::double) * 100 as bigint) as ms
   from events),
 ev1 as (
   select *, (86220000 + ms) % 86400000 as clock,
