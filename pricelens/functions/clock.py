@@ -1,7 +1,7 @@
 """Clock strings, trading-cycle keys and sessions."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 DAY_MS = 86_400_000
 CYCLE_START_MS = 75_600_000  # 21:00:00
@@ -12,22 +12,25 @@ NIGHT_SESSION = ("21:00:00", "02:30:00")
 SESSION_OPENS = ("09:00:00", "10:30:00", "13:30:00", "21:00:00")
 
 
-def parse_clock(text: Column, millis: Column | None = None) -> Column:
-    """Milliseconds since midnight of ``H:MM:SS[.fff]`` plus ``millis``; null when either part is invalid."""
+def with_clock(df: DataFrame, out: str, text: Column, millis: Column | None = None) -> DataFrame:
+    """Adds milliseconds since midnight of ``H:MM:SS[.fff]`` plus ``millis``; null when either part is invalid.
+
+    The pieces are staged as columns so that the string is split once per row.
+    """
     t = F.trim(text)
-    last = F.substring_index(t, ":", -1)
-    number = lambda piece: piece.try_cast("bigint")
-    h = number(F.substring_index(t, ":", 1))
-    m = number(F.substring_index(F.substring_index(t, ":", 2), ":", -1))
-    s = number(F.substring_index(last, ".", 1))
-    digits = F.rpad(F.substring(F.substring_index(last, ".", -1), 1, 3), 3, "0")
-    fraction = F.when(F.contains(last, F.lit(".")), number(digits)).otherwise(F.lit(0))
-    shaped = t.rlike(r"^\d{1,2}:\d{2}:\d{2}(\.\d+)?$")
-    clock = F.when(shaped & (h <= 23) & (m <= 59) & (s <= 59), (h * 3600 + m * 60 + s) * 1000 + fraction)
-    if millis is None:
-        return clock
-    extra = F.coalesce(millis, F.lit(0))
-    return F.when((extra >= 0) & (extra < 1000), clock + extra.cast("bigint"))
+    p = lambda i: F.get("_pieces", F.lit(i))
+    staged = df.withColumns({
+        "_pieces": F.split(t, ":"), "_shaped": t.rlike(r"^\d{1,2}:\d{2}:\d{2}(\.\d+)?$"),
+    }).withColumns({
+        "_h": p(0).try_cast("int"), "_m": p(1).try_cast("int"), "_s": F.substring(p(2), 1, 2).try_cast("int"),
+        "_f": F.rpad(F.substring(p(2), 4, 3), 3, "0").try_cast("int"),
+    })
+    ok = F.col("_shaped") & (F.col("_h") <= 23) & (F.col("_m") <= 59) & (F.col("_s") <= 59)
+    clock = ((F.col("_h") * 3600 + F.col("_m") * 60 + F.col("_s")) * 1000 + F.coalesce("_f", F.lit(0))).cast("bigint")
+    if millis is not None:
+        extra = F.coalesce(millis, F.lit(0))
+        ok, clock = ok & (extra >= 0) & (extra < 1000), clock + extra.cast("bigint")
+    return staged.withColumn(out, F.when(ok, clock)).drop("_pieces", "_shaped", "_h", "_m", "_s", "_f")
 
 
 def cycle_key(clock_ms: Column) -> Column:
@@ -63,10 +66,10 @@ def is_tradable(text: Column) -> Column:
 
 
 def is_open_protected(text: Column, guard_seconds: int = 60) -> Column:
-    seconds = F.floor(parse_clock(text) / 1000)
+    """Within the guard after a session open; ``HH:MM:SS`` compares in time order as text."""
     out = F.lit(False)
     for opening in SESSION_OPENS:
-        h, m, s = (int(p) for p in opening.split(":"))
-        gap = seconds - (h * 3600 + m * 60 + s)
-        out = out | ((gap >= 0) & (gap < guard_seconds))
+        h, m, s = (int(x) for x in opening.split(":"))
+        until = h * 3600 + m * 60 + s + guard_seconds
+        out = out | ((text >= opening) & (text < f"{until // 3600:02d}:{until // 60 % 60:02d}:{until % 60:02d}"))
     return out

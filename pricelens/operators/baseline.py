@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from ..config import TickConfig
 
@@ -51,18 +51,24 @@ def mad_rows(values: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return counts, med, 1.4826 * mad
 
 
-def align_peers(keys: np.ndarray, peers: pd.DataFrame, age: int) -> list[dict]:
+def floats(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].cast(pa.float64()).to_numpy()
+
+
+def align_peers(keys: np.ndarray, peers: pa.Table, age: int) -> list[dict]:
     """Per peer (by rank): its latest quote at each target key, kept only when fresh and valid."""
+    rows = peers.sort_by([("peer_rank", "ascending"), ("market_time_key", "ascending")])
+    rank, at_key = rows["peer_rank"].to_numpy(), rows["market_time_key"].to_numpy()
+    valid, mid, spread = rows["quote_valid"].to_numpy().astype(bool), floats(rows, "mid_price"), floats(rows, "spread_ticks")
     out = []
-    for (rank, code), rows in peers.groupby(["peer_rank", "peer"], sort=True):
-        rows = rows.sort_values("market_time_key")
-        pk = rows["market_time_key"].to_numpy(np.int64)
+    starts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+    for lo, hi in zip(starts, [*starts[1:], len(rank)]):
+        pk = at_key[lo:hi]
         at = np.searchsorted(pk, keys, side="right") - 1
         safe = np.maximum(at, 0)
-        ok = (at >= 0) & (keys - pk[safe] <= age) & rows["quote_valid"].to_numpy(bool)[safe]
-        take = lambda c: np.where(ok, rows[c].to_numpy(float)[safe], np.nan)
-        out.append({"rank": int(rank), "code": code, "ok": ok, "key": np.where(ok, pk[safe], -1),
-                    "mid": take("mid_price"), "spread": take("spread_ticks")})
+        ok = (at >= 0) & (keys - pk[safe] <= age) & valid[lo:hi][safe]
+        out.append({"rank": int(rank[lo]), "code": rows["peer"][int(lo)].as_py(), "ok": ok, "key": np.where(ok, pk[safe], -1),
+                    "mid": np.where(ok, mid[lo:hi][safe], np.nan), "spread": np.where(ok, spread[lo:hi][safe], np.nan)})
     return out
 
 
@@ -94,14 +100,14 @@ def fair_prices(keys, mid, spread, valid, peers: list[dict], rows, cfg: TickConf
     return fair, basis, gated
 
 
-def reference_metrics(target: pd.DataFrame, peer_rows: pd.DataFrame, cfg: TickConfig) -> pd.DataFrame:
-    """Adds fair-price and noise columns to the chunk's own rows of one target."""
-    t = target.sort_values("market_time_key").reset_index(drop=True)
-    keys = t["market_time_key"].to_numpy(np.int64)
-    start = int(t["_chunk"].iloc[0]) * cfg.chunk_ms
-    col = lambda c: t[c].to_numpy(float)
-    mid, spread, tick = col("mid_price"), col("spread_ticks"), float(t["tick_size"].iloc[0])
-    valid = t["quote_valid"].to_numpy(bool)
+def reference_metrics(target: pa.Table, peer_rows: pa.Table, cfg: TickConfig) -> pa.Table:
+    """The chunk's own rows of one target with fair-price and noise columns appended."""
+    t = target.sort_by("market_time_key")
+    keys = t["market_time_key"].to_numpy()
+    start = t["_chunk"][0].as_py() * cfg.chunk_ms
+    col = lambda c: floats(t, c)
+    mid, spread, tick = col("mid_price"), col("spread_ticks"), t["tick_size"][0].as_py()
+    valid = t["quote_valid"].to_numpy().astype(bool)
     peers = align_peers(keys, peer_rows, cfg.reference_age_ms)
     needed = np.flatnonzero(keys >= start - cfg.baseline_ms)
     fair_i, basis, gated = fair_prices(keys, mid, spread, valid, peers, needed, cfg)
@@ -117,7 +123,7 @@ def reference_metrics(target: pd.DataFrame, peer_rows: pd.DataFrame, cfg: TickCo
     reliable = np.zeros(len(keys), bool)
     reliable[needed] = reliable_row
 
-    core = np.flatnonzero(t["_core"].to_numpy(bool))
+    core = np.flatnonzero(t["_core"].to_numpy().astype(bool))
     in_needed = core - needed[0] if len(needed) else core
     last, vwap, dv = col("LastPrice"), col("interval_vwap"), col("delta_volume")
     base = (dv > 0) & reliable & (fair_all > 0)
@@ -140,18 +146,19 @@ def reference_metrics(target: pd.DataFrame, peer_rows: pd.DataFrame, cfg: TickCo
     noisy = (n_last >= cfg.noise_min_samples) & (span >= cfg.noise_min_span_ms / 1000.0)
     codes = np.array([p["code"] for p in peers], dtype=object)
     chosen = have[in_needed] if len(peers) else np.zeros((m, 0), bool)
-    out = t.iloc[core].drop(columns=["_chunk", "_core"]).copy()
-    out["fair_price"] = fair_all[core]
-    out["fair_uncertainty_ticks"] = uncertainty[in_needed]
-    out["fair_price_reliable"] = reliable[core]
-    out["valid_peer_count"] = chosen.sum(axis=1)
-    out["valid_peers"] = [list(codes[r]) for r in chosen]
-    out["peer_bases"] = [list(b[r]) for b, r in zip(basis[in_needed], chosen)]
-    out["fair_gate_open"] = gated[in_needed]
-    out["noise_sample_count"] = n_last
-    out["noise_time_span_seconds"] = span
-    out["noise_history_reliable"] = noisy
-    for name, column in (("last_med", "last_noise_median"), ("vwap_med", "vwap_noise_median"), ("last_sig", "last_noise_robust_sigma"),
+    number = lambda x: pa.array(x, pa.float64(), from_pandas=True)
+    appended = {
+        "fair_price": number(fair_all[core]), "fair_uncertainty_ticks": number(uncertainty[in_needed]),
+        "fair_price_reliable": pa.array(reliable[core]), "valid_peer_count": pa.array(chosen.sum(axis=1), pa.int64()),
+        "valid_peers": pa.array([list(codes[r]) for r in chosen], pa.list_(pa.string())),
+        "peer_bases": pa.array([list(b[r]) for b, r in zip(basis[in_needed], chosen)], pa.list_(pa.float64())),
+        "fair_gate_open": pa.array(gated[in_needed]), "noise_sample_count": pa.array(n_last, pa.int64()),
+        "noise_time_span_seconds": number(span), "noise_history_reliable": pa.array(noisy),
+    }
+    for name, column in (("last_med", "last_noise_median"), ("last_sig", "last_noise_robust_sigma"), ("vwap_med", "vwap_noise_median"),
                          ("vwap_sig", "vwap_noise_robust_sigma"), ("depth_sig", "execution_depth_robust_sigma")):
-        out[column] = np.where(noisy, stats[name], np.nan)
+        appended[column] = number(np.where(noisy, stats[name], np.nan))
+    out = t.take(pa.array(core)).drop_columns(["_chunk", "_core"])
+    for name, values in appended.items():
+        out = out.append_column(name, values)
     return out

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import StudyConfig
-from ..functions.clock import DAY_MS, display_time, parse_clock
+from ..functions.clock import DAY_MS, display_time, with_clock
 from ..operators.chunked import CHUNK, chunk_of, islands, ordered_state
 from ..operators.quantiles import exact_quantiles
 from ..operators.rangejoin import range_join
 from ..operators.sizing import chunk_width
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 KEYS = ["trade_date", "InstrumentID"]
 COMBO = ["threshold_pct", "side", "mode"]
@@ -36,8 +36,7 @@ def prepare(raw: DataFrame, cfg: StudyConfig = StudyConfig(), chunk: str | None
     c = F.col
     both = finite_price(c("BidPrice1")) & finite_price(c("AskPrice1"))
     volume = c("Volume").cast("double")
-    x = raw.withColumns({
-        "clock": parse_clock(c("UpdateTime"), c("UpdateMillisec")),
+    x = with_clock(raw, "clock", c("UpdateTime"), c("UpdateMillisec")).withColumns({
         "valid_volume": F.coalesce((volume >= 0) & (F.abs(volume - F.rint(volume)) <= 1e-8), F.lit(False)),
         "valid_bbo": both & F.coalesce(c("BidPrice1") <= c("AskPrice1"), F.lit(False)),
         "valid_last": finite_price(c("LastPrice")),
@@ -339,12 +338,11 @@ def manifest(sources: DataFrame, quality_rows: DataFrame, details: DataFrame) ->
 def analyze(raw: DataFrame, cfg: StudyConfig = StudyConfig(), chunk: str | None = None) -> dict[str, DataFrame]:
     """The five result tables plus the replay windows.
 
-    Prepared rows and events feed several results, so both are written once to the checkpoint folder.
+    Prepared rows and events feed several results, so both are written once.
     """
-    ensure_checkpoint_dir(raw.sparkSession)
-    prepared = prepare(raw, cfg, chunk).checkpoint()
+    prepared = materialize(prepare(raw, cfg, chunk))
     cands = candidates(prepared, cfg)
-    events = cluster(cands, cfg, chunk).checkpoint()
+    events = materialize(cluster(cands, cfg, chunk))
     details = event_details(prepared, events, cfg)
     days = day_summary(prepared, cands, details, cfg)
     return {

@@ -6,12 +6,14 @@ however much one contract trades.
 """
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import TickConfig
 from ..functions.arrays import flags, ordered_subset
-from ..functions.clock import cycle_key, display_time, is_open_protected, is_tradable, parse_clock, session_state
+from ..functions.clock import cycle_key, display_time, is_open_protected, is_tradable, session_state, with_clock
 from ..functions.codes import normalize_contract
 from ..functions.quotes import bps, mid_price, quote_valid, trade_eligible
 from ..operators.asof import asof_join, nearest_join
@@ -25,7 +27,8 @@ REASON_ORDER = ("visible_execution_drop", "interval_execution_drop", "visible_ex
 
 
 def with_keys(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("market_time_key", cycle_key(parse_clock(F.col("UpdateTime"), F.col("UpdateMillisec"))))
+    timed = with_clock(raw, "_clock", F.col("UpdateTime"), F.col("UpdateMillisec"))
+    return timed.withColumn("market_time_key", cycle_key(F.col("_clock"))).drop("_clock")
 
 
 def collapse(raw: DataFrame) -> DataFrame:
@@ -172,7 +175,7 @@ def attach_reference(frames: DataFrame, cfg: TickConfig = TickConfig()) -> DataF
     reach = 2 * cfg.baseline_ms
     own = halo_chunks(
         frames.join(targets, K, "left_semi").select(
-            *[c(n).cast("double").alias(n) if n in ("gap_ms", "contract_multiplier") else c(n) for n in FRAME_COLUMNS]),
+            *FRAME_COLUMNS),
         "market_time_key", cfg.chunk_ms, back=reach)
     # Fresh column identities: the peer side comes from the same frames as the target side.
     quotes = frames.select(*[c(a).alias(b) for a, b in (
@@ -191,17 +194,18 @@ def attach_reference(frames: DataFrame, cfg: TickConfig = TickConfig()) -> DataF
     columns = [(f.name, f.dataType.simpleString()) for f in fields] + extra
     schema = ", ".join(f"`{name}` {kind}" for name, kind in columns)
     names = [name for name, _ in columns]
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
     def per_chunk(target, peers):
-        if target.empty or not target["_core"].any():
-            return pd.DataFrame({name: pd.Series(dtype=object) for name in names})
-        return reference_metrics(target, peers, cfg)[names]
+        if not target.num_rows or not pc.any(target["_core"]).as_py():
+            return empty
+        return reference_metrics(target, peers, cfg).select(names).cast(empty.schema)
 
     keys = [*K, CHUNK]
     # An explicit partition count keeps this CPU-bound stage from being coalesced by its small byte size.
     n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own, peer_rows = own.repartition(n, *keys), peer_rows.repartition(n, *keys)
-    enriched = own.groupBy(*keys).cogroup(peer_rows.groupBy(*keys)).applyInPandas(per_chunk, schema)
+    enriched = own.groupBy(*keys).cogroup(peer_rows.groupBy(*keys)).applyInArrow(per_chunk, schema)
     return thresholds(enriched, cfg)
 
 
@@ -219,7 +223,6 @@ def thresholds(enriched: DataFrame, cfg: TickConfig = TickConfig()) -> DataFrame
         "last_threshold_ticks": level(cfg.min_last_ticks, "last_noise_median", "last_noise_robust_sigma"),
         "vwap_threshold_ticks": level(cfg.min_vwap_ticks, "vwap_noise_median", "vwap_noise_robust_sigma"),
         "reference_blocked_reason": first_block,
-        "contract_multiplier": c("contract_multiplier").cast("int"), "gap_ms": c("gap_ms").cast("bigint"),
     })
 
 

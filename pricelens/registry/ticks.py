@@ -7,7 +7,7 @@ from ..config import TickConfig
 from ..functions import arrays, clock, quotes
 from ..operators.asof import asof_join
 from ..plans import ticks as P
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from ..sources.driver_tables import SNAPSHOTS_SQL, profiles, snapshots
 from .daily import q6, r6
 
@@ -35,7 +35,7 @@ def frames(spark, d):
 
 
 def enriched(spark, d):
-    return P.attach_reference(frames(spark, d), CFG)
+    return P.attach_reference(materialize(frames(spark, d)), CFG)
 
 
 def marked(spark, d):
@@ -43,12 +43,12 @@ def marked(spark, d):
 
 
 def _chain(spark, d):
-    """Frames and marked frames feed several results, so they are written once to the checkpoint folder."""
-    ensure_checkpoint_dir(spark)
+    """Frames and marked frames feed several results, so they are written once."""
     raw = raw_rows(spark, d)
     width = P.frame_chunk_width(raw, CFG)
-    f = P.prepare(raw, profiles(spark), CFG, day_bounds(spark, d), width).checkpoint()
-    m = P.mark(P.attach_reference(f, CFG), CFG).checkpoint()
+    f = P.prepare(raw, profiles(spark), CFG, day_bounds(spark, d), width)
+    f = materialize(f)
+    m = materialize(P.mark(P.attach_reference(f, CFG), CFG))
     return f, m, P.merge(P.candidates(m), m, CFG, width)
 
 
@@ -73,10 +73,10 @@ def _clock_columns(spark, d):
     from ..sources.driver_tables import table
     ev = table(spark, d, "events").select("event_id", F.date_format("ts", "HH:mm:ss").alias("t"),
                                           (F.unix_millis(F.col("ts").cast("timestamp")) % 1000).alias("ms"))
-    return ev.select(
+    return clock.with_clock(ev, "clock", F.col("t"), F.col("ms")).select(
         "event_id", clock.session_state(F.col("t")).alias("session_state"), clock.is_tradable(F.col("t")).alias("is_tradable"),
         clock.is_open_protected(F.col("t")).alias("is_open_protected"),
-        clock.cycle_key(clock.parse_clock(F.col("t"), F.col("ms"))).alias("market_time_key"),
+        clock.cycle_key(F.col("clock")).alias("market_time_key"),
         clock.display_time(F.col("t"), F.col("ms")).alias("display_time"))
 
 
@@ -180,7 +180,7 @@ m7 as (select *, greatest(0, dep_d - greatest(0, pre_d)) as on_d, greatest(0, de
 mk_ as (select *, coalesce(onset_ok and dep_d is not null and on_d >= onmin, false) as cand_d, coalesce(onset_ok and dep_u is not null and on_u >= onmin, false) as cand_u,
    list_sort(list_distinct(list_filter([qflag, case when asks then cblock end,
      case when asks and conf and ((coalesce(vd >= vthr, false) and not int_d) or (coalesce(-vd >= vthr, false) and not int_u)) then 'counter_lag_suspect' end,
-     case when (vis_d or vis_u or int_d or int_u) and not onset_ok then 'onset_data_gap' end], x -> x is not null))) as dq from m7),
+     case when (vis_d or vis_u or int_d or int_u) and not onset_ok then 'onset_data_gap' end], lambda x: x is not null))) as dq from m7),
 cands as (select *, 'down' as dir, dep_d as depth, on_d as onset, vis_d as vis, int_d as intv from mk_ where cand_d
    union all select *, 'up', dep_u, on_u, vis_u, int_u from mk_ where cand_u)"""
 EVENTS = MARKED + """,
@@ -188,10 +188,10 @@ g1 as (select *, case when mk - lag(mk) over (partition by trade_date, contract,
 g2 as (select *, sum(st) over (partition by trade_date, contract, dir order by mk rows between unbounded preceding and current row) as isl from g1),
 g3 as (select *, row_number() over (partition by trade_date, contract, dir, isl order by depth desc, mk) as rk0, min(mk) over g as k0, max(mk) over g as k1,
    bool_or(vis) over g as any_vis, bool_or(intv) over g as any_int from g2 window g as (partition by trade_date, contract, dir, isl)),
-ev0 as (select *, mk as ak from g3 where rk0 = 1),
-evv as (select e.trade_date, e.contract, e.dir, e.ak, sum(f.dv) as evol from ev0 e join fr f on e.trade_date = f.trade_date and e.contract = f.contract
+evr as (select *, mk as ak from g3 where rk0 = 1),
+evv as (select e.trade_date, e.contract, e.dir, e.ak, sum(f.dv) as evol from evr e join fr f on e.trade_date = f.trade_date and e.contract = f.contract
    and f.mk between e.k0 and e.k1 and f.dv > 0 group by all),
-ev as (select ev0.*, coalesce(evol, 0) as event_volume from ev0 left join evv using (trade_date, contract, dir, ak)),
+ev as (select evr.*, coalesce(evol, 0) as event_volume from evr left join evv using (trade_date, contract, dir, ak)),
 rw as (select e.trade_date, e.commodity, e.contract, e.dir, e.ak, e.pl, e.bl, e.any_vis, e.any_int, e.lthr as thl, e.vthr as thv, m.mk, m.gap_ms, m.lp, m.dv, m.bid, m.ask,
    m.conf, m.cvw from ev e join mk_ m on e.trade_date = m.trade_date and e.contract = m.contract and m.mk > e.ak and m.mk <= e.ak + 10000),
 lg as (select trade_date, contract, dir, ak, mk, unnest(pl) as peer, unnest(bl) as basis from rw),

@@ -74,11 +74,12 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turnover = F.lit(10.0) * (F.col("Volume") * F.col("level") + F.col("wobble"))
     sec = F.floor(F.col("clock") / 1000)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
     return step1.select(
         "trade_day", F.col("trade_day").cast("string").alias("TradingDay"), "commodity",
-        F.format_string("%s24%02d", F.col("commodity"), (cno + 1).cast("int")).alias("contract"),
+        F.concat(F.col("commodity"), F.lit("240"), (cno + 1).cast("string")).alias("contract"),
         eid.alias("snapshot_seq"),
-        F.format_string("%02d:%02d:%02d", F.floor(sec / 3600), F.floor(sec / 60) % 60, sec % 60).alias("UpdateTime"),
+        F.concat_ws(":", two(F.floor(sec / 3600)), two(F.floor(sec / 60) % 60), two(sec % 60)).alias("UpdateTime"),
         (F.col("clock") % 1000).cast("int").alias("UpdateMillisec"),
         F.round(last, 2).alias("LastPrice"),
         F.when(eid % 101 == 0, F.lit(0.0)).otherwise(F.round(F.col("mid0") - F.col("half"), 2)).alias("BidPrice1"),
