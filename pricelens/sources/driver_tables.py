@@ -144,3 +144,46 @@ snap as (
          level * 1.1::double as upper_limit, level * 0.9::double as lower_limit,
          1 + eid % 9 as bid_volume, 1 + eid % 8 as ask_volume, 100.0::double + eid % 50 as open_interest
   from ev2)"""
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream in the shape of a finished event table (inputs of roll-ups and parameter tables)."""
+    c, i = F.col, F.col("event_id")
+    ev = table(spark, sf_dir, "events")
+    pick = lambda n, *words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(i / n) % len(words) + 1).cast("int"))
+    return ev.select(
+        i.alias("anchor_seq"), F.date_format("ts", "yyyyMMdd").alias("trade_date"), F.upper("event_type").alias("commodity"),
+        F.concat(F.upper("event_type"), F.lit("240"), (c("user_id") % 6 + 1).cast("string")).alias("contract"),
+        F.date_format("ts", "HH:mm:ss").alias("event_time"),
+        F.concat_ws("|", F.upper("event_type"), i.cast("string")).alias("event_id"),
+        pick(1, "down", " UP ", "", "Down").alias("raw_direction"),
+        pick(2, "visible_execution_drop", "interval_execution_drop", "visible_execution_drop,interval_execution_drop").alias("trigger_reasons"),
+        pick(3, "trade_recovered_3s", "quote_only_recovered_3s", "persistent_10s", "truncated").alias("recovery_label"),
+        pick(5, "normal", "normal", "suspect").alias("data_quality"), pick(7, "keep", "keep", "exclude").alias("boundary_verdict"),
+        pick(11, "detector_event_depth", "detector_event_depth", " ").alias("depth_source"),
+        (i % 5).alias("valid_peer_count"), (i % 13).cast("double").alias("fair_uncertainty_ticks"),
+        (c("value") * 10).alias("notional_shortfall"), (c("value") / 2).alias("event_depth_ticks"),
+        (c("value") / 4).alias("event_depth_bps"), (F.lit(1000.0) + i % 50).alias("fair_price"),
+        (c("value") / 2).alias("last_down_ticks"), (c("value") / 3).alias("vwap_down_ticks"),
+        (c("value") / 4 - 5).alias("combined_vwap_down_ticks"), F.lit(30.0).alias("last_threshold_ticks"),
+        F.lit(15.0).alias("vwap_threshold_ticks"),
+    )
+
+
+def _pick_sql(n: int, *words: str) -> str:
+    return "list_extract([" + ", ".join(f"'{w}'" for w in words) + f"], cast(events.event_id // {n} % {len(words)} + 1 as int))"
+
+
+EVENT_ROWS_SQL = f"""
+er as (select event_id as anchor_seq, strftime(ts, '%Y%m%d') as trade_date, upper(event_type) as commodity,
+   upper(event_type) || '240' || cast(user_id % 6 + 1 as varchar) as contract, strftime(ts, '%H:%M:%S') as event_time,
+   upper(event_type) || '|' || event_id as event_id, {_pick_sql(1, 'down', ' UP ', '', 'Down')} as raw_direction,
+   {_pick_sql(2, 'visible_execution_drop', 'interval_execution_drop', 'visible_execution_drop,interval_execution_drop')} as trigger_reasons,
+   {_pick_sql(3, 'trade_recovered_3s', 'quote_only_recovered_3s', 'persistent_10s', 'truncated')} as recovery_label,
+   {_pick_sql(5, 'normal', 'normal', 'suspect')} as data_quality, {_pick_sql(7, 'keep', 'keep', 'exclude')} as boundary_verdict,
+   {_pick_sql(11, 'detector_event_depth', 'detector_event_depth', ' ')} as depth_source, events.event_id % 5 as valid_peer_count,
+   cast(events.event_id % 13 as double) as fair_uncertainty_ticks, value * 10 as notional_shortfall, value / 2 as event_depth_ticks,
+   value / 4 as event_depth_bps, 1000.0::double + events.event_id % 50 as fair_price, value / 2 as last_down_ticks, value / 3 as vwap_down_ticks,
+   value / 4 - 5 as combined_vwap_down_ticks, 30.0::double as last_threshold_ticks, 15.0::double as vwap_threshold_ticks,
+   case when trim(lower(list_extract(['down', ' UP ', '', 'Down'], cast(events.event_id % 4 + 1 as int)))) = 'up' then 'up' else 'down' end as event_direction
+   from events)"""
