@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("daily", "study", "ticks", "events")
+MODULES = ("daily", "study", "ticks", "events", "whatif")
 
 
 def _merged(attribute: str) -> dict:
