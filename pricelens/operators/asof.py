@@ -14,8 +14,10 @@ def _sides(left: DataFrame, right: DataFrame, on: list[str], left_key: str, righ
            width: int, reach_back: int, reach_ahead: int, left_rank: int, right_rank: int) -> DataFrame:
     pick = F.struct(*[F.col(c) for c in left.columns])
     rpick = F.struct(*[F.col(c) for c in right.columns if c not in on])
+    # Rows without a key cannot match; spreading them keeps them out of one common partition.
+    keyless = -1 - F.pmod(F.xxhash64(*left.columns), F.lit(1021))
     lside = left.select(
-        *on, F.col(left_key).cast("bigint").alias("_key"), chunk_of(left_key, width).alias(CHUNK),
+        *on, F.col(left_key).cast("bigint").alias("_key"), F.coalesce(chunk_of(left_key, width), keyless).alias(CHUNK),
         F.lit(left_rank).alias("_side"), pick.alias("_l"),
     )
     rkey = F.col(right_key).cast("bigint")

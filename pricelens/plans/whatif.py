@@ -12,6 +12,7 @@ from ..functions.quotes import floor_to_tick
 from ..operators.asof import asof_join
 from ..operators.quantiles import exact_quantiles
 from ..operators.rangejoin import range_join
+from ..session import materialize
 
 K = ["trade_date", "commodity", "contract"]
 EVENT = [*K, "event_anchor_key"]
@@ -70,11 +71,9 @@ def _executable(rows: DataFrame, frames: DataFrame, contract: str, at: str, side
     c = F.col
     quotes = frames.select("trade_date", "commodity", c("contract").alias(contract) if contract != "contract" else c("contract"),
                            c("market_time_key").alias("_qk"), c("is_tradable_session").alias("_open"), c(side).alias("_px"))
-    known, unknown = rows.filter(c(contract).isNotNull() & c(at).isNotNull()), rows.filter(c(contract).isNull() | c(at).isNull())
-    found = asof_join(known, quotes, ["trade_date", "commodity", contract], at, "_qk", cfg.quote_age_ms, "_q")
+    found = asof_join(rows, quotes, ["trade_date", "commodity", contract], at, "_qk", cfg.quote_age_ms, "_q")
     good = c("_q._open") & (c("_q._px") > 0)
-    priced = found.withColumns({name: F.when(good, c("_q._px")), f"{name}_key": F.when(good, c("_q._qk"))}).drop("_q")
-    return priced.unionByName(unknown, allowMissingColumns=True)
+    return found.withColumns({name: F.when(good, c("_q._px")), f"{name}_key": F.when(good, c("_q._qk"))}).drop("_q")
 
 
 def unhedged_mae(rows: DataFrame, frames: DataFrame, cfg: WhatIfConfig = WhatIfConfig()) -> DataFrame:
@@ -123,6 +122,7 @@ def outcomes(events: DataFrame, enriched: DataFrame, frames: DataFrame, cfg: Wha
     x = _executable(x, frames, "reference_contract", "exit_requested_key", "AskPrice1", "_ha", cfg)
     positive = lambda e: F.when(e > 0, e)
     x = x.withColumns({"hedge_entry_price": positive(c("_hb") - slip), "target_exit_price": positive(c("_tb") - slip), "hedge_exit_price": c("_ha") + slip})
+    x = materialize(x)  # read by both risk measures below
     x = hedged_worst_mark(unhedged_mae(x, frames, cfg), frames, cfg)
     size_t, size_h = c("multiplier") * cfg.target_lots, c("multiplier") * cfg.hedge_lots
     commission = 2.0 * (cfg.target_lots + cfg.hedge_lots) * cfg.commission_per_lot
