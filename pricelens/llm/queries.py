@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import exact_dedup, mixing, url_filter
+from pricelens.llm import exact_dedup, mixing, ngram_join, url_filter
 from pricelens.llm.common import table
 
 
@@ -21,7 +21,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy("position", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_exact_dedup, op5_mixing)}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_exact_dedup, op5_mixing, op9_ngram_jaccard_join)}
 
 ORACLE = {
     "op4_exact_dedup": """
