@@ -102,11 +102,15 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each run of bytes other than ASCII white space; none crosses documents."""
-    solid = ~space(data)
+    return runs(~space(data), offsets)
+
+
+def runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each unbroken run of marked bytes; none crosses documents."""
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    inner = offsets[(offsets > 0) & (offsets < len(solid))]
     first[inner] |= solid[inner]
     last[inner - 1] |= solid[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import exact_dedup, mixing, ngram_join, url_filter
+from pricelens.llm import exact_dedup, mixing, ngram_join, toxicity, url_filter
 from pricelens.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_exact_dedup, op5_mixing, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_exact_dedup, op5_mixing, op9_ngram_jaccard_join)}
 
 ORACLE = {
     "op4_exact_dedup": """
