@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import exact_dedup, mixing, ngram_join, toxicity, url_filter
+from pricelens.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity, url_filter
 from pricelens.llm.common import table
 
 
@@ -29,7 +29,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_exact_dedup, op5_mixing, op9_ngram_jaccard_join)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_exact_dedup, op5_mixing, op9_ngram_jaccard_join, op10_decontamination)}
 
 ORACLE = {
     "op4_exact_dedup": """
