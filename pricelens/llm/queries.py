@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity, url_filter
+from pricelens.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity, url_filter, warc
 from pricelens.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy("position", "doc_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -33,9 +37,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_exact_dedup, op5_mixing, op9_ngram_jaccard_join, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_exact_dedup, op5_mixing, op7_warc, op9_ngram_jaccard_join, op10_decontamination)}
+
+#: SHA-1 in base32, from the hex digits: four bits of each, then five for each letter.
+BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([CASE WHEN substr(bits, 5 * i + k + 1, 1) = '1' THEN 1 << (4 - k) ELSE 0 END
+            for k in range(0, 5)])::BIGINT, 1) for i in range(0, 32)], '')"""
 
 ORACLE = {
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS first,
+                     array_to_string([substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', c) - 3, 4) for c in string_split(sha1(html), '')], '') AS bits FROM p)
+        SELECT page_id, n AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
