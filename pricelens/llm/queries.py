@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity, url_filter, warc
+from pricelens.llm import decontaminate, exact_dedup, mixing, ngram_join, suffix_dedup, toxicity, url_filter, warc
 from pricelens.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_exact_dedup, op5_mixing, op7_warc, op9_ngram_jaccard_join, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_toxicity, op4_exact_dedup, op5_mixing, op7_warc, op9_ngram_jaccard_join, op10_decontamination)}
 
 #: SHA-1 in base32, from the hex digits: four bits of each, then five for each letter.
 BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([CASE WHEN substr(bits, 5 * i + k + 1, 1) = '1' THEN 1 << (4 - k) ELSE 0 END

@@ -41,3 +41,23 @@ def jaccard_groups(docs):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
     return sorted(((d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(docs, sets))), key=repr)
+
+
+def repeated_bytes(docs, window=200):
+    """[(doc_id, n_bytes, n_removed, n_spans, kept bytes)] of [(doc_id, text)]."""
+    raws = [(t or "").encode() for _, t in docs]
+    seen = defaultdict(int)
+    for raw in raws:
+        for i in range(len(raw) - window + 1):
+            seen[hash(raw[i:i + window])] += 1
+    out = []
+    for (d, _), raw in zip(docs, raws):
+        mark = bytearray(len(raw) + 1)
+        reach = 0
+        for i in range(len(raw) - window + 1):
+            if seen[hash(raw[i:i + window])] > 1:
+                for j in range(max(i, reach), i + window):
+                    mark[j] = 1
+                reach = i + window
+        out.append((d, len(raw), sum(mark), sum(mark[i] and not mark[i - 1] for i in range(len(raw))), bytes(b for b, m in zip(raw, mark) if not m)))
+    return out
