@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import decontaminate, exact_dedup, maxent_lm, mixing, ngram_join, suffix_dedup, toxicity, url_filter, warc
+from pricelens.llm import decontaminate, exact_dedup, licenses, maxent_lm, mixing, ngram_join, suffix_dedup, toxicity, url_filter, warc
 from pricelens.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy("position", "doc_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_toxicity, op4_exact_dedup, op5_mixing, op7_warc, op8_lm_scores, op9_ngram_jaccard_join, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_toxicity, op4_exact_dedup, op5_mixing, op6_license_scan, op7_warc, op8_lm_scores, op9_ngram_jaccard_join, op10_decontamination)}
 
 #: SHA-1 in base32, from the hex digits: four bits of each, then five for each letter.
 BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([CASE WHEN substr(bits, 5 * i + k + 1, 1) = '1' THEN 1 << (4 - k) ELSE 0 END
