@@ -3,7 +3,7 @@
 1. A shard is about a megabyte of whole texts in a task. Its suffixes are sorted by Larsson-Sadakane refinement: first by
    eight bytes, then only the groups that are still together, by the ranks half-way on, until 256 bytes are compared.
    Neighbours' common prefixes follow by Kasai's rule (a suffix shares at least what its predecessor shares, less one
-   byte), so only the heads of runs are compared byte by byte. Both give the shard's own repeats of 200 bytes or more.
+   byte), so only the heads of runs are compared. Both give the shard's own repeats of 200 bytes or more.
 2. Every window of 200 bytes names an anchor, the k-gram with the least fingerprint in it: equal windows name equal
    anchors at equal places. Shards hand on their anchors, without those whose windows all repeat another of the shard.
 3. Anchors are sorted by fingerprint across shards; those that stand in two places or more bring the bytes around them.
@@ -27,7 +27,6 @@ from pricelens.llm.common import STEP, mixed, powers, prefix_hash, runs, slices,
 WINDOW, GRAM = 200, 64
 #: Places of an anchor up to which one task compares them.
 HOT = 2048
-BYTE_ENDS = np.array([1 << 8 * k for k in range(1, 8)], np.uint64)
 FIRST_SCHEMA = "key long, lo int, hi int, off int, fp long"
 
 
@@ -68,28 +67,23 @@ def suffix_array(data: np.ndarray, depth: int = 256) -> tuple[np.ndarray, np.nda
     return order, new[:n]
 
 
-def common_prefixes(eight: np.ndarray, p: np.ndarray, q: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def common_prefixes(rolling: np.ndarray, p: np.ndarray, q: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Bytes that the suffixes at p and q (p ascending) share before either's document ends.
 
-    Kasai's rule: where p - 1 stands beside q - 1, the length is that of p - 1 less one; other pairs are compared.
+    Kasai's rule: where p - 1 stands beside q - 1, the length is that of p - 1 less one. Other pairs are compared by
+    fingerprints, halving the range in which they begin to differ.
     """
     head = np.ones(len(p), bool)
     head[1:] = (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
     a, b = p[head], q[head]
-    most = np.minimum(ends[a] - a, ends[b] - b)
-    found, live = np.zeros(len(a), np.int64), np.arange(len(a))
-    while len(live):
-        x, y = a[live] + found[live], b[live] + found[live]
-        inside = found[live] < most[live]
-        differ = eight[np.minimum(x, len(eight) - 1)] ^ eight[np.minimum(y, len(eight) - 1)]
-        same = np.where(differ == 0, 8, 0)
-        part = np.flatnonzero(differ != 0)
-        same[part] = 7 - np.searchsorted(BYTE_ENDS, differ[part], side="right")
-        found[live] += np.where(inside, same, 0)
-        live = live[inside & (same == 8)]
-    found = np.minimum(found, most)
+    down = powers(len(rolling))[1]
+    same, most = np.zeros(len(a), np.int64), np.minimum(ends[a] - a, ends[b] - b)
+    while (same < most).any():
+        half = (same + most + 1) // 2
+        equal = (rolling[a + half] - rolling[a]) * down[a] == (rolling[b + half] - rolling[b]) * down[b]
+        same, most = np.where(equal, half, same), np.where(equal, most, half - 1)
     run = np.cumsum(head) - 1
-    return np.minimum(found[run] - (p - a[run]), np.minimum(ends[p] - p, ends[q] - q))
+    return np.minimum(same[run] - (p - a[run]), np.minimum(ends[p] - p, ends[q] - q))
 
 
 def shard_repeats(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +102,12 @@ def shard_repeats(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     p, q = order[near], order[near - 1]
     sort = np.argsort(p)
     p, q = p[sort], q[sort]
-    shared = common_prefixes(eight, p, q, ends)
+    shared = common_prefixes(prefix_hash(data), p, q, ends)
     long = shared >= WINDOW
     p, q, shared = p[long], q[long], shared[long]
     later[p] = True
     for x in (p, q):
-        np.add.at(edges, x, 1)
-        np.add.at(edges, x + shared, -1)
+        edges += np.bincount(x, minlength=n + 1) - np.bincount(x + shared, minlength=n + 1)
     return np.cumsum(edges)[:n] > 0, later
 
 
