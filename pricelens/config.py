@@ -58,6 +58,8 @@ class StudyConfig:
     excursion_seconds: int = 5
     window_before_ms: int = 30_000
     chunk_ms: int = 600_000
+    # Rows of a contract-day that one task orders at once.
+    chunk_rows: int = 50_000
 
 
 @dataclass(frozen=True)

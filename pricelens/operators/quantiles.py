@@ -1,29 +1,20 @@
 """Exact linear-interpolated quantiles of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task. ``exact_quantiles`` keeps that for groups
-whose size has been checked and otherwise ranks values in slices: value counts (combined map-side) are cut at
-approximate quantiles, slice totals give each slice its first rank, and only the slices that contain a
-requested rank are ordered.
+Value counts (combined map-side) are cut into slices at approximate quantiles, slice totals give each slice its first
+rank, and only the slices that contain a requested rank are ordered. A group gets a slice for each ``SLICE_VALUES`` of
+its distinct values, up to ``MOST_SLICES``; no group stands in one task.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .sizing import peak_group_rows
+SLICE_VALUES = 50_000
+MOST_SLICES = 1024
 
-SLICES = 64
 
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    method: str = "auto", max_group_rows: int = 2_000_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with non-null values: ``keys``, ``n`` and one column per entry of ``probs``."""
     src = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    if method == "auto":
-        method = "builtin" if peak_group_rows(src, keys) <= max_group_rows else "ranked"
-    if method == "builtin":
-        levels = F.array(*[F.lit(float(p)) for p in probs.values()])
-        agg = src.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", levels).alias("_q"))
-        return agg.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
     return _ranked(src, keys, probs)
 
 
@@ -37,10 +28,13 @@ def _same(keys: list[str], left: str, right: str) -> Column:
 def _ranked(src: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     counts = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     cuts = counts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.percentile_approx("_v", [i / SLICES for i in range(1, SLICES)], F.lit(1000)).alias("_cuts"),
+        F.percentile_approx("_v", [i / MOST_SLICES for i in range(1, MOST_SLICES)], F.lit(10_000)).alias("_cuts"),
+        F.count(F.lit(1)).alias("_values"),
         # Reading the count keeps this branch's plan equal to the others, so one exchange serves them all.
         F.max("_c").alias("_peak"),
     )
+    wanted = F.least(F.lit(MOST_SLICES), F.ceil(F.col("_values") / SLICE_VALUES)).cast("int")
+    cuts = cuts.withColumn("_wanted", wanted).withColumn("_cuts", F.array_distinct(F.filter("_cuts", lambda c, i: F.floor((i + 1) * F.col("_wanted") / MOST_SLICES) > F.floor(i * F.col("_wanted") / MOST_SLICES))))
     sliced = counts.join(cuts, _same(keys, "{}", "_k_{}")).select(
         *keys, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_slice")
     )

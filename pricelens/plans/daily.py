@@ -379,8 +379,8 @@ def amplitude_excess(suspects: DataFrame) -> DataFrame:
     return flagged.select(F.explode(metrics).alias("m")).select("m.*").filter(c("excess_pct") > 0)
 
 
-def amplitude_summary(excess: DataFrame, method: str = "auto") -> DataFrame:
-    stats = exact_quantiles(excess, ["metric"], "excess_pct", {"p50": 0.5, "p90": 0.9}, method)
+def amplitude_summary(excess: DataFrame) -> DataFrame:
+    stats = exact_quantiles(excess, ["metric"], "excess_pct", {"p50": 0.5, "p90": 0.9})
     peaks = excess.groupBy("metric").agg(F.max("excess_pct").alias("max_pct"))
     return stats.join(peaks, "metric").withColumnRenamed("n", "n_rows")
 
@@ -396,7 +396,7 @@ def contract_gaps(suspects: DataFrame) -> DataFrame:
     return suspects.select("commodity", gap.cast("bigint").alias("gap_months")).filter(F.col("gap_months").isNotNull())
 
 
-def contract_gap_summary(gaps: DataFrame, method: str = "auto") -> DataFrame:
+def contract_gap_summary(gaps: DataFrame) -> DataFrame:
     both = gaps.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("commodity"))))
-    stats = exact_quantiles(both, ["scope"], "gap_months", {"p50": 0.5, "p90": 0.9}, method)
+    stats = exact_quantiles(both, ["scope"], "gap_months", {"p50": 0.5, "p90": 0.9})
     return stats.join(both.groupBy("scope").agg(F.max("gap_months").alias("max_gap")), "scope").withColumnRenamed("n", "n_rows")

@@ -61,11 +61,11 @@ def eligible_for_shapes(max_uncertainty: float = 10.0, labels: tuple[str, ...] =
 
 
 def parameter_shapes(events: DataFrame, quantiles: tuple[float, ...] = (0.70, 0.85), width_ratios: tuple[float, ...] = (0.4,),
-                     step_ratios: tuple[float, ...] = (0.5,), min_samples: int = 4, method: str = "auto") -> DataFrame:
+                     step_ratios: tuple[float, ...] = (0.5,), min_samples: int = 4) -> DataFrame:
     """Touch depth T, width W, offset D and step S per contract, in percent."""
     c = F.col
     depth = events.filter(eligible_for_shapes()).select("commodity", "contract", (c("event_depth_bps") / 100.0).alias("_d"))
-    q = exact_quantiles(depth, ["commodity", "contract"], "_d", {f"t{i}": v for i, v in enumerate(quantiles)}, method)
+    q = exact_quantiles(depth, ["commodity", "contract"], "_d", {f"t{i}": v for i, v in enumerate(quantiles)})
     each = lambda xs: F.explode(F.array(*[F.lit(float(x)) for x in xs]))
     rows = q.filter(c("n") >= min_samples).select(
         "commodity", c("contract").alias("target_contract"), F.explode(F.array(*[c(f"t{i}") for i in range(len(quantiles))])).alias("T_pct"))
@@ -189,7 +189,7 @@ def unique_events(details: DataFrame, mode: str = "raw", horizon: int = 5) -> Da
     return x.withColumn("follow_ratio", F.when(usable, F.greatest(F.lit(0.0), move) / c("abs_dev")))
 
 
-def forward_excursions(prepared: DataFrame, horizon_seconds: int, chunk_ms: int = 600_000, method: str = "ranked") -> DataFrame:
+def forward_excursions(prepared: DataFrame, horizon_seconds: int, chunk_ms: int = 600_000) -> DataFrame:
     """Quantiles of the largest relative mid move within the horizon, per instrument and direction."""
     c = F.col
     rows = prepared.filter(c("mid").isNotNull() & c("ts_ms").isNotNull()).select("trade_date", "InstrumentID", "segment_id", "ts_ms", "mid")
@@ -200,7 +200,7 @@ def forward_excursions(prepared: DataFrame, horizon_seconds: int, chunk_ms: int
         F.struct(F.lit("SELL").alias("direction"), ((c("_hi") - c("mid")) / c("mid")).alias("e")),
         F.struct(F.lit("BUY").alias("direction"), ((c("mid") - c("_lo")) / c("mid")).alias("e"))))
     long = reach.select("InstrumentID", legs.alias("l")).select("InstrumentID", "l.direction", "l.e")
-    return exact_quantiles(long, ["InstrumentID", "direction"], "e", {"q90": 0.90, "q95": 0.95, "q99": 0.99}, method).withColumn(
+    return exact_quantiles(long, ["InstrumentID", "direction"], "e", {"q90": 0.90, "q95": 0.95, "q99": 0.99}).withColumn(
         "horizon_seconds", F.lit(horizon_seconds))
 
 
@@ -270,7 +270,7 @@ def infer_multiplier(frames: DataFrame, min_rows: int = 10) -> DataFrame:
     c = F.col
     ratio = c("delta_turnover") / c("delta_volume") / c("LastPrice")
     rows = frames.filter((c("delta_turnover") > 0) & (c("delta_volume") > 0) & (c("LastPrice") > 0)).select("commodity", ratio.alias("_r"))
-    q = exact_quantiles(rows, ["commodity"], "_r", {"m": 0.5}, "ranked").filter(c("n") >= min_rows)
+    q = exact_quantiles(rows, ["commodity"], "_r", {"m": 0.5}).filter(c("n") >= min_rows)
     return q.select("commodity", c("n").alias("n_rows"), F.rint("m").cast("bigint").alias("multiplier")).filter(c("multiplier") >= 1)
 
 

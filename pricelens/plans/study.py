@@ -12,7 +12,6 @@ from ..functions.clock import DAY_MS, display_time, with_clock
 from ..operators.chunked import CHUNK, chunk_of, islands, ordered_state
 from ..operators.quantiles import exact_quantiles
 from ..operators.rangejoin import range_join
-from ..operators.sizing import chunk_width
 from ..session import materialize
 
 KEYS = ["trade_date", "InstrumentID"]
@@ -24,16 +23,15 @@ def finite_price(price: Column) -> Column:
     return F.coalesce(price.isNotNull() & ~F.isnan(price) & (price > 0) & (price < PRICE_MAX), F.lit(False))
 
 
-def row_chunks(raw: DataFrame, target_rows: int = 2_000_000) -> tuple[DataFrame, str | None]:
-    """The rows and the name of their chunk column; None when the largest contract-day fits one task."""
-    width = chunk_width(raw, KEYS, "row_order", target_rows, probe_width=target_rows)
-    if width is None:
-        return raw, None
-    return raw.withColumn(CHUNK, chunk_of("row_order", width)), CHUNK
+def row_chunks(raw: DataFrame, cfg: StudyConfig = StudyConfig()) -> tuple[DataFrame, str]:
+    """The rows and the name of their chunk column; a chunk is ``cfg.chunk_rows`` of a contract-day's row order."""
+    return raw.withColumn(CHUNK, chunk_of("row_order", cfg.chunk_rows)), CHUNK
 
 
 def prepare(raw: DataFrame, cfg: StudyConfig = StudyConfig(), chunk: str | None = None) -> DataFrame:
     c = F.col
+    if chunk is None:
+        raw, chunk = row_chunks(raw, cfg)
     both = finite_price(c("BidPrice1")) & finite_price(c("AskPrice1"))
     volume = c("Volume").cast("double")
     x = with_clock(raw, "clock", c("UpdateTime"), c("UpdateMillisec")).withColumns({
@@ -208,7 +206,7 @@ def event_windows(prepared: DataFrame, events: DataFrame, cfg: StudyConfig = Stu
     )
 
 
-def distributions(prepared: DataFrame, method: str = "ranked") -> DataFrame:
+def distributions(prepared: DataFrame) -> DataFrame:
     """Quantiles of the absolute deviation per contract-day and per contract, in percent."""
     c = F.col
     probs = {"q90_pct": 0.9, "q95_pct": 0.95, "q99_pct": 0.99, "q99_5_pct": 0.995, "q99_9_pct": 0.999,
@@ -220,7 +218,7 @@ def distributions(prepared: DataFrame, method: str = "ranked") -> DataFrame:
     rows = prepared.filter(c("deviation").isNotNull()).select(
         "InstrumentID", (F.abs(c("deviation")) * 100).alias("_pct"), scopes.alias("s")
     ).select("InstrumentID", "_pct", "s.scope", c("s.day").alias("trade_date"))
-    return exact_quantiles(rows, ["scope", "InstrumentID", "trade_date"], "_pct", probs, method).withColumnRenamed(
+    return exact_quantiles(rows, ["scope", "InstrumentID", "trade_date"], "_pct", probs).withColumnRenamed(
         "n", "new_trade_records")
 
 
@@ -286,7 +284,7 @@ def combination_spine(prepared: DataFrame, cfg: StudyConfig = StudyConfig()) ->
     return days.withColumn("_c", F.explode(combos)).select(*KEYS, "deviation_records", "effective_day", "_c.*")
 
 
-def overall_summary(days: DataFrame, details: DataFrame, cfg: StudyConfig = StudyConfig(), method: str = "ranked") -> DataFrame:
+def overall_summary(days: DataFrame, details: DataFrame, cfg: StudyConfig = StudyConfig()) -> DataFrame:
     """Contract level. Medians are not additive, so they come from the events again, not from the day rows."""
     c = F.col
     keys = ["InstrumentID", *COMBO]
@@ -302,7 +300,7 @@ def overall_summary(days: DataFrame, details: DataFrame, cfg: StudyConfig = Stud
         F.struct(F.lit("mae").alias("m"), F.when(done, c("mae_pct")).alias("v")),
     )
     long = details.select(*keys, F.explode(values).alias("x")).select(*keys, "x.m", "x.v")
-    q = exact_quantiles(long, [*keys, "m"], "v", {"p50": 0.5, "p95": 0.95}, method)
+    q = exact_quantiles(long, [*keys, "m"], "v", {"p50": 0.5, "p95": 0.95})
     pick = lambda m, p: F.max(F.when(c("m") == m, c(p)))
     medians = q.groupBy(*keys).agg(
         *[pick(f"recovery_ratio_{h}s", "p50").alias(f"recovery_ratio_{h}s_median") for h in cfg.horizons],

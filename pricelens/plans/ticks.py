@@ -20,7 +20,6 @@ from ..operators.asof import asof_join, nearest_join
 from ..operators.baseline import reference_metrics
 from ..operators.chunked import CHUNK, CORE, chunk_of, drop_halo, gap_islands, halo_chunks, ordered_state
 from ..operators.rangejoin import range_join
-from ..operators.sizing import chunk_width
 
 K = ["trade_date", "commodity", "contract"]
 REASON_ORDER = ("visible_execution_drop", "interval_execution_drop", "visible_execution_spike", "interval_execution_spike")
@@ -49,11 +48,6 @@ def collapse(raw: DataFrame) -> DataFrame:
              "raw_rows", "_last.*")
 
 
-def frame_chunk_width(raw: DataFrame, cfg: TickConfig = TickConfig(), target_rows: int = 2_000_000) -> int | None:
-    """Chunk width for frame-level ordering; None when the largest contract-day fits one task."""
-    return chunk_width(with_keys(raw), K, "market_time_key", target_rows, cfg.chunk_ms)
-
-
 def prepare(raw: DataFrame, profiles: DataFrame, cfg: TickConfig = TickConfig(), bounds: DataFrame | None = None,
             width: int | None = None) -> DataFrame:
     """Frames with sessions, guards, quotes, deltas, interval VWAP and its band check.
@@ -69,10 +63,8 @@ def prepare(raw: DataFrame, profiles: DataFrame, cfg: TickConfig = TickConfig(),
         "display_time": display_time(c("UpdateTime"), c("UpdateMillisec")),
         "mid_price": mid_price(c("BidPrice1"), c("AskPrice1")),
     })
-    chunk = None
-    if width:
-        f, chunk = f.withColumn(CHUNK, chunk_of("market_time_key", width)), CHUNK
-    f = ordered_state(f, K, ["market_time_key"], chunk, previous={
+    f = f.withColumn(CHUNK, chunk_of("market_time_key", width or cfg.chunk_ms))
+    f = ordered_state(f, K, ["market_time_key"], CHUNK, previous={
         "_pk": c("market_time_key"), "_pv": c("Volume"), "_pt": c("Turnover"), "_ps": c("is_tradable_session"),
     }).drop(CHUNK)
     f = f.withColumns({
@@ -325,7 +317,7 @@ def merge(cands: DataFrame, marked: DataFrame, cfg: TickConfig = TickConfig(), w
     """Candidates of one direction within both the merge window and the data gap limit become one event."""
     c = F.col
     key = "market_time_key"
-    numbered = gap_islands(cands, [*K, "event_direction"], key, min(cfg.merge_ms, cfg.max_gap_ms), chunk_width=width)
+    numbered = gap_islands(cands, [*K, "event_direction"], key, min(cfg.merge_ms, cfg.max_gap_ms), chunk_width=width or cfg.chunk_ms)
     grouped = numbered.groupBy(*K, "event_direction", "island").agg(
         F.max_by(F.struct(key, *EVENT_FIELDS), F.struct("candidate_execution_depth", -c(key))).alias("a"),
         F.min(key).alias("event_start_key"), F.max(key).alias("event_end_key"),
@@ -428,6 +420,15 @@ def finalize(events: DataFrame) -> DataFrame:
     })
 
 
+def alternate_deltas(frames: DataFrame, cfg: TickConfig = TickConfig(), width: int | None = None) -> DataFrame:
+    """Volume traded since the frame before: positive, and within the gap limit; else null."""
+    c = F.col
+    x = frames.select(*K, "market_time_key", "Volume").withColumn(CHUNK, chunk_of("market_time_key", width or cfg.chunk_ms))
+    x = ordered_state(x, K, ["market_time_key"], CHUNK, previous={"_pk": c("market_time_key"), "_pv": c("Volume")}).drop(CHUNK)
+    traded = (c("market_time_key") - c("_pk") <= cfg.max_gap_ms) & (c("Volume") > c("_pv"))
+    return x.select(*K, "market_time_key", F.when(traded, c("Volume") - c("_pv")).alias("delta_volume"))
+
+
 def detect(frames: DataFrame, cfg: TickConfig = TickConfig(), width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(marked frames, finished events)."""
     marked = mark(attach_reference(frames, cfg), cfg)

@@ -24,10 +24,10 @@ def _list(values) -> Column:
     return F.explode(F.array(*[F.lit(float(v)) for v in values]))
 
 
-def scenarios(spark, cfg: WhatIfConfig = WhatIfConfig()) -> DataFrame:
-    """All parameter combinations that do not exit before they hedge."""
+def scenarios(events: DataFrame, cfg: WhatIfConfig = WhatIfConfig()) -> DataFrame:
+    """The events under all parameter combinations that do not exit before they hedge."""
     return (
-        spark.range(1).select(_list(cfg.order_ages_seconds).alias("order_age_seconds"))
+        events.withColumn("order_age_seconds", _list(cfg.order_ages_seconds))
         .withColumn("entry_distance_bps", _list(cfg.entry_distances_bps))
         .withColumn("hedge_delay_seconds", _list(cfg.hedge_delays_seconds))
         .withColumn("exit_delay_seconds", _list(cfg.exit_delays_seconds))
@@ -108,8 +108,9 @@ def hedged_worst_mark(rows: DataFrame, frames: DataFrame, cfg: WhatIfConfig = Wh
 def outcomes(events: DataFrame, enriched: DataFrame, frames: DataFrame, cfg: WhatIfConfig = WhatIfConfig()) -> DataFrame:
     """One row per downward event and scenario with prices, P&L, risk and status."""
     c = F.col
-    down = events.filter(c("event_direction") == "down")
-    x = touches(orders(placement_fairs(down, enriched, cfg), cfg), frames, cfg)
+    # Each step is written: the next one plans over a plain table, not over all joins before it.
+    down = materialize(events.filter(c("event_direction") == "down"))
+    x = materialize(touches(materialize(orders(placement_fairs(down, enriched, cfg), cfg)), frames, cfg))
     x = x.withColumn("hedge_delay_seconds", _list(cfg.hedge_delays_seconds)).withColumn("exit_delay_seconds", _list(cfg.exit_delays_seconds))
     later = lambda s: (c("fill_key") + F.rint(c(s) * 1000)).cast("bigint")
     x = x.filter(c("exit_delay_seconds") >= c("hedge_delay_seconds")).withColumns({
@@ -122,8 +123,8 @@ def outcomes(events: DataFrame, enriched: DataFrame, frames: DataFrame, cfg: Wha
     x = _executable(x, frames, "reference_contract", "exit_requested_key", "AskPrice1", "_ha", cfg)
     positive = lambda e: F.when(e > 0, e)
     x = x.withColumns({"hedge_entry_price": positive(c("_hb") - slip), "target_exit_price": positive(c("_tb") - slip), "hedge_exit_price": c("_ha") + slip})
-    x = materialize(x)  # read by both risk measures below
-    x = hedged_worst_mark(unhedged_mae(x, frames, cfg), frames, cfg)
+    x = materialize(unhedged_mae(materialize(x), frames, cfg))
+    x = materialize(hedged_worst_mark(x, frames, cfg))
     size_t, size_h = c("multiplier") * cfg.target_lots, c("multiplier") * cfg.hedge_lots
     commission = 2.0 * (cfg.target_lots + cfg.hedge_lots) * cfg.commission_per_lot
     x = x.withColumns({"target_pnl": (c("target_exit_price") - c("entry_price")) * size_t,
@@ -144,14 +145,14 @@ def outcomes(events: DataFrame, enriched: DataFrame, frames: DataFrame, cfg: Wha
     settled = c("status").isin("capital_rejected", "risk_rejected", "event_fill")
     x = x.withColumn("status", status).withColumn("model_settled", settled)
     money = ["target_pnl", "hedge_pnl", "net_pnl", "observed_worst_net_pnl", "gross_margin", "hedged_worst_mark_pnl"]
-    return x.withColumn("strategy_eligible", c("status") == "event_fill").withColumns(
+    return x.withColumns({"strategy_eligible": c("status") == "event_fill", "fill_model": F.lit(cfg.fill_model)}).withColumns(
         {m: F.when(c("model_settled"), c(m)) for m in money}).drop("_hb", "_hb_key", "_tb", "_tb_key", "_ha", "_ha_key")
 
 
-GROUP = ["commodity", "contract", "order_age_seconds", "entry_distance_bps", "hedge_delay_seconds", "exit_delay_seconds"]
+GROUP = ["fill_model", "commodity", "contract", "order_age_seconds", "entry_distance_bps", "hedge_delay_seconds", "exit_delay_seconds"]
 
 
-def summary(trades: DataFrame, method: str = "ranked") -> DataFrame:
+def summary(trades: DataFrame) -> DataFrame:
     """Per contract and scenario: status counts, rates among clean orders, sums and tail statistics."""
     c = F.col
     n = lambda s: F.count_if(c("status") == s)
@@ -168,7 +169,7 @@ def summary(trades: DataFrame, method: str = "ranked") -> DataFrame:
         F.min(F.when(c("model_settled"), c("observed_worst_net_pnl"))).alias("observed_worst_net_pnl_min"))
     metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), c(m).alias("v")) for m in ("gross_margin", "unhedged_mae_bps", "observed_worst_net_pnl")]))
     long = trades.filter("model_settled").select(*GROUP, metrics.alias("x")).select(*GROUP, "x.m", "x.v")
-    q = exact_quantiles(long, [*GROUP, "m"], "v", {"p10": 0.1, "p50": 0.5}, method)
+    q = exact_quantiles(long, [*GROUP, "m"], "v", {"p10": 0.1, "p50": 0.5})
     pick = lambda m, p: F.max(F.when(c("m") == m, c(p)))
     tails = q.groupBy(*GROUP).agg(pick("gross_margin", "p50").alias("median_gross_margin"), pick("unhedged_mae_bps", "p10").alias("unhedged_mae_bps_p10"),
                                   pick("observed_worst_net_pnl", "p10").alias("observed_worst_net_pnl_p10"))

@@ -126,7 +126,7 @@ QUERIES = {
     "joi_18_exclusions": lambda s, d: P.split_exclusions(ev(s, d), blocked_days(s, d)).select("event_id", "exclusion_reason"),
     "prj_24_direction_words": lambda s, d: ev(s, d).select("event_id", codes.direction_buy_sell(F.col("raw_direction")).alias("direction")),
     "prj_29_shape_eligibility": lambda s, d: ev(s, d).filter(P.eligible_for_shapes()).select("event_id"),
-    "agg_20_parameter_shapes": lambda s, d: P.parameter_shapes(ev(s, d), method="ranked").select(
+    "agg_20_parameter_shapes": lambda s, d: P.parameter_shapes(ev(s, d)).select(
         "commodity", "target_contract", *r6("T_pct", "W_pct", "D_pct", "S_pct")),
     "prj_30_legacy_depth": lambda s, d: P.legacy_depth(ev(s, d), F.lit(0.02)).select(
         "event_id", *r6("derived_depth_ticks", "derived_depth_bps"), "derived_source", "derived_channels"),

@@ -9,7 +9,7 @@ from ..plans import study as P
 from ..sources.driver_tables import SNAPSHOTS_SQL, snapshots
 from .daily import q6, r6
 
-CFG = StudyConfig()
+CFG = StudyConfig(chunk_rows=500)
 
 
 def raw_rows(spark, d):
@@ -26,12 +26,12 @@ def raw_rows(spark, d):
 
 
 def prepared(spark, d):
-    rows, chunk = P.row_chunks(raw_rows(spark, d))
+    rows, chunk = P.row_chunks(raw_rows(spark, d), CFG)
     return P.prepare(rows, CFG, chunk)
 
 
 def _events(spark, d):
-    rows, chunk = P.row_chunks(raw_rows(spark, d))
+    rows, chunk = P.row_chunks(raw_rows(spark, d), CFG)
     p = P.prepare(rows, CFG, chunk)
     return p, P.cluster(P.candidates(p, CFG), CFG, chunk)
 
@@ -42,7 +42,7 @@ def details(spark, d):
 
 
 def _all(spark, d):
-    rows, chunk = P.row_chunks(raw_rows(spark, d))
+    rows, chunk = P.row_chunks(raw_rows(spark, d), CFG)
     return P.analyze(rows, CFG, chunk)
 
 

@@ -31,7 +31,7 @@ def day_bounds(spark, d):
 
 def frames(spark, d):
     raw = raw_rows(spark, d)
-    return P.prepare(raw, profiles(spark), CFG, day_bounds(spark, d), P.frame_chunk_width(raw, CFG))
+    return P.prepare(raw, profiles(spark), CFG, day_bounds(spark, d), CFG.chunk_ms)
 
 
 def enriched(spark, d):
@@ -45,7 +45,7 @@ def marked(spark, d):
 def _chain(spark, d):
     """Frames and marked frames feed several results, so they are written once."""
     raw = raw_rows(spark, d)
-    width = P.frame_chunk_width(raw, CFG)
+    width = CFG.chunk_ms
     f = P.prepare(raw, profiles(spark), CFG, day_bounds(spark, d), width)
     f = materialize(f)
     m = materialize(P.mark(P.attach_reference(f, CFG), CFG))

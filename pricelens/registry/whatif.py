@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import WhatIfConfig
-from ..plans import logs as G, whatif as W
+from ..plans import logs as G, ticks as T, whatif as W
 from ..sources.driver_tables import BARS_SQL, SNAPSHOTS_SQL, daily_bars, table
 from . import ticks as TR
 from .daily import r6
@@ -67,7 +67,7 @@ def _asof_state(spark, d):
 
 def _labels(spark, d):
     f = TR.frames(spark, d).select("trade_date", "contract", "market_time_key", "snapshot_seq_end", "LastPrice")
-    fills = f.filter("snapshot_seq_end > 0").select("trade_date", "contract", F.col("snapshot_seq_end").alias("fill_id"), F.col("market_time_key").alias("fill_key"))
+    fills = f.select("trade_date", "contract", F.col("snapshot_seq_end").alias("fill_id"), F.col("market_time_key").alias("fill_key"))
     ev = f.filter("LastPrice < 996 or LastPrice > 1016").select("trade_date", "contract", F.col("snapshot_seq_end").alias("anchor_seq"))
     return G.label_fills(fills, ev, f, 2000).select("trade_date", "contract", "fill_id", "event_label")
 
@@ -76,36 +76,28 @@ def _frames_for_evidence(spark, d):
     f = TR.frames(spark, d)
     side = F.when(F.col("snapshot_seq_end") % 2 == 0, "buy").otherwise("sell")
     limit = F.round(F.col("LastPrice") + (F.col("snapshot_seq_end") % 5 - 2) * 0.1, 2)
-    return f.select("snapshot_seq_end", F.array_join(G.fill_evidence(side, limit, F.lit(4)), "+").alias("evidence"))
+    return f.select("snapshot_seq_end", F.array_join(G.fill_evidence(side, limit, F.lit(4)), "+").alias("evidence"),
+                    F.array_join(G.fill_evidence(side, limit, F.lit(4), strict=True), "+").alias("strict_evidence"))
 
 
 def _band_columns(spark, d):
-    f = TR.frames(spark, d).filter("mid_price is not null and tick_size is not null")
+    f = TR.frames(spark, d)
     direction = F.when(F.col("snapshot_seq_end") % 2 == 0, "BUY").otherwise("SELL")
     price, effective = G.directional_price(F.col("mid_price"), direction, F.lit(0.0013), F.col("tick_size"))
     return f.select("snapshot_seq_end", F.round(price + 1e-9, 6).alias("quote_price"),
                     G.in_band(effective, F.lit(0.0013), F.lit(0.00131)).alias("in_band"),
                     (effective * F.col("mid_price") > 20.0 * (F.col("AskPrice1") - F.col("BidPrice1"))).alias("spread_ok"),
-                    G.grid_ticks(F.col("LastPrice"), F.col("tick_size"), 0.4).cast("bigint").alias("width_ticks"))
-
-
-def _alternate_deltas(spark, d):
-    """Deltas with a gap limit and non-decreasing volume."""
-    from ..operators.chunked import ordered_state
-    f = TR.frames(spark, d).select("trade_date", "commodity", "contract", "market_time_key", "Volume")
-    x = ordered_state(f, ["trade_date", "commodity", "contract"], ["market_time_key"], None, previous={"pk": F.col("market_time_key"), "pv": F.col("Volume")})
-    ok = (F.col("market_time_key") - F.col("pk") <= 3000) & (F.col("Volume") >= F.col("pv"))
-    return x.select("trade_date", "contract", "market_time_key", F.when(ok, F.col("Volume") - F.col("pv")).alias("delta_volume"))
+                    G.grid_ticks(F.col("LastPrice"), F.col("tick_size"), 0.4).cast("bigint").alias("width_ticks"),
+                    G.quote_covers_spread(G.grid_ticks(F.col("LastPrice"), F.col("tick_size"), 0.4), G.grid_ticks(F.col("LastPrice"), F.col("tick_size"), 0.6),
+                                          F.col("BidPrice1"), F.col("AskPrice1"), F.col("tick_size"), 20.0).alias("covers_spread"))
 
 
 OUT_COLS = ["order_fair_price", "entry_price", "hedge_entry_price", "target_exit_price", "hedge_exit_price", "unhedged_mae_bps", "net_pnl", "hedged_worst_mark_pnl", "gross_margin"]
 TKEY = ["trade_date", "contract", "event_anchor_key", "order_age_seconds", "entry_distance_bps", "hedge_delay_seconds", "exit_delay_seconds"]
 
 QUERIES = {
-    "joi_19_scenarios": lambda s, d: W.scenarios(s, CFG).withColumn("one", F.lit(1)).join(
-        TR.raw_rows(s, d).select("commodity").distinct().withColumn("one", F.lit(1)), "one").drop("one"),
-    "joi_20_grid_scenarios": lambda s, d: G.scenario_grid(s, SHAPES, LATENCIES).withColumn("one", F.lit(1)).join(
-        TR.raw_rows(s, d).select("contract").distinct().withColumn("one", F.lit(1)), "one").drop("one"),
+    "joi_19_scenarios": lambda s, d: W.scenarios(TR._chain(s, d)[2].filter("event_direction = 'down'").select("trade_date", "contract", "event_anchor_key"), CFG),
+    "joi_20_grid_scenarios": lambda s, d: G.scenario_grid(TR.raw_rows(s, d).select("trade_date", "contract").distinct(), SHAPES, LATENCIES),
     "joi_07_placement_fair": lambda s, d: (lambda f, m, ev: W.placement_fairs(ev.filter("event_direction = 'down'"), m, CFG).select(
         "trade_date", "contract", "event_anchor_key", "order_age_seconds", "order_fair_key", *r6("order_fair_price")))(*TR._chain(s, d)),
     "joi_21_limit_touches": lambda s, d: (lambda f, m, ev: W.touches(W.orders(W.placement_fairs(ev.filter("event_direction = 'down'"), m, CFG), CFG), f, CFG).select(
@@ -130,10 +122,10 @@ QUERIES = {
         F.max("order_seq").cast("double").alias("LastPrice"), F.lit(0.0).alias("BidPrice1"), F.lit(0.0).alias("AskPrice1")), 600_000).select("trade_id", "market_time_key", "phases"),
     "joi_28_trade_flow": lambda s, d: G.trade_flow(trade_log(s, d), order_log(s, d), transition_log(s, d), 600_000).select("trade_id", "market_time_key", "priority", "kind", "detail"),
     "prj_26_fill_evidence": _frames_for_evidence,
-    "prj_27_spread_guard": lambda s, d: _band_columns(s, d).select("snapshot_seq_end", "quote_price", "spread_ok", "width_ticks"),
+    "prj_27_spread_guard": lambda s, d: _band_columns(s, d).select("snapshot_seq_end", "quote_price", "spread_ok", "width_ticks", "covers_spread"),
     "prj_28_distance_band": lambda s, d: _band_columns(s, d).select("snapshot_seq_end", "in_band"),
     "win_29_slot_samples": lambda s, d: G.slot_samples(TR.frames(s, d), ["trade_date", "contract"], 5000).select("trade_date", "contract", "slot", "market_time_key"),
-    "win_33_alternate_deltas": _alternate_deltas,
+    "win_33_alternate_deltas": lambda s, d: T.alternate_deltas(TR.frames(s, d), TR.CFG).select("trade_date", "contract", "market_time_key", "delta_volume"),
 }
 
 ORD = TR.EVENTS + """,
@@ -183,22 +175,21 @@ std as (select 'overall' as scope, 'ALL' as day, * from td union all select 'day
 pk as (select scope, day, max(n) as peak from (select scope, day, count(*) over (partition by scope, day order by k range between 60000 preceding and current row) as n from sol where event in ('submit', 'cancel_requested')) group by 1, 2)"""
 
 ORACLE = {
-    "joi_19_scenarios": """select age as order_age_seconds, dist as entry_distance_bps, hd as hedge_delay_seconds, xd as exit_delay_seconds, commodity from (select unnest([5.0::double, 20.0::double]) as age),
-   (select unnest([10.0::double, 25.0::double]) as dist), (select unnest([1.0::double, 3.0::double]) as hd), (select unnest([2.0::double, 8.0::double]) as xd), (select distinct upper(event_type) as commodity from events) where xd >= hd""",
+    "joi_19_scenarios": ORD + " select trade_date, contract, ak as event_anchor_key, age as order_age_seconds, dist as entry_distance_bps, hd as hedge_delay_seconds, xd as exit_delay_seconds from dn, (select unnest([5.0::double, 20.0::double]) as age), (select unnest([10.0::double, 25.0::double]) as dist), sc",
     "joi_20_grid_scenarios": "with " + SNAPSHOTS_SQL + """, q as (select * from (values (1, 0.4::double, 0.6::double, 0.2::double), (2, 0.8::double, 1.2::double, 0.4::double)) t(q, w, dd, s)), l as (select * from (values (1, 500, 500), (2, 1000, 750)) t(l, c, n))
-   select 'Q0' || q || '-L0' || l as scenario_id, w as "W_pct", dd as "D_pct", s as "S_pct", c as cancel_ack_latency_ms, n as new_order_ack_latency_ms, contract from q, l, (select distinct contract from snap)""",
+   select 'Q0' || q || '-L0' || l as scenario_id, w as "W_pct", dd as "D_pct", s as "S_pct", c as cancel_ack_latency_ms, n as new_order_ack_latency_ms, trade_date, contract from q, l, (select distinct trade_day as trade_date, contract from snap)""",
     "joi_07_placement_fair": ORD + " select trade_date, contract, ak as event_anchor_key, age as order_age_seconds, fk as order_fair_key, round(fair + 1e-9::double, 6) as order_fair_price from pl_",
     "joi_21_limit_touches": ORD + " select trade_date, contract, ak as event_anchor_key, age as order_age_seconds, dist as entry_distance_bps, round(ep + 1e-9::double, 6) as entry_price, pre as pre_touch_key, fl as fill_key from o2",
     "joi_08_executable_quotes": ORD + f" select {QT}, round(he + 1e-9::double, 6) as hedge_entry_price, round(te + 1e-9::double, 6) as target_exit_price, round(hx + 1e-9::double, 6) as hedge_exit_price from trs where fl is not null",
     "win_24_unhedged_mae": ORD + f" select {QT}, round(mae + 1e-9::double, 6) as unhedged_mae_bps, round(uw + 1e-9::double, 6) as unhedged_worst_mark_pnl from trs where fl is not null",
     "win_25_hedged_worst_mark": ORD + f" select {QT}, round(hworst + 1e-9::double, 6) as hedged_worst_mark_pnl from trs where settled",
     "rul_15_outcomes": ORD + f" select {QT}, status, round(case when settled then net end + 1e-9::double, 6) as net_pnl, round(case when settled then own end + 1e-9::double, 6) as observed_worst_net_pnl, round(case when settled then marg end + 1e-9::double, 6) as gross_margin from trs",
-    "agg_21_whatif_summary": ORD + """ select commodity, contract, age as order_age_seconds, dist as entry_distance_bps, hd as hedge_delay_seconds, xd as exit_delay_seconds, count(distinct (trade_date, ak)) as candidate_event_count,
+    "agg_21_whatif_summary": ORD + f""" select '{CFG.fill_model}' as fill_model, commodity, contract, age as order_age_seconds, dist as entry_distance_bps, hd as hedge_delay_seconds, xd as exit_delay_seconds, count(distinct (trade_date, ak)) as candidate_event_count,
    count_if(status = 'pre_event_touch') as pre_event_touch_count, count_if(status = 'no_fill') as no_fill_count, count_if(settled) as model_settled_count, count_if(status = 'risk_rejected') as risk_rejected_count,
    count_if(status = 'event_fill') as strategy_eligible_count, round(coalesce(sum(net) filter (where settled), 0) + 1e-9::double, 6) as settled_net_pnl, round(coalesce(sum(net) filter (where status = 'event_fill'), 0) + 1e-9::double, 6) as eligible_net_pnl,
    round(count_if(status = 'event_fill' and net > 0) / nullif(count_if(status = 'event_fill'), 0)::double + 1e-9::double, 6) as eligible_win_rate, round(median(marg) filter (where settled) + 1e-9::double, 6) as median_gross_margin,
    round(quantile_cont(mae, 0.1) filter (where settled) + 1e-9::double, 6) as unhedged_mae_bps_p10, round(min(own) filter (where settled) + 1e-9::double, 6) as observed_worst_net_pnl_min,
-   round(count_if(settled) / nullif(count(*) - count_if(status = 'pre_event_touch'), 0)::double + 1e-9::double, 6) as model_fill_rate_among_clean_orders from trs group by 1, 2, 3, 4, 5, 6""",
+   round(count_if(settled) / nullif(count(*) - count_if(status = 'pre_event_touch'), 0)::double + 1e-9::double, 6) as model_fill_rate_among_clean_orders from trs group by 1, 2, 3, 4, 5, 6, 7""",
     "win_28_peak_actions": SCOPED + " select day as trade_date, peak as peak_order_actions_per_minute from pk where scope = 'day'",
     "agg_22_replay_summary": SCOPED + """, t as (select scope, day, count(*) as fc, count_if(det) as dc, count_if(status <> 'unclosed_end_of_day') as cc, count_if(status = 'hedge_failure_exit') as hc, sum(net_pnl) as net,
    avg(case when net_pnl > 0 then 1.0::double else 0 end) as wr, min(net_pnl) as wn, max(gross_margin) as mg from std group by 1, 2),
@@ -216,7 +207,7 @@ ORACLE = {
    case when hf / fill_count > 0.2 then 'hedge_failure_rate_too_high' end, case when wd < -400000 then 'daily_loss_too_high' end, case when pk > 5 then 'order_action_limit_exceeded' end, case when net <= 0 and fill_count > 0 then 'net_pnl_not_positive' end], lambda x: x is not null) as rs from g)
    select scenario_id, instrument, active_days, fill_count, skipped_day_count, case when len(rs) = 0 then 'eligible' else array_to_string(rs, ';') end as selection_reason, len(rs) = 0 as eligible, round(net, 2) as net_pnl, round(sd, 2) as daily_net_std from h""",
     "agg_24_main_contract_ranking": "with " + BARS_SQL + ", r as (select *, row_number() over (partition by commodity, trade_date order by volume desc, contract) as k from bars) select commodity, strftime(trade_date, '%Y-%m-%d') as trade_date, string_agg(contract, '>' order by k) as ranking from r where k <= 5 group by 1, 2",
-    "joi_22_fill_labels": TR.FRAMES + """, e as (select trade_date, contract, mk from fr where lp < 996 or lp > 1016), fl as (select trade_date, contract, seq1 as fill_id, mk from fr where seq1 > 0)
+    "joi_22_fill_labels": TR.FRAMES + """, e as (select trade_date, contract, mk from fr where lp < 996 or lp > 1016), fl as (select trade_date, contract, seq1 as fill_id, mk from fr)
    select trade_date, contract, fill_id, case when exists (select 1 from e where e.trade_date = fl.trade_date and e.contract = fl.contract and abs(e.mk - fl.mk) <= 2000) then 'detector_event_fill' else 'normal_move_fill' end as event_label from fl""",
     "joi_26_quote_state": LOGS + """, t as (select trade_date, contract, k, max(to_state) as to_state from tl group by 1, 2, 3), j as (select ol.order_seq, ol.k, t.k as tk, t.to_state from ol asof left join t on ol.trade_date = t.trade_date and ol.contract = t.contract and ol.k >= t.k)
    select order_seq, case when k - tk <= 7200000 then to_state end as to_state from j""",
@@ -227,11 +218,13 @@ ORACLE = {
    union all select trade_id, k, 1, 'order', event from td join ol using (trade_date, contract) where k between entry_key - 600000 and entry_key + 15000000""",
     "prj_26_fill_evidence": TR.FRAMES + """, z as (select *, seq1 % 2 = 0 as buy, round(lp + (seq1 % 5 - 2) * 0.1::double, 2) as lim, case when seq1 % 2 = 0 then ask else bid end as bp, case when seq1 % 2 = 0 then 1 + seq1 % 8 else 1 + seq1 % 9 end as bv from fr),
    y as (select *, coalesce(case when buy then lp <= lim else lp >= lim end, false) as r1, coalesce(case when buy then vwap <= lim else vwap >= lim end, false) as r2, coalesce(case when buy then bp <= lim else bp >= lim end, false) as r3, tradable and bid > 0 and ask >= bid as book from z)
-   select seq1 as snapshot_seq_end, concat_ws('+', case when dv > 0 and r1 then 'last_trade' end, case when dv > 0 and r2 then 'interval_vwap' end, case when book and bv >= 4 and r3 then 'top_of_book' end, case when book and bv < 4 and r3 then 'partial_unknown' end) as evidence from y""",
-    "prj_27_spread_guard": TR.FRAMES + """, z as (select *, seq1 % 2 = 0 as buy from fr where mid is not null and tick is not null), y as (select *, round(case when buy then floor(mid * (1 - 0.0013::double) / tick + 1e-12::double) else ceil(mid * (1 + 0.0013::double) / tick - 1e-12::double) end * tick, 10) as px from z)
-   select seq1 as snapshot_seq_end, round(px + 1e-9::double, 6) as quote_price, case when buy then (mid - px) / mid else (px - mid) / mid end * mid > 20.0::double * (ask - bid) as spread_ok, cast(greatest(1, ceil(lp * 0.4::double / 100.0::double / tick - 1e-12::double)) as bigint) as width_ticks from y""",
-    "prj_28_distance_band": TR.FRAMES + """, z as (select *, seq1 % 2 = 0 as buy from fr where mid is not null and tick is not null), y as (select *, round(case when buy then floor(mid * (1 - 0.0013::double) / tick + 1e-12::double) else ceil(mid * (1 + 0.0013::double) / tick - 1e-12::double) end * tick, 10) as px from z)
+   select seq1 as snapshot_seq_end, concat_ws('+', case when dv > 0 and r1 then 'last_trade' end, case when dv > 0 and r2 then 'interval_vwap' end, case when book and bv >= 4 and r3 then 'top_of_book' end, case when book and bv < 4 and r3 then 'partial_unknown' end) as evidence,
+   case when dv > 0 and case when buy then lp < lim else lp > lim end then 'last_trade' else '' end as strict_evidence from y""",
+    "prj_27_spread_guard": TR.FRAMES + """, z as (select *, seq1 % 2 = 0 as buy from fr), y as (select *, round(case when buy then floor(mid * (1 - 0.0013::double) / tick + 1e-12::double) else ceil(mid * (1 + 0.0013::double) / tick - 1e-12::double) end * tick, 10) as px from z)
+   select seq1 as snapshot_seq_end, round(px + 1e-9::double, 6) as quote_price, case when buy then (mid - px) / mid else (px - mid) / mid end * mid > 20.0::double * (ask - bid) as spread_ok, cast(greatest(1, ceil(lp * 0.4::double / 100.0::double / tick - 1e-12::double)) as bigint) as width_ticks,
+   coalesce(tick > 0 and bid > 0 and ask >= bid and greatest(1, ceil(lp * 0.4::double / 100.0::double / tick - 1e-12::double)) + greatest(1, ceil(lp * 0.6::double / 100.0::double / tick - 1e-12::double)) > (ask - bid) / tick * 20.0::double, false) as covers_spread from y""",
+    "prj_28_distance_band": TR.FRAMES + """, z as (select *, seq1 % 2 = 0 as buy from fr), y as (select *, round(case when buy then floor(mid * (1 - 0.0013::double) / tick + 1e-12::double) else ceil(mid * (1 + 0.0013::double) / tick - 1e-12::double) end * tick, 10) as px from z)
    select seq1 as snapshot_seq_end, case when buy then (mid - px) / mid else (px - mid) / mid end between 0.0013::double - 1e-12::double and 0.00131::double + 1e-12::double as in_band from y""",
     "win_29_slot_samples": TR.FRAMES + " select trade_date, contract, mk // 5000 as slot, min(mk) as market_time_key from fr group by 1, 2, 3",
-    "win_33_alternate_deltas": TR.FRAMES + " select trade_date, contract, mk as market_time_key, case when mk - pk <= 3000 and vol >= pv then vol - pv end as delta_volume from fr",
+    "win_33_alternate_deltas": TR.FRAMES + " select trade_date, contract, mk as market_time_key, case when mk - pk <= 3000 and vol > pv then vol - pv end as delta_volume from fr",
 }

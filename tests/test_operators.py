@@ -9,7 +9,6 @@ from pricelens.operators.baseline import mad_rows, quantile_rows, window_blocks
 from pricelens.operators.chunked import CHUNK, chunk_of, gap_islands, ordered_state
 from pricelens.operators.quantiles import exact_quantiles
 from pricelens.operators.rangejoin import range_join
-from pricelens.operators.sizing import chunk_width, peak_group_rows
 
 
 @pytest.fixture(scope="module")
@@ -65,22 +64,17 @@ def test_range_join_equals_brute_force(points):
     assert got == want
 
 
-def test_ranked_quantiles_equal_numpy(points):
+@pytest.mark.parametrize("slice_values", [3, 50_000])
+def test_ranked_quantiles_equal_numpy(points, monkeypatch, slice_values):
+    monkeypatch.setattr("pricelens.operators.quantiles.SLICE_VALUES", slice_values)
     pdf, df = points
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.973, "e": 1.0}
-    got = exact_quantiles(df, ["g"], "v", probs, "ranked").toPandas().set_index("g")
+    got = exact_quantiles(df, ["g"], "v", probs).toPandas().set_index("g")
     for g, rows in pdf.dropna().groupby("g"):
         assert got.loc[g, "n"] == len(rows)
         np.testing.assert_allclose([got.loc[g, k] for k in probs], np.quantile(rows.v, list(probs.values())))
 
 
-def test_chunk_width_splits_only_hot_groups(points):
-    _, df = points
-    assert chunk_width(df, ["g"], "t", target_rows=10_000) is None
-    width = chunk_width(df, ["g"], "t", target_rows=50, probe_width=1000)
-    assert peak_group_rows(df.select("g", chunk_of("t", width).alias("c")), ["g", "c"]) <= 100
-
-
 def test_window_statistics():
     keys = np.array([0, 10, 20, 35, 50])
     values = np.array([1.0, 5.0, 2.0, 9.0, 4.0])
