@@ -1,8 +1,8 @@
 """Benchmark decontamination with SimHash windows of the items' sizes and a multi-index Hamming search.
 
 Words are lower-cased runs of letters and digits. A window has the size of a benchmark item and stands where one of the
-item's five-word shingles would put the item's start: no other window can reach the similarity, which needs a common
-shingle. A window's 64-bit SimHash falls into four blocks of 16 bits. Two fingerprints within RADIUS = 15 bits agree
+item's five-word shingles would put the item's start, or so far beside it that no more than a fifth of the item's
+weight falls out: no other window can reach the similarity, which needs common shingles. A window's 64-bit SimHash falls into four blocks of 16 bits. Two fingerprints within RADIUS = 15 bits agree
 in one block up to three bits, so the items' blocks are indexed with up to three bits turned, and a look-up of the
 window's four blocks finds every item in the radius. Pairs within it are compared exactly: shingles weigh as much as
 they have letters, and the weight of the common ones over that of all must reach 0.8.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import written
@@ -74,6 +74,22 @@ def block_index(items: DataFrame) -> DataFrame:
     return spread.select("block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "item_key")
 
 
+def _anchors(items: DataFrame, size: int) -> DataFrame:
+    """Shingles of the items at each offset, with the shifts of a window to either side (late, early) that lose no more
+    than a fifth of the item's weight; a shingle that stands twice in the item costs nothing."""
+    def piece(w, at):
+        letters = reduce(lambda a, b: a + b, [F.length(F.get(w, at + k)) for k in range(size)])
+        return F.struct(_gram(w, at, size).alias("gram"), letters.alias("weight"))
+
+    own = items.select("item_key", "len", F.posexplode(F.transform(_starts(F.col("w"), size), lambda at: piece(F.col("w"), at))).alias("offset", "x")).select("item_key", "len", "offset", "x.gram", "x.weight")
+    item = Window.partitionBy("item_key")
+    own = own.withColumn("once", F.when(F.count(F.lit(1)).over(Window.partitionBy("item_key", "gram")) == 1, F.col("weight")).otherwise(F.lit(0)))
+    spare = (1 - SIMILARITY) * F.sum("weight").over(item) + 1e-9
+    for name, order in (("late", F.col("offset")), ("early", F.col("offset").desc())):
+        own = own.withColumn(name, (F.sum("once").over(item.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) <= spare).cast("int"))
+    return own.select("item_key", "len", F.sum("late").over(item).cast("int").alias("late"), F.sum("early").over(item).cast("int").alias("early"), "offset", "gram")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: doc_id, contaminated, item_id (of the most similar item, the smallest of ties),
     similarity, n_items, start_word (where that item's window begins).
@@ -85,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     items = items.select("item_id", F.size("w").alias("len"), "w", F.xxhash64("item_id", "w").alias("item_key")).dropDuplicates(["item_key"])
     items = written(items.withColumn("grams", shingles(F.col("w"))).withColumn("code", simhash(F.col("grams"))))
     sizes = [r[0] for r in items.select(F.least("len", F.lit(SHINGLE)).alias("n")).distinct().orderBy("n").collect()]
-    anchors = [items.where(F.least("len", F.lit(SHINGLE)) == n).select("item_key", "len", F.posexplode(F.transform(_starts(F.col("w"), n), lambda at: _gram(F.col("w"), at, n))).alias("offset", "gram")) for n in sizes]
+    anchors = [_anchors(items.where(F.least("len", F.lit(SHINGLE)) == n), n) for n in sizes]
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"))
     if not anchors:
         return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("double").alias("similarity"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("int").alias("start_word"))
@@ -95,7 +111,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     grams = F.concat(*[F.transform(_starts(F.col("w"), n), lambda at: F.struct(at.alias("pos"), _gram(F.col("w"), at, n).alias("gram"))) for n in sizes])
     each = split.select("row_key", F.explode(grams).alias("x")).select("row_key", "x.pos", "x.gram")
     hits = each.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "gram")
-    spots = written(hits.join(anchors, "gram").select("row_key", "len", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0").distinct())
+    aligned = hits.join(anchors, "gram").select("row_key", "len", "early", "late", (F.col("pos") - F.col("offset")).alias("start")).distinct()
+    shifted = F.explode(F.sequence(F.col("start") - F.col("early"), F.col("start") + F.col("late")))
+    spots = written(aligned.select("row_key", "len", shifted.alias("start")).where("start >= 0").distinct())
     texts = rows.join(spots.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", words(F.col("text")).alias("w"))
     windows = spots.join(texts, "row_key").select("row_key", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("w"), "len")
     windows = windows.where(F.size("w") == F.col("len"))

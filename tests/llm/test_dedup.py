@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import brute
 import numpy as np
-from conftest import CLASHING, ROWS
+from messy_rows import CLASHING, ROWS
 
 from pricelens.llm.common import prefix_hash
 from pricelens.llm import exact_dedup, graph, ngram_join, suffix_dedup
