@@ -4,6 +4,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -163,14 +164,28 @@ def matches(instrument: Column, commodities: list[str] | None = None, contracts:
 # ---- event tables and legacy bars ------------------------------------------------------------------------
 
 def read_event_tables(spark: SparkSession, path: str) -> DataFrame:
-    """Event CSVs of one or many day folders with English column names and the batch date of their folder."""
-    df = spark.read.option("header", "true").csv(path)
-    missing = {"交易日", "品种", "合约"} - set(df.columns)
-    if missing:
-        raise ValueError(f"missing columns: {sorted(missing)}")
+    """Event CSVs of one or many day folders with English column names and the batch date of their folder.
+
+    Files may have different columns: those with one header are read together, and all are united by name.
+    """
+    required = ("交易日", "品种", "合约")
+    line = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
+    names = F.transform(F.split(line, ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+    headers = spark.read.text(path).where(F.arrays_overlap(names, F.array(*[F.lit(c) for c in required]))).select(names.alias("names"), F.col("_metadata.file_path").alias("file"))
+    groups = headers.groupBy("names").agg(F.collect_set("file").alias("files")).orderBy("names").collect()
     english = {header: name for name, header in EVENT_HEADERS.items()}
     batch = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{8})[^/]*/", 1)
-    return df.select(*[F.col(f"`{c}`").alias(english.get(c.lstrip("﻿"), c)) for c in df.columns], batch.alias("batch_date"))
+    tables = []
+    for group in groups:
+        missing = set(required) - set(group.names)
+        if missing:
+            raise ValueError(f"missing columns: {sorted(missing)} in {group.files[0]}")
+        schema = ", ".join(f"`{c}` string" for c in group.names)
+        df = spark.read.schema(schema).option("header", "true").csv(group.files)
+        tables.append(df.select(*[F.col(f"`{c}`").alias(english.get(c, c)) for c in group.names], batch.alias("batch_date")))
+    if not tables:
+        raise ValueError(f"missing columns: {sorted(required)}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def normalize_bar_columns(df: DataFrame) -> DataFrame:

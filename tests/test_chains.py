@@ -109,3 +109,14 @@ def test_streaming_sessions(spark, tmp_path):
 def test_registry_is_consistent():
     assert set(all_oracles()) <= set(all_queries())
     assert len(all_queries()) > 140
+
+
+def test_event_tables_of_different_headers_unite_by_name(spark, tmp_path):
+    from pricelens.sources.files import read_event_tables
+    for day, text in (("20250102", "\ufeff交易日,品种,合约,extra\n2025-01-02,a,a01,x\n"), ("20250103", "合约,交易日,品种\nb01,2025-01-03,b\n")):
+        (tmp_path / f"{day}_run").mkdir()
+        (tmp_path / f"{day}_run" / "events.csv").write_text(text, encoding="utf-8")
+    df = read_event_tables(spark, str(tmp_path / "*" / "*.csv"))
+    rows = sorted((r.batch_date, r.extra, *[v for c, v in sorted(r.asDict().items()) if c not in ("batch_date", "extra")]) for r in df.collect())
+    assert [r[:2] for r in rows] == [("20250102", "x"), ("20250103", None)]
+    assert {"a", "a01", "2025-01-02"} == set(rows[0][2:]) and {"b", "b01", "2025-01-03"} == set(rows[1][2:])
