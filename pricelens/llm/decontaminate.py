@@ -114,7 +114,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     aligned = hits.join(anchors, "gram").select("row_key", "len", "early", "late", (F.col("pos") - F.col("offset")).alias("start")).distinct()
     shifted = F.explode(F.sequence(F.col("start") - F.col("early"), F.col("start") + F.col("late")))
     spots = written(aligned.select("row_key", "len", shifted.alias("start")).where("start >= 0").distinct())
-    texts = rows.join(spots.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", words(F.col("text")).alias("w"))
+    # The rows with hits grow with the corpus, so they are never broadcast: texts move once, at every size.
+    texts = rows.join(spots.select("row_key").distinct().hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", words(F.col("text")).alias("w"))
     windows = spots.join(texts, "row_key").select("row_key", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("w"), "len")
     windows = windows.where(F.size("w") == F.col("len"))
     windows = written(windows.withColumn("grams", shingles(F.col("w"))).withColumn("code", simhash(F.col("grams"))).select("row_key", "start", "len", "grams", "code"))
