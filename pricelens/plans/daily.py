@@ -396,7 +396,16 @@ def contract_gaps(suspects: DataFrame) -> DataFrame:
     return suspects.select("commodity", gap.cast("bigint").alias("gap_months")).filter(F.col("gap_months").isNotNull())
 
 
+def _with_total(gaps: DataFrame) -> DataFrame:
+    return gaps.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("commodity"))))
+
+
+def contract_gap_histogram(gaps: DataFrame) -> DataFrame:
+    """Rows for each distance in months between a suspect and its main reference, for all and for each commodity."""
+    return _with_total(gaps).groupBy("scope", "gap_months").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def contract_gap_summary(gaps: DataFrame) -> DataFrame:
-    both = gaps.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("commodity"))))
+    both = _with_total(gaps)
     stats = exact_quantiles(both, ["scope"], "gap_months", {"p50": 0.5, "p90": 0.9})
     return stats.join(both.groupBy("scope").agg(F.max("gap_months").alias("max_gap")), "scope").withColumnRenamed("n", "n_rows")

@@ -265,10 +265,11 @@ QUERIES = {
         F.get_json_object("payload", "$.candidate_level").alias("candidate_level"),
         F.size(F.from_json(F.get_json_object("payload", "$.peer_rows"), "array<struct<contract:string>>")).cast("bigint").alias("n_peer_rows")),
     "agg_27_amplitude_excess": lambda s, d: P.amplitude_summary(
-        P.amplitude_excess(P.suspicious(_samples(s, d))), "ranked").select("metric", "n_rows", *r6("p50", "p90", "max_pct")),
+        P.amplitude_excess(P.suspicious(_samples(s, d)))).select("metric", "n_rows", *r6("p50", "p90", "max_pct")),
     "agg_27_amplitude_histogram": lambda s, d: P.amplitude_histogram(P.amplitude_excess(P.suspicious(_samples(s, d)))),
-    "agg_28_contract_gap": lambda s, d: P.contract_gap_summary(P.contract_gaps(P.suspicious(_samples(s, d))), "ranked").select(
+    "agg_28_contract_gap": lambda s, d: P.contract_gap_summary(P.contract_gaps(P.suspicious(_samples(s, d)))).select(
         "scope", "n_rows", *r6("p50", "p90"), "max_gap"),
+    "agg_28_contract_gap_histogram": lambda s, d: P.contract_gap_histogram(P.contract_gaps(P.suspicious(_samples(s, d)))),
     "daily_structure_summary": _structure_summary,
 }
 
@@ -316,6 +317,8 @@ select s.detail_id, any_value(s.candidate_level) as candidate_level,
     "agg_28_contract_gap": SCORE + """ select scope, count(*) as n_rows, round(quantile_cont(cast(gap_months as double), 0.5) + 1e-9::double, 6) as p50,
    round(quantile_cont(cast(gap_months as double), 0.9) + 1e-9::double, 6) as p90, max(gap_months) as max_gap from (
    select commodity as scope, gap_months from gaps union all select 'all', gap_months from gaps) group by 1""",
+    "agg_28_contract_gap_histogram": SCORE + """ select scope, gap_months, count(*) as n_rows from (
+   select commodity as scope, gap_months from gaps union all select 'all', gap_months from gaps) group by 1, 2""",
     "daily_structure_summary": PEERS + """ select commodity, count(*) as sample_count, count(distinct contract) as contract_count,
    count(*) filter (where sample_status = 'valid') as valid_count, round(max(raw_structure_residual), 6) as max_raw_structure_residual,
    round(avg(active_peer_count), 6) as avg_active_peer_count from peers group by 1""",
