@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import decontaminate, exact_dedup, fill_middle, licenses, maxent_lm, mixing, ngram_join, spelling, suffix_dedup, toxicity, url_filter, warc
+from pricelens.llm import decontaminate, exact_dedup, fill_middle, licenses, maxent_lm, mixing, ngram_join, quality, spelling, suffix_dedup, toxicity, url_filter, warc
 from pricelens.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.round_trips(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_toxicity, op4_exact_dedup, op5_mixing, op6_license_scan, op7_warc, op8_lm_scores, op9_ngram_jaccard_join, op10_decontamination,
-                                    op12_fill_in_middle, op13_spelling_variants)}
+                                    op11_quality, op12_fill_in_middle, op13_spelling_variants)}
 
 #: SHA-1 in base32, from the hex digits: four bits of each, then five for each letter.
 BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([CASE WHEN substr(bits, 5 * i + k + 1, 1) = '1' THEN 1 << (4 - k) ELSE 0 END
