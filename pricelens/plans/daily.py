@@ -6,6 +6,7 @@ exchange calendar (listed contracts per day, trading days per contract), never b
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from ..config import DailyConfig
 from ..functions.arrays import array_median
@@ -23,9 +24,8 @@ def _history():
     return Window.partitionBy("commodity", "contract").orderBy("trade_date")
 
 
-def standardize_bars(raw: DataFrame, symbols: list[str], sequence: list[str]) -> DataFrame:
-    """Raw vendor rows to the nine fixed bar columns; ``sequence`` orders duplicate rows (last one wins)."""
-    prices = ["open", "high", "low", "close", "pre_close", "pre_settle", "vol"]
+def _coded(raw: DataFrame, symbols: list[str]) -> DataFrame:
+    """Rows of the wanted commodities' contracts, with contract, commodity and the parsed date."""
     body = code_body(F.col("code"))
     text_date = F.col("date").cast("string")
     parsed = F.coalesce(
@@ -35,7 +35,18 @@ def standardize_bars(raw: DataFrame, symbols: list[str], sequence: list[str]) ->
     df = raw.withColumn("contract", body).withColumn("commodity", commodity_of(body)).filter(
         F.col("commodity").isin(*symbols) & is_contract_code(F.col("contract"))
     )
-    df = df.withColumn("trade_date", F.to_date(parsed)).withColumns(
+    return df.withColumn("trade_date", F.to_date(parsed))
+
+
+def traded_days(raw: DataFrame, symbols: list[str]) -> DataFrame:
+    """Every dated row of the wanted contracts, whatever its prices; reads code and date only."""
+    return _coded(raw.select("code", "date"), symbols).select("commodity", "contract", "trade_date").dropna(subset=["trade_date"])
+
+
+def standardize_bars(raw: DataFrame, symbols: list[str], sequence: list[str]) -> DataFrame:
+    """Raw vendor rows to the nine fixed bar columns; ``sequence`` orders duplicate rows (last one wins)."""
+    prices = ["open", "high", "low", "close", "pre_close", "pre_settle", "vol"]
+    df = _coded(raw, symbols).withColumns(
         {c: F.nanvl(F.col(c).try_cast("double"), F.lit(None)) for c in prices}
     ).dropna(subset=["trade_date", "open", "high", "low", "close"])
     in_file_order = Window.partitionBy("commodity", "contract").orderBy("trade_date", *sequence)
@@ -358,9 +369,30 @@ def peer_display(samples: DataFrame, cfg: DailyConfig = DailyConfig()) -> DataFr
     ))).drop("_eligible", "_rank", "_set")
 
 
+def finite(value: Column, kind: DataType) -> Column:
+    """The value with every NaN or infinite number in it null, inside arrays and structs too; JSON knows neither."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda k, v: finite(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[finite(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def result_tables(samples: DataFrame) -> dict[str, DataFrame]:
+    """The screen's tables under their file names."""
+    suspects = suspicious(samples)
+    return {"suspicious_dates": suspects, "commodity_summary": commodity_summary(suspects), "all_samples": samples,
+            "invalid_samples": samples.filter(F.col("sample_status") != "valid"), "summary": report_payload(samples)}
+
+
 def report_payload(samples: DataFrame) -> DataFrame:
-    """One JSON document per sample; NaN becomes null because ``to_json`` drops nulls and inputs hold none."""
+    """One JSON document per sample; numbers that are not finite become null, nulls are kept."""
     shown = peer_display(samples)
+    shown = shown.select(*[finite(F.col(f.name), f.dataType).alias(f.name) for f in shown.schema.fields])
     fields = [c for c in shown.columns if c not in ("listed_date", "last_trade_date")]
     return shown.select("detail_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
 

@@ -348,3 +348,16 @@ def analyze(raw: DataFrame, cfg: StudyConfig = StudyConfig(), chunk: str | None
         "distribution": distributions(prepared), "quality": quality(prepared),
         "window": event_windows(prepared, events, cfg),
     }
+
+
+def output_tables(results: dict[str, DataFrame], cfg: StudyConfig = StudyConfig()) -> dict[str, DataFrame]:
+    """The five tables that are handed on, under their file names and with their file columns' names."""
+    c, m = F.col, cfg.excursion_seconds
+    rename = {"TradingDay": c("trade_date").cast("string"), "bid1": c("BidPrice1"), "ask1": c("AskPrice1"), f"mfe_{m}s_pct": c("mfe_pct"), f"mae_{m}s_pct": c("mae_pct"),
+              "spread": c("AskPrice1") - c("BidPrice1"), "spread_pct": (c("AskPrice1") - c("BidPrice1")) / F.nullif(c("mid"), F.lit(0.0)) * 100}
+    details = results["event"]
+    return {
+        "threshold_summary": results["summary"], "threshold_summary_by_day": results["day"],
+        "event_details": details.withColumns({n: v for n, v in rename.items() if n not in details.columns}),
+        "deviation_distribution": results["distribution"], "data_quality": results["quality"].withColumns({"status": F.lit("ok"), "message": F.lit("")}),
+    }

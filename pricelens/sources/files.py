@@ -1,17 +1,18 @@
 """Readers for daily bar trees, snapshot CSV folders and archives, event tables; source discovery and choice."""
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-from functools import reduce
 from datetime import datetime, timedelta
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.codes import CONTINUOUS_WORDS, base_name, file_contract_info, normalize_contract
 from ..schemas import BAR_ALIASES, DAILY_FILE, EVENT_HEADERS, SNAPSHOT_FILE
+from ..session import materialize
+from . import archives
+
+COLUMNS = archives.COLUMNS
+SOURCE_COLUMNS = [c.split(" ")[0] for c in archives.SOURCE.split(", ")]
 
 
 def normalize_symbols(symbols) -> list[str]:
@@ -45,14 +46,13 @@ def daily_files(spark: SparkSession, root: str, first: str | None = None, last:
 
 def read_daily_bars(spark: SparkSession, root: str, symbols, start: str, end: str, lookback_days: int = 45) -> tuple[DataFrame, DataFrame]:
     """(bars of the range plus look-back, listing bounds over the whole history)."""
-    from ..plans.daily import contract_bounds, standardize_bars
+    from ..plans.daily import contract_bounds, standardize_bars, traded_days
     wanted = normalize_symbols(symbols)
     a, b = validate_range(start, end)
     first = (a - timedelta(days=lookback_days)).strftime("%Y%m%d")
     bars = standardize_bars(daily_files(spark, root, first, end), wanted, ["_file", "_row"])
     lo, hi = F.to_date(F.lit(first), "yyyyMMdd"), F.to_date(F.lit(end), "yyyyMMdd")
-    history = standardize_bars(daily_files(spark, root), wanted, ["_file", "_row"]).select("commodity", "contract", "trade_date")
-    return bars.filter(F.col("trade_date").between(lo, hi)), contract_bounds(history)
+    return bars.filter(F.col("trade_date").between(lo, hi)), contract_bounds(traded_days(daily_files(spark, root), wanted))
 
 
 def daily_bounds(files: DataFrame) -> DataFrame:
@@ -82,54 +82,48 @@ def read_snapshot_folder(spark: SparkSession, folder: str, encoding: str = "UTF-
     return _with_file_info(df)
 
 
-COLUMNS = [c.strip().split(" ")[0] for c in SNAPSHOT_FILE.split(",")]
+def typed(rows: DataFrame) -> DataFrame:
+    """Text rows of archives or sources with the snapshot types and what the file name tells."""
+    columns = [c.strip().split(" ") for c in SNAPSHOT_FILE.split(",")]
+    return _with_file_info(rows.select(*[F.col(n).try_cast(t).alias(n) for n, t in columns], "source_file", "source_path", "snapshot_seq"))
 
 
-def _decode(raw: bytes) -> io.TextIOBase:
-    """UTF-8 with or without mark first, GB18030 as the fallback."""
-    try:
-        return io.StringIO(raw.decode("utf-8-sig"))
-    except UnicodeDecodeError:
-        return io.StringIO(raw.decode("gb18030"))
+def read_snapshot_archives(spark: SparkSession, path: str, trade_date: str | None = None) -> DataFrame:
+    """Rows of the CSV members of an archive, or of the archives in a folder; unreadable members are left out."""
+    return typed(archives.read_archives(spark, path, trade_date).where(F.col("source_status") == archives.OK))
 
 
-def read_snapshot_archives(spark: SparkSession, path: str, trade_date: str | None = None) -> DataFrame:
-    """Members of ZIP archives; one task opens one archive and emits its rows in bounded batches."""
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
-                        if trade_date and not member.lower().endswith(f"_{trade_date}.csv"):
-                            continue
-                        seq = 0
-                        for part in pd.read_csv(_decode(archive.read(member)), usecols=lambda n: n in COLUMNS, dtype=str, chunksize=50_000):
-                            part = part.reindex(columns=COLUMNS)
-                            part["source_file"], part["source_path"] = member.rsplit("/", 1)[-1], source
-                            part["snapshot_seq"] = range(seq, seq + len(part))
-                            seq += len(part)
-                            yield part
-
-    schema = ", ".join(f"{c} string" for c in COLUMNS) + ", source_file string, source_path string, snapshot_seq bigint"
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInPandas(expand, schema)
-    typed = [c.strip().split(" ") for c in SNAPSHOT_FILE.split(",")]
-    return _with_file_info(raw.select(*[F.col(n).try_cast(t).alias(n) for n, t in typed], "source_file", "source_path", "snapshot_seq"))
-
-
-def listing(spark: SparkSession, root: str, pattern: str = "*.{csv,zip}") -> DataFrame:
-    """Paths below a folder without reading the files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length", "modificationTime")
+def discover_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Every source below a folder, files and members of archives, each ``selected`` or ``duplicate`` (see ``choose_sources``)."""
+    c = F.col
+    listed = archives.sources(spark, root)
+    name = F.coalesce("member", "path")
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    label = F.when(c("member").isNull(), c("path")).otherwise(F.concat("path", F.lit("::"), "member"))
+    return choose_sources(listed.withColumns({"label": label, "file_name": F.element_at(F.split(name, "/"), -1), "archive_stem": stem,
+                                              "source_type": F.when(c("path").rlike(r"(?i)\.zip$"), "zip").otherwise("csv")}))
+
+
+def read_snapshot_sources(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the selected sources, quality rows of those that cannot be read): encodings fall back file by file."""
+    chosen = materialize(discover_sources(spark, root))
+    rows = materialize(archives.read_sources(chosen.where("status = 'selected'").drop("status").withColumnRenamed("source_status", "status").select(*SOURCE_COLUMNS)))
+    bad = rows.where(F.col("source_status") != archives.OK).select("source_path", "source_file", F.col("source_status").alias("status"))
+    return typed(rows.where(F.col("source_status") == archives.OK)), bad
 
 
 def choose_sources(candidates: DataFrame) -> DataFrame:
     """One source per (normalised contract, date): CSV before daily archive before other archives, then by label.
 
-    ``candidates``: label, file_name, source_type (csv or zip), archive_stem. Losers get status ``duplicate``.
+    ``candidates``: label, file_name, source_type (csv or zip), archive_stem. Losers get status ``duplicate``; a ``status``
+    that came along is kept as ``source_status``.
     """
     c = F.col
+    if "status" in candidates.columns:
+        candidates = candidates.withColumnRenamed("status", "source_status")
     info = file_contract_info(c("file_name"))
     x = candidates.withColumn("_i", info).select("*", "_i.contract", "_i.parse_status", c("_i.trade_date").alias("_d")).drop("_i")
-    folder = F.regexp_extract(c("label"), r".*/(\d{8})(?:/|\.zip|$)", 1)
+    folder = F.regexp_extract(c("label"), r".*(?:/|::)(\d{8})(?:/|\.zip|$)", 1)
     x = x.withColumn("trade_date", F.coalesce("_d", F.nullif(folder, F.lit("")))).drop("_d").filter(c("parse_status") != "continuous_alias")
     x = x.withColumn("priority", F.when(c("source_type") == "csv", 0).when(c("archive_stem") == c("trade_date"), 1).otherwise(2))
     known = c("contract").isNotNull() & c("trade_date").isNotNull()
@@ -138,15 +132,30 @@ def choose_sources(candidates: DataFrame) -> DataFrame:
     return x.withColumn("_key", key).withColumn("status", F.when(F.row_number().over(w) == 1, "selected").otherwise("duplicate")).drop("_key")
 
 
-def locate_day(paths: DataFrame, root: str) -> DataFrame:
-    """Best source per trade date: day archive in the month folder, day folder in it, day archive, day folder."""
+def locate_day(paths: DataFrame, root: str, dates: DataFrame | None = None) -> DataFrame:
+    """Best source per trade date: day archive in the month folder, day folder in it, day archive, day folder.
+
+    Dates asked for (``trade_date``) fall back to the archive of their month, in the year's folder or beside it, then to
+    one with a longer name, if there is only one.
+    """
     c = F.col
-    rest = F.regexp_replace(c("path"), "^(file:)?/*" + root.strip("/") + "/", "")
+    rest = F.regexp_replace(c("path"), "^(file:)?/*" + root.removeprefix("file:").strip("/") + "/", "")
+    x = paths.withColumn("_rest", rest)
+    rest = c("_rest")
     rank = (F.when(rest.rlike(r"^\d{6}/\d{8}\.zip$"), 1).when(rest.rlike(r"^\d{6}/\d{8}/"), 2)
             .when(rest.rlike(r"^\d{8}\.zip$"), 3).when(rest.rlike(r"^\d{8}/"), 4))
-    x = paths.withColumns({"trade_date": F.regexp_extract(rest, r"(\d{8})", 1), "rank": rank}).filter(c("rank").isNotNull())
+    days = x.withColumns({"trade_date": F.regexp_extract(rest, r"(\d{8})(?:\.zip$|/)", 1), "rank": rank}).filter(c("rank").isNotNull())
     place = F.when(c("rank").isin(2, 4), F.regexp_replace(c("path"), "/[^/]+$", "")).otherwise(c("path"))
-    return x.groupBy("trade_date").agg(F.min_by(place, F.struct("rank", "path")).alias("source"))
+    best = days.groupBy("trade_date").agg(F.min_by(place, F.struct("rank", "path")).alias("source"))
+    if dates is None:
+        return best
+    monthly = x.filter(rest.rlike(r"^(\d{4}/)?\d{6}[^/]*\.zip$")).withColumn("_month", F.regexp_extract(rest, r"(\d{6})[^/]*$", 1))
+    rank = F.when(rest.rlike(r"^\d{4}/\d{6}\.zip$"), 1).when(rest.rlike(r"^\d{6}\.zip$"), 2).otherwise(3)
+    months = monthly.withColumn("_rank", rank).filter((c("_rank") != 3) | ~rest.rlike(r"^\d{8}\.zip$")).groupBy("_month").agg(
+        F.min("_rank").alias("_rank"), F.count_if(rank == 3).alias("_longer"), F.min_by("path", F.struct("_rank", "path")).alias("_archive"))
+    months = months.filter((c("_rank") < 3) | (c("_longer") == 1)).select("_month", "_archive")
+    wanted = dates.select("trade_date").distinct().withColumn("_month", F.substring("trade_date", 1, 6))
+    return wanted.join(best, "trade_date", "left").join(months, "_month", "left").select("trade_date", F.coalesce("source", "_archive").alias("source"))
 
 
 def matches(instrument: Column, commodities: list[str] | None = None, contracts: list[str] | None = None) -> Column:
