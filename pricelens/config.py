@@ -46,6 +46,8 @@ class TickConfig:
     replay_ms: int = 10_000
     # Width of the time chunks that bound the size of one task; not part of the semantics.
     chunk_ms: int = 600_000
+    # The same where a row's window reaches back minutes: wider chunks repeat fewer rows.
+    reference_chunk_ms: int = 3_600_000
 
 
 @dataclass(frozen=True)

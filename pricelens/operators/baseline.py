@@ -1,9 +1,9 @@
-"""Trailing-window reference price and noise statistics of one target inside one time chunk.
+"""Trailing-window reference prices and noise statistics of a commodity's contracts inside one time chunk.
 
 The limit used to filter a window (95th percentile of the spread, plus one tick) comes from the same window, and
 deviations are taken from the window's own median, so no built-in frame aggregate expresses it. Spark partitions
-and shuffles the rows by (trade day, target, chunk); the helpers below see one such bounded group and work on
-blocks of windows as matrices.
+and shuffles the rows by (trade day, commodity, chunk); the helpers below see one such bounded group, in which each
+contract's rows lie once, as target and as peer of others, and work on blocks of windows as matrices.
 """
 from __future__ import annotations
 
@@ -55,20 +55,16 @@ def floats(table: pa.Table, name: str) -> np.ndarray:
     return table[name].cast(pa.float64()).to_numpy()
 
 
-def align_peers(keys: np.ndarray, peers: pa.Table, age: int) -> list[dict]:
-    """Per peer (by rank): its latest quote at each target key, kept only when fresh and valid."""
-    rows = peers.sort_by([("peer_rank", "ascending"), ("market_time_key", "ascending")])
-    rank, at_key = rows["peer_rank"].to_numpy(), rows["market_time_key"].to_numpy()
-    valid, mid, spread = rows["quote_valid"].to_numpy().astype(bool), floats(rows, "mid_price"), floats(rows, "spread_ticks")
+def align_peers(keys: np.ndarray, peers: list[tuple[int, str, dict]], age: int) -> list[dict]:
+    """Per peer (rank, code, its columns): its latest quote at each target key, kept only when fresh and valid."""
     out = []
-    starts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
-    for lo, hi in zip(starts, [*starts[1:], len(rank)]):
-        pk = at_key[lo:hi]
+    for rank, code, rows in peers:
+        pk = rows["market_time_key"]
         at = np.searchsorted(pk, keys, side="right") - 1
         safe = np.maximum(at, 0)
-        ok = (at >= 0) & (keys - pk[safe] <= age) & valid[lo:hi][safe]
-        out.append({"rank": int(rank[lo]), "code": rows["peer"][int(lo)].as_py(), "ok": ok, "key": np.where(ok, pk[safe], -1),
-                    "mid": np.where(ok, mid[lo:hi][safe], np.nan), "spread": np.where(ok, spread[lo:hi][safe], np.nan)})
+        ok = (at >= 0) & (keys - pk[safe] <= age) & rows["quote_valid"][safe]
+        out.append({"rank": rank, "code": code, "ok": ok, "key": np.where(ok, pk[safe], -1),
+                    "mid": np.where(ok, rows["mid_price"][safe], np.nan), "spread": np.where(ok, rows["spread_ticks"][safe], np.nan)})
     return out
 
 
@@ -100,15 +96,46 @@ def fair_prices(keys, mid, spread, valid, peers: list[dict], rows, cfg: TickConf
     return fair, basis, gated
 
 
-def reference_metrics(target: pa.Table, peer_rows: pa.Table, cfg: TickConfig) -> pa.Table:
-    """The chunk's own rows of one target with fair-price and noise columns appended."""
-    t = target.sort_by("market_time_key")
-    keys = t["market_time_key"].to_numpy()
-    start = t["_chunk"][0].as_py() * cfg.chunk_ms
-    col = lambda c: floats(t, c)
-    mid, spread, tick = col("mid_price"), col("spread_ticks"), t["tick_size"][0].as_py()
-    valid = t["quote_valid"].to_numpy().astype(bool)
-    peers = align_peers(keys, peer_rows, cfg.reference_age_ms)
+COLUMNS = ("mid_price", "spread_ticks", "tick_size", "LastPrice", "interval_vwap", "delta_volume")
+
+
+def reference_metrics(table: pa.Table, cfg: TickConfig) -> pa.Table:
+    """The chunk's own rows of a commodity's targets with fair-price and noise columns appended.
+
+    ``_peers`` has a target's peers by rank; a row without it is there for others only.
+    """
+    t = table.sort_by([("contract", "ascending"), ("market_time_key", "ascending")])
+    whole = {c: floats(t, c) for c in COLUMNS} | {"market_time_key": t["market_time_key"].to_numpy(), "quote_valid": t["quote_valid"].to_numpy().astype(bool),
+                                                    "_core": t["_core"].to_numpy().astype(bool)}
+    codes = t["contract"].combine_chunks().dictionary_encode()
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    at = codes.indices.to_numpy()
+    cuts = np.flatnonzero(np.diff(at, prepend=-1))
+    spans = {codes.dictionary[int(at[lo])].as_py(): (int(lo), int(hi)) for lo, hi in zip(cuts, [*cuts[1:], len(at)])}
+    rows = {code: {c: v[lo:hi] for c, v in whole.items()} for code, (lo, hi) in spans.items()}
+    start = t["_chunk"][0].as_py() * cfg.reference_chunk_ms
+    taken, appended = [], []
+    for code, (lo, _) in spans.items():
+        peers = t["_peers"][lo].as_py()
+        if peers is None or not rows[code]["_core"].any():
+            continue
+        named = [(rank, peer, rows[peer]) for rank, peer in enumerate(peers, 1) if peer in rows]
+        core, columns = target_metrics(rows[code], named, start, cfg)
+        taken.append(core + lo)
+        appended.append(columns)
+    out = t.drop_columns(["_chunk", "_core", "_peers"])
+    if not taken:
+        return out.slice(0, 0)
+    out = out.take(pa.array(np.concatenate(taken)))
+    for name in appended[0]:
+        out = out.append_column(name, pa.chunked_array([c[name] for c in appended]))
+    return out
+
+
+def target_metrics(t: dict, peers: list[tuple[int, str, dict]], start: int, cfg: TickConfig) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Positions of one target's own rows and their new columns."""
+    keys, mid, spread, tick, valid = t["market_time_key"], t["mid_price"], t["spread_ticks"], t["tick_size"][0], t["quote_valid"]
+    peers = align_peers(keys, peers, cfg.reference_age_ms)
     needed = np.flatnonzero(keys >= start - cfg.baseline_ms)
     fair_i, basis, gated = fair_prices(keys, mid, spread, valid, peers, needed, cfg)
     have = np.isfinite(fair_i)
@@ -123,9 +150,9 @@ def reference_metrics(target: pa.Table, peer_rows: pa.Table, cfg: TickConfig) ->
     reliable = np.zeros(len(keys), bool)
     reliable[needed] = reliable_row
 
-    core = np.flatnonzero(t["_core"].to_numpy().astype(bool))
+    core = np.flatnonzero(t["_core"])
     in_needed = core - needed[0] if len(needed) else core
-    last, vwap, dv = col("LastPrice"), col("interval_vwap"), col("delta_volume")
+    last, vwap, dv = t["LastPrice"], t["interval_vwap"], t["delta_volume"]
     base = (dv > 0) & reliable & (fair_all > 0)
     ok_last, ok_vwap = base & (last > 0), base & (vwap > 0)
     with np.errstate(invalid="ignore"):
@@ -158,7 +185,4 @@ def reference_metrics(target: pa.Table, peer_rows: pa.Table, cfg: TickConfig) ->
     for name, column in (("last_med", "last_noise_median"), ("last_sig", "last_noise_robust_sigma"), ("vwap_med", "vwap_noise_median"),
                          ("vwap_sig", "vwap_noise_robust_sigma"), ("depth_sig", "execution_depth_robust_sigma")):
         appended[column] = number(np.where(noisy, stats[name], np.nan))
-    out = t.take(pa.array(core)).drop_columns(["_chunk", "_core"])
-    for name, values in appended.items():
-        out = out.append_column(name, values)
-    return out
+    return core, appended

@@ -1,7 +1,7 @@
 """Snapshot detector: frames -> references -> fair price and noise -> candidates -> events -> recovery.
 
-Self stages run on (contract-day, time chunk); the peer stage brings the at most five reference contracts of a
-target to the same chunk. A chunk never holds more than one frame per millisecond, so task size is bounded
+Self stages run on (contract-day, time chunk); the peer stage on (commodity-day, time chunk), where each contract's rows
+lie once and serve it and those it is a peer of. A chunk never holds more than one frame per millisecond, so task size is bounded
 however much one contract trades.
 """
 from __future__ import annotations
@@ -20,6 +20,7 @@ from ..operators.asof import asof_join, nearest_join
 from ..operators.baseline import reference_metrics
 from ..operators.chunked import CHUNK, CORE, chunk_of, drop_halo, gap_islands, halo_chunks, ordered_state
 from ..operators.rangejoin import range_join
+from ..session import dimension, materialize
 
 K = ["trade_date", "commodity", "contract"]
 REASON_ORDER = ("visible_execution_drop", "interval_execution_drop", "visible_execution_spike", "interval_execution_spike")
@@ -54,9 +55,11 @@ def prepare(raw: DataFrame, profiles: DataFrame, cfg: TickConfig = TickConfig(),
 
     ``profiles`` is the commodity dimension (one row per commodity). ``bounds`` is one row per contract-day:
     trade_date, contract (normalised), low, high, pre_settle.
+
+    Collapsed frames are written once: the previous row, the day's limits and the frames themselves all come from them.
     """
     c = F.col
-    f = collapse(with_keys(raw)).join(profiles, "commodity", "left").withColumns({
+    f = materialize(collapse(with_keys(raw))).join(dimension(profiles), "commodity", "left").withColumns({
         "validation_status": F.coalesce("validation_status", F.lit("unvalidated_commodity")),
         "session_state": session_state(c("UpdateTime")), "is_tradable_session": is_tradable(c("UpdateTime")),
         "is_open_protected": is_open_protected(c("UpdateTime"), cfg.open_guard_seconds),
@@ -163,20 +166,12 @@ def attach_reference(frames: DataFrame, cfg: TickConfig = TickConfig()) -> DataF
     c = F.col
     volumes = contract_volumes(frames)
     targets = eligible_pool(volumes, cfg).select(*K)
-    pairs = reference_contracts(volumes, cfg)
-    reach = 2 * cfg.baseline_ms
-    own = halo_chunks(
-        frames.join(targets, K, "left_semi").select(
-            *FRAME_COLUMNS),
-        "market_time_key", cfg.chunk_ms, back=reach)
-    # Fresh column identities: the peer side comes from the same frames as the target side.
-    quotes = frames.select(*[c(a).alias(b) for a, b in (
-        ("trade_date", "trade_date"), ("commodity", "commodity"), ("contract", "peer"), ("market_time_key", "market_time_key"),
-        ("mid_price", "mid_price"), ("spread_ticks", "spread_ticks"), ("quote_valid", "quote_valid"))])
-    peer_rows = halo_chunks(
-        quotes.join(pairs.join(targets, K, "left_semi"), ["trade_date", "commodity", "peer"]),
-        "market_time_key", cfg.chunk_ms, back=reach + cfg.reference_age_ms)
-    fields = [f for f in own.schema.fields if f.name not in (CHUNK, CORE)]
+    ranked = reference_contracts(volumes, cfg).groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("peer_rank", "peer"))).alias("_p"))
+    roles = targets.join(ranked, K, "left").select(*K, F.coalesce(F.transform("_p", lambda p: p["peer"]), F.array().cast("array<string>")).alias("_peers"))
+    pools = targets.select("trade_date", "commodity").distinct()
+    rows = frames.select(*FRAME_COLUMNS).join(pools, ["trade_date", "commodity"], "left_semi").join(roles, K, "left")
+    own = halo_chunks(rows, "market_time_key", cfg.reference_chunk_ms, back=2 * cfg.baseline_ms + cfg.reference_age_ms)
+    fields = [f for f in own.schema.fields if f.name not in (CHUNK, CORE, "_peers")]
     extra = [("fair_price", "double"), ("fair_uncertainty_ticks", "double"), ("fair_price_reliable", "boolean"),
              ("valid_peer_count", "bigint"), ("valid_peers", "array<string>"), ("peer_bases", "array<double>"),
              ("fair_gate_open", "boolean"), ("noise_sample_count", "bigint"), ("noise_time_span_seconds", "double"),
@@ -188,16 +183,15 @@ def attach_reference(frames: DataFrame, cfg: TickConfig = TickConfig()) -> DataF
     names = [name for name, _ in columns]
     empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
-    def per_chunk(target, peers):
-        if not target.num_rows or not pc.any(target["_core"]).as_py():
+    def per_chunk(table):
+        if not pc.any(table["_core"]).as_py():
             return empty
-        return reference_metrics(target, peers, cfg).select(names).cast(empty.schema)
+        return reference_metrics(table, cfg).select(names).cast(empty.schema)
 
-    keys = [*K, CHUNK]
+    keys = ["trade_date", "commodity", CHUNK]
     # An explicit partition count keeps this CPU-bound stage from being coalesced by its small byte size.
     n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own, peer_rows = own.repartition(n, *keys), peer_rows.repartition(n, *keys)
-    enriched = own.groupBy(*keys).cogroup(peer_rows.groupBy(*keys)).applyInArrow(per_chunk, schema)
+    enriched = own.repartition(n, *keys).groupBy(*keys).applyInArrow(per_chunk, schema)
     return thresholds(enriched, cfg)
 
 

@@ -5,7 +5,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "20g") -> SparkSession:
@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")  # call sites of every expression cost seconds a plan
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,3 +56,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pricelens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a dimension is sent to every executor.
+DIMENSION_ROWS = 100_000
+
+
+def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
+    """A table that is broadcast where a count proves it small, and joined by shuffling beyond that; results are the same."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
