@@ -95,13 +95,15 @@ t3 as (select trade_date, commodity, contract, mk, arg_max(update_time, snapshot
    max(upper_limit) as ul, max(lower_limit) as ll, min(snapshot_seq) as seq0, max(snapshot_seq) as seq1, bool_or(drp) as desync,
    count(*) as raw_rows from t2 group by 1, 2, 3, 4),
 t4 as (select *, commodity <> 'SIGNUP' as ok_prof, case when commodity <> 'SIGNUP' then 0.02::double end as tick,
-   (ut >= '21:00:00' or ut < '02:30:00') as tradable, ut || '.' || lpad(cast(um as varchar), 3, '0') as disp,
+   (ut >= '09:00:00' and ut < '10:15:00') or (ut >= '10:30:00' and ut < '11:30:00') or (ut >= '13:30:00' and ut < '15:00:00') or ut >= '21:00:00' or ut < '02:30:00' as tradable,
+   (ut >= '09:00:00' and ut < '09:01:00') or (ut >= '10:30:00' and ut < '10:31:00') or (ut >= '13:30:00' and ut < '13:31:00') or (ut >= '21:00:00' and ut < '21:01:00') as prot, ut || '.' || lpad(cast(um as varchar), 3, '0') as disp,
    case when bid > 0 and ask > 0 and ask >= bid then (bid + ask) / 2.0::double end as mid,
-   lag(mk) over w as pk, lag(vol) over w as pv, lag(tov) over w as pt
+   lag(mk) over w as pk, lag(vol) over w as pv, lag(tov) over w as pt, lag(ut) over w as pu
    from t3 window w as (partition by trade_date, contract order by mk)),
 t5 as (select *, mk - pk as gap_ms, case when mid is not null then ask - bid end / tick as spread,
    coalesce(tradable and mid > 0 and not (ul > 0 and mid >= ul - 2.0::double * tick) and not (ll > 0 and mid <= ll + 2.0::double * tick), false) as qv,
-   coalesce(mk - pk <= 3000 and tradable and vol - pv > 0 and tov - pt > 0, false) as usable from t4),
+   coalesce(mk - pk <= 3000 and tradable and not prot and vol - pv > 0 and tov - pt > 0 and ((pu >= '09:00:00' and pu < '10:15:00') or (pu >= '10:30:00' and pu < '11:30:00')
+     or (pu >= '13:30:00' and pu < '15:00:00') or pu >= '21:00:00' or pu < '02:30:00'), false) as usable from t4),
 t6 as (select *, case when usable then cast(vol - pv as double) end as dv, case when usable and not desync then tov - pt end as dt,
    coalesce(ok_prof and avgp > 0 and vol > 0 and abs(tov / vol - avgp) <= 0.5, false) as avg_ok from t5),
 bnd as (select trade_day as trade_date, contract, min(case when bid > 0 then bid end) as low, max(ask) as high,
@@ -167,7 +169,7 @@ m2 as (select *, allg and reach = mk + 1000 as conf, case when allg and reach =
    case when not allg then 'counter_sync_unconfirmed' when reach <> mk + 1000 then 'confirmation_incomplete' end as cblock,
    coalesce(median(case when dv > 0 then greatest(coalesce(ld, 0), coalesce(vd, 0)) end) over p, 0) as pre_d,
    coalesce(median(case when dv > 0 then greatest(coalesce(-ld, 0), coalesce(-vd, 0)) end) over p, 0) as pre_u,
-   coalesce(tradable and not (ll > 0 and lp <= ll) and not (ul > 0 and lp >= ul) and dv > 0 and rel and nrel, false) as elig
+   coalesce(tradable and not (ll > 0 and lp <= ll) and not (ul > 0 and lp >= ul) and dv > 0 and rel and nrel and not prot, false) as elig
    from m1 window p as (partition by trade_date, contract order by mk range between 3000 preceding and 1 preceding)),
 m3 as (select *, elig and (coalesce(vd >= vthr, false) or coalesce(-vd >= vthr, false)) as asks, coalesce(gap_ms <= 3000, true) as onset_ok from m2),
 m4 as (select *, case when asks then cvw end as cv1, (fp - case when asks then cvw end) / tick as cd,

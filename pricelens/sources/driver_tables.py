@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SNAPSHOT_EPOCH_MS = 1_704_067_200_000
-CLOCK_START_MS = 86_220_000
+# Clocks that the commodity-days start at, so that their six minutes meet midnight, an open, a break and a close:
+# 23:57:00, 08:57:30, 10:12:00 and 02:27:00.
+CLOCK_STARTS_MS = (86_220_000, 32_250_000, 36_720_000, 8_820_000)
 USERS_PER_DAY = 75
 
 
@@ -56,7 +58,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - SNAPSHOT_EPOCH_MS) / F.lit(720_000.0)) * 100)
         .cast("bigint").alias("ms"),
     )
-    clock = F.pmod(F.lit(CLOCK_START_MS) + ms, F.lit(86_400_000))
+    start = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in CLOCK_STARTS_MS]), (F.pmod(F.col("trade_day") + F.length("commodity"), F.lit(len(CLOCK_STARTS_MS))) + 1).cast("int"))
+    clock = F.pmod(start + ms, F.lit(86_400_000))
     mid = F.lit(1000.0) + F.lit(2.0) * cno + (F.floor(ms / 15_000) % 9) * F.lit(0.1) + (eid % 7) * F.lit(0.02)
     half = F.lit(0.02) * (F.lit(1) + eid % 3)
     wobble = ((eid % 11) - 5) * F.lit(0.05) + F.when(eid % 97 == 0, F.lit(40.0)).otherwise(F.lit(0.0))
@@ -116,13 +119,13 @@ bars as (
          case when cast(sum(qty) as bigint) % 17 = 0 then 0 else cast(sum(qty) as bigint) end as volume
   from li group by commodity, contract, trade_date)"""
 
-SNAPSHOTS_SQL = """
+SNAPSHOTS_SQL = f"""
 ev0 as (
   select event_id as eid, value, user_id // 75 as trade_day, upper(event_type) as commodity, user_id % 6 as cno,
          cast(floor((epoch_us(ts) // 1000 - 1704067200000) / 720000.0::double) * 100 as bigint) as ms
   from events),
 ev1 as (
-  select *, (86220000 + ms) % 86400000 as clock,
+  select *, (list_extract({list(CLOCK_STARTS_MS)}, cast((trade_day + length(commodity)) % 4 + 1 as int)) + ms) % 86400000 as clock,
          1000.0::double + 2.0::double * cno + ((ms // 15000) % 9) * 0.1::double + (eid % 7) * 0.02::double as mid0,
          0.02::double * (1 + eid % 3) as half, 1000.0::double + 2.0::double * cno as level,
          (eid // 40) * 5 as volume,
