@@ -127,3 +127,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_many_sets_that_share_a_passage_or_are_edited_too_far(spark):
+    """No pair of them links, and none is compared with all others."""
+    pick = random.Random(12)
+    passage, base = [f"p{i}" for i in range(60)], [f"b{i}" for i in range(120)]
+    docs = []
+    for i in range(2000):
+        if i % 2:
+            w = [f"o{i}x{k}" for k in range(20)] + passage
+        else:
+            w = list(base)
+            for k in pick.sample(range(120), 14):
+                w[k] = f"e{i}x{k}"
+        docs.append((i, " ".join(w)))
+    docs += [(5000, " ".join(base)), (5001, " ".join(base[1:])), (5002, " ".join(passage)), (5003, " ".join(passage[:-1] + ["tail"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(df).collect()}
+    assert got == {d: {5001: 5000, 5003: 5002}.get(d, d) for d, _ in docs}
