@@ -111,6 +111,26 @@ def most_common(events: DataFrame, by: str, value: str) -> DataFrame:
     return counts.groupBy(by).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(f"top_{value}"))
 
 
+def ranked_values(events: DataFrame, value: str) -> DataFrame:
+    """Every value with its rows and place, most frequent first, ties in alphabetical order."""
+    counts = events.groupBy(value).agg(F.count(F.lit(1)).alias("event_count"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("event_count").desc(), value)))
+
+
+def largest_shortfalls(events: DataFrame, n: int = 10) -> DataFrame:
+    return events.orderBy(F.col("notional_shortfall").desc(), "event_id").limit(n)
+
+
+def ordered_events(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Downward events in the order in which they are replayed, all or the first ones."""
+    rows = events.filter(F.col("event_direction") == "down").orderBy("trade_date", "event_time", "event_id")
+    return rows.limit(limit) if limit else rows
+
+
+def hit_commodities(events: DataFrame) -> DataFrame:
+    return events.groupBy("commodity").agg(F.count(F.lit(1)).alias("event_count")).orderBy(F.col("event_count").desc(), "commodity")
+
+
 def range_rollup(events: DataFrame) -> DataFrame:
     c = F.col
     base = events.groupBy("commodity").agg(
@@ -133,6 +153,43 @@ def calendar_status(events: DataFrame, first: str, last: str) -> DataFrame:
         F.when(c("event_count").isNull(), "missing").otherwise("finished").alias("status"))
 
 
+FINISHED = ("success_with_events", "success_no_events")
+
+
+def range_days(events: DataFrame, statuses: DataFrame, absent_days: DataFrame, first: str, last: str) -> DataFrame:
+    """Every calendar day of a range: status, events, hits, failed commodities, hit commodities and the first error.
+
+    ``statuses``: trade_date, commodity, status, error of the batch runs; ``absent_days``: trade_date of days without input.
+    A day is missing_day without input, missing_output without a run, failed when a commodity failed, incomplete when one
+    has neither failed nor finished, else complete.
+    """
+    c = F.col
+    spine = events.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first), "yyyyMMdd"), F.to_date(F.lit(last), "yyyyMMdd"))).alias("d")).select(F.date_format("d", "yyyyMMdd").alias("trade_date"))
+    runs = statuses.groupBy("trade_date").agg(
+        F.count_if(c("status") == "success_with_events").alias("hits"), F.count_if(c("status") == "failed").alias("failed"),
+        F.count_if(~c("status").isin("failed", *FINISHED)).alias("_open"), F.min_by("error", F.when((c("status") == "failed") & (c("error") != ""), c("commodity"))).alias("error"))
+    found = events.groupBy("trade_date").agg(F.count(F.lit(1)).alias("events"), F.array_join(F.sort_array(F.collect_set("commodity")), ",").alias("hit_commodities"))
+    x = spine.join(absent_days.select("trade_date").distinct().withColumn("_absent", F.lit(True)), "trade_date", "left").join(runs, "trade_date", "left").join(found, "trade_date", "left")
+    status = (F.when(c("_absent"), "missing_day").when(c("hits").isNull(), "missing_output").when(c("failed") > 0, "failed").when(c("_open") > 0, "incomplete").otherwise("complete"))
+    ran = status.isin("failed", "incomplete", "complete")
+    number = lambda n: F.coalesce(F.when(ran, c(n)), F.lit(0)).cast("bigint").alias(n)
+    return x.select("trade_date", status.alias("status"), number("events"), number("hits"), number("failed"), F.coalesce(F.when(ran, c("hit_commodities")), F.lit("")).alias("hit_commodities"),
+                    F.when(ran, c("error")).alias("error"))
+
+
+def range_counts(days: DataFrame) -> DataFrame:
+    """One row of totals over the days of a range."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return days.agg(F.count(F.lit(1)).alias("total_days"), n("complete").alias("completed_days"), n("failed").alias("failed_days"), n("missing_day").alias("missing_days"),
+                    n("missing_output").alias("missing_output_days"), n("incomplete").alias("incomplete_days"), F.sum("events").alias("event_count"))
+
+
+def month_days(events: DataFrame) -> DataFrame:
+    """Per day: events, distinct commodities, and the month's average of events per day."""
+    days = events.groupBy(F.substring("trade_date", 1, 6).alias("month"), "trade_date").agg(F.count(F.lit(1)).alias("event_count"), F.countDistinct("commodity").alias("commodity_count"))
+    return days.withColumn("events_per_day", F.avg("event_count").over(Window.partitionBy("month")))
+
+
 def month_rollup(events: DataFrame) -> DataFrame:
     c = F.col
     month = events.withColumn("month", F.substring("trade_date", 1, 6))
@@ -161,6 +218,28 @@ def year_pivot(events: DataFrame, years: list[int]) -> DataFrame:
     }).drop(*[f"_g{y}" for y in years])
 
 
+def year_totals(events: DataFrame) -> DataFrame:
+    """Per year: events, share of all and change against the year before, in percent."""
+    c = F.col
+    years = events.groupBy(F.substring("trade_date", 1, 4).cast("int").alias("year")).agg(F.count(F.lit(1)).alias("event_count"))
+    before = years.select((c("year") + 1).alias("year"), c("event_count").alias("_before"))
+    total = years.agg(F.sum("event_count").alias("_all"))
+    return with_scalars(years.join(before, "year", "left"), total).select(
+        "year", "event_count", (c("event_count") * 100.0 / c("_all")).alias("share_pct"), ((c("event_count") - c("_before")) * 100.0 / c("_before")).alias("change_pct"))
+
+
+def leading_commodities(events: DataFrame, years: list[int], top: int = 5) -> DataFrame:
+    """The commodities with most events in the years, with their place and each year's count."""
+    pivot = year_pivot(events, years)
+    return pivot.withColumn("place", F.row_number().over(Window.orderBy(F.col("total").desc(), "commodity"))).filter(F.col("place") <= top)
+
+
+def commodity_years(events: DataFrame) -> DataFrame:
+    """Per commodity and year: events, days, contracts; the year null is the commodity's total."""
+    rows = events.withColumn("year", F.substring("trade_date", 1, 4).cast("int"))
+    return rows.rollup("commodity", "year").agg(F.count(F.lit(1)).alias("event_count"), F.countDistinct("trade_date").alias("day_count"), F.countDistinct("contract").alias("contract_count")).filter(F.col("commodity").isNotNull())
+
+
 def month_calendar(events: DataFrame, first_year: int, last_year: int) -> DataFrame:
     """All months of the years with count, sorted contracts and day count; empty months are kept."""
     spark = events.sparkSession
@@ -169,10 +248,10 @@ def month_calendar(events: DataFrame, first_year: int, last_year: int) -> DataFr
     ).select(F.date_format("d", "yyyyMM").alias("month"))
     rows = events.groupBy(F.substring("trade_date", 1, 6).alias("month")).agg(
         F.count(F.lit(1)).alias("event_count"), F.array_join(F.sort_array(F.collect_set("contract")), ",").alias("contracts"),
-        F.countDistinct("trade_date").alias("day_count"))
+        F.array_join(F.sort_array(F.collect_set("trade_date")), ",").alias("dates"), F.countDistinct("trade_date").alias("day_count"))
     return spine.join(rows, "month", "left").select(
         "month", F.coalesce("event_count", F.lit(0)).cast("bigint").alias("event_count"),
-        F.coalesce("contracts", F.lit("")).alias("contracts"), F.coalesce("day_count", F.lit(0)).cast("bigint").alias("day_count"))
+        F.coalesce("contracts", F.lit("")).alias("contracts"), F.coalesce("dates", F.lit("")).alias("dates"), F.coalesce("day_count", F.lit(0)).cast("bigint").alias("day_count"))
 
 
 # ---- distances -------------------------------------------------------------------------------------------
@@ -233,8 +312,10 @@ def evaluate_distances(safe: DataFrame, events: DataFrame, observed_days: DataFr
         *pair, F.round(c("g") * step, 10).alias("candidate_distance"), "safe_distance", c("n").alias("event_count"),
         c("f").alias("follow_valid_count"), c("i").alias("isolated_count"), F.try_divide(c("i"), c("f")).alias("isolation_rate"),
         F.try_divide(c("i") * month_days, c("observed_days")).alias("monthly_opportunity"))
-    return out.withColumn("qualified", F.coalesce(
-        (c("event_count") >= min_events) & (c("isolation_rate") >= min_isolation) & (c("monthly_opportunity") >= min_monthly), F.lit(False)))
+    holds = lambda x: F.coalesce(x, F.lit(False))
+    out = out.withColumns({"pass_safe_distance": holds(c("candidate_distance") >= c("safe_distance") - 1e-12), "pass_min_events": holds(c("event_count") >= min_events),
+                           "pass_isolation_rate": holds(c("isolation_rate") >= min_isolation), "pass_monthly_opportunity": holds(c("monthly_opportunity") >= min_monthly)})
+    return out.withColumn("qualified", c("pass_safe_distance") & c("pass_min_events") & c("pass_isolation_rate") & c("pass_monthly_opportunity"))
 
 
 def choose_distances(evaluation: DataFrame, safe: DataFrame, band: float = 0.2) -> DataFrame:
@@ -297,3 +378,31 @@ def infer_tick_size(frames: DataFrame) -> DataFrame:
     per_slice = link.select("commodity", gcd(F.array_compact(F.concat("_ds", F.array("_d")))).alias("_g"))
     whole = per_slice.groupBy("commodity").agg(F.collect_set("_g").alias("_gs")).select("commodity", (gcd(c("_gs")) / 1e8).alias("tick_size"))
     return whole.filter(c("tick_size") >= 1e-4).withColumn("tick_size", F.round("tick_size", 5))
+
+
+# ---- research shapes -------------------------------------------------------------------------------------
+
+def research_shapes(candidates: DataFrame, statistics: DataFrame, instruments: DataFrame, quantiles: tuple[str, ...] = ("P50", "P70", "P85"), width_ratio: float = 0.4, step_ratio: float = 0.5) -> DataFrame:
+    """Shapes to replay per instrument: the candidates of the three quantiles, and one from the depth's 90th percentile.
+
+    ``candidates``: target_contract, source_quantile, width_ratio, step_mode, total_touch_ticks, W, D, S. ``statistics``:
+    target_contract, candidate_status, confirmed_depth_p90_ticks. Instruments without statistics or not ready are skipped
+    with their reason; one that is ready and lacks a quantile, or whose distance would be 0, fails the job.
+    """
+    c = F.col
+    up = lambda x: F.greatest(F.lit(1), F.ceil(x - F.lit(1e-12))).cast("bigint")
+    mine = instruments.select("target_contract").distinct().join(statistics.select("target_contract", "candidate_status", "confirmed_depth_p90_ticks"), "target_contract", "left")
+    ready = c("candidate_status") == "research_candidate_ready"
+    skipped = mine.filter(~F.coalesce(ready, F.lit(False))).select("target_contract", "candidate_status", F.when(c("candidate_status").isNull(), "skipped_missing_statistics").otherwise("skipped_not_ready").alias("replay_status"))
+    able = mine.filter(ready)
+    regular = candidates.filter(c("source_quantile").isin(*quantiles) & (c("width_ratio") == width_ratio) & (c("step_mode") == F.lit(f"W_x_{step_ratio:.2f}")))
+    found = able.join(regular.select("target_contract", "source_quantile", "total_touch_ticks", "W", "D", "S"), "target_contract", "left")
+    known = F.size(F.collect_set("source_quantile").over(Window.partitionBy("target_contract")))
+    found = found.withColumn("source_quantile", F.when(known == len(quantiles), c("source_quantile")).otherwise(F.raise_error(F.concat(F.lit("quantiles missing: "), c("target_contract")))))
+    depth = up(c("confirmed_depth_p90_ticks"))
+    width = up(depth * width_ratio)
+    distance = F.when(depth - width > 0, depth - width).otherwise(F.raise_error(F.concat(F.lit("no distance left: "), c("target_contract"))))
+    tail = able.select("target_contract", "candidate_status", F.lit("P90").alias("source_quantile"), depth.alias("total_touch_ticks"), width.alias("W"), distance.alias("D"), up(width * step_ratio).alias("S"),
+                       F.lit("P90_tail").alias("replay_group"), F.lit("tail_depth_candidate").alias("risk_label"))
+    shaped = found.select("target_contract", "candidate_status", "source_quantile", "total_touch_ticks", "W", "D", "S", F.lit("_".join(quantiles)).alias("replay_group")).unionByName(tail, allowMissingColumns=True)
+    return shaped.withColumn("replay_status", F.lit("prepared")).unionByName(skipped, allowMissingColumns=True)

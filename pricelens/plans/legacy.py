@@ -42,8 +42,15 @@ def detect(differences: DataFrame, difference_threshold: float = 0.1, window_siz
                                  "amplitude": c("t_high") - c("t_low")}).withColumn("amplitude_mean", F.avg("amplitude").over(w))
     far = lambda d, m: F.coalesce((c(m) != 0) & (F.abs((c(d) - c(m)) / F.nullif(c(m), F.lit(0.0))) > difference_threshold)
                                   & (F.abs(c(d)) > min_abs_pct / 100 * c("t_low")), F.lit(False))
+    # The texts of the reasons.
+    number = lambda v: F.format_string("%.2f", F.round(v + 1e-9, 2))
+    said = lambda side, d, m: F.concat(F.lit("与"), c("reference"), F.lit(f"{side}差异异常 (比率: "), number(F.abs((c(d) - c(m)) / F.nullif(c(m), F.lit(0.0))) * 100), F.lit("%, 绝对差异: "), number(F.abs(c(d))), F.lit(")"))
     per_day = x.withColumns({"_high": far("high_diff", "high_mean"), "_low": far("low_diff", "low_mean")}).groupBy("target", "trade_date").agg(
         F.count_if(c("_high")).alias("high_hits"), F.count_if(c("_low")).alias("low_hits"),
+        F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(F.when(c("_high"), said("最高值", "high_diff", "high_mean")), F.when(c("_low"), said("最低值", "low_diff", "low_mean"))))))).alias("_words"),
+        F.max("amplitude").alias("_amplitude"), F.max("amplitude_mean").alias("_usual"),
         F.max("t_volume").alias("volume"), F.bool_or((c("amplitude_mean") > 0) & (c("amplitude") / c("amplitude_mean") > amplitude_ratio)).alias("amplitude_flag"))
     flag = ((c("high_hits") + c("low_hits")) > 0) & (c("volume") > volume_threshold)
-    return per_day.withColumn("is_flagged", flag & c("amplitude_flag") if require_amplitude else flag)
+    wide = F.when(c("amplitude_flag"), F.concat(F.lit("振幅异常 (当前振幅: "), number(c("_amplitude")), F.lit(", 历史平均: "), number(c("_usual")), F.lit(", 倍数: "), number(c("_amplitude") / c("_usual")), F.lit(")")))
+    per_day = per_day.withColumn("is_flagged", flag & c("amplitude_flag") if require_amplitude else flag)
+    return per_day.withColumn("anomaly_reasons", F.when(c("is_flagged"), F.concat_ws("; ", F.array_join("_words", "; "), wide))).drop("_words", "_amplitude", "_usual")

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import WhatIfConfig
+from ..config import TickConfig, WhatIfConfig
 from ..functions.quotes import floor_to_tick
 from ..operators.asof import asof_join
+from ..operators.pointfair import point_fairs
 from ..operators.quantiles import exact_quantiles
 from ..operators.rangejoin import range_join
 from ..session import materialize
+from .ticks import contract_volumes, eligible_pool, reference_contracts
 
 K = ["trade_date", "commodity", "contract"]
 EVENT = [*K, "event_anchor_key"]
@@ -35,16 +37,23 @@ def scenarios(events: DataFrame, cfg: WhatIfConfig = WhatIfConfig()) -> DataFram
     )
 
 
-def placement_fairs(events: DataFrame, enriched: DataFrame, cfg: WhatIfConfig = WhatIfConfig()) -> DataFrame:
-    """Fair price of the target's latest frame at each order time; only the requested instants are looked up."""
+def placement_fairs(events: DataFrame, frames: DataFrame, cfg: WhatIfConfig = WhatIfConfig(), ticks: TickConfig = TickConfig()) -> DataFrame:
+    """Fair price of the target's latest frame at each order time, computed for these instants alone.
+
+    order_fair_reason is empty where there is a price; ``order_fair_key`` is null where the latest frame is too old.
+    """
     c = F.col
     ask = events.select(*EVENT, "valid_peers").withColumn("order_age_seconds", _list(cfg.order_ages_seconds)).withColumn(
         "order_time_key", (c("event_anchor_key") - F.rint(c("order_age_seconds") * 1000)).cast("bigint"))
-    frames = enriched.select(*K, "market_time_key", "fair_price", "fair_price_reliable", "tick_size", "contract_multiplier")
-    found = asof_join(ask, frames, K, "order_time_key", "market_time_key", cfg.quote_age_ms, "f")
-    return found.select(*EVENT, "valid_peers", "order_age_seconds", "order_time_key", c("f.market_time_key").alias("order_fair_key"),
-                        F.when(c("f.fair_price_reliable") & (c("f.fair_price") > 0), c("f.fair_price")).alias("order_fair_price"),
-                        c("f.tick_size").alias("tick_size"), c("f.contract_multiplier").alias("multiplier"))
+    latest = frames.select(*K, "market_time_key", "tick_size", "contract_multiplier")
+    found = asof_join(ask, latest, K, "order_time_key", "market_time_key", cfg.quote_age_ms, "f").withColumn("at_key", c("f.market_time_key"))
+    volumes = contract_volumes(frames)
+    references = reference_contracts(volumes, ticks).join(eligible_pool(volumes, ticks).select(*K), K, "left_semi")
+    fairs = point_fairs(found.filter("at_key is not null"), frames, references, ticks)
+    reason = F.when(c("at_key").isNull(), "target_snapshot_stale").otherwise(F.coalesce("fair_reason", F.lit("insufficient_peers")))
+    return found.join(fairs, [*K, "at_key"], "left").select(
+        *EVENT, "valid_peers", "order_age_seconds", "order_time_key", c("at_key").alias("order_fair_key"), F.when(c("fair_price") > 0, c("fair_price")).alias("order_fair_price"),
+        reason.alias("order_fair_reason"), c("f.tick_size").alias("tick_size"), c("f.contract_multiplier").alias("multiplier"))
 
 
 def orders(placed: DataFrame, cfg: WhatIfConfig = WhatIfConfig()) -> DataFrame:
@@ -105,12 +114,12 @@ def hedged_worst_mark(rows: DataFrame, frames: DataFrame, cfg: WhatIfConfig = Wh
     return rows.join(worst, TRADE, "left")
 
 
-def outcomes(events: DataFrame, enriched: DataFrame, frames: DataFrame, cfg: WhatIfConfig = WhatIfConfig()) -> DataFrame:
+def outcomes(events: DataFrame, frames: DataFrame, cfg: WhatIfConfig = WhatIfConfig(), ticks: TickConfig = TickConfig()) -> DataFrame:
     """One row per downward event and scenario with prices, P&L, risk and status."""
     c = F.col
     # Each step is written: the next one plans over a plain table, not over all joins before it.
     down = materialize(events.filter(c("event_direction") == "down"))
-    x = materialize(touches(materialize(orders(placement_fairs(down, enriched, cfg), cfg)), frames, cfg))
+    x = materialize(touches(materialize(orders(placement_fairs(down, frames, cfg, ticks), cfg)), frames, cfg))
     x = x.withColumn("hedge_delay_seconds", _list(cfg.hedge_delays_seconds)).withColumn("exit_delay_seconds", _list(cfg.exit_delays_seconds))
     later = lambda s: (c("fill_key") + F.rint(c(s) * 1000)).cast("bigint")
     x = x.filter(c("exit_delay_seconds") >= c("hedge_delay_seconds")).withColumns({

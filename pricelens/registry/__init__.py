@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("daily", "study", "ticks", "events", "whatif", "sources")
+MODULES = ("daily", "study", "ticks", "events", "whatif", "sources", "streams")
 
 
 def _merged(attribute: str) -> dict:

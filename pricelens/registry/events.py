@@ -111,10 +111,45 @@ df2 as (select *, avg(high_diff) over w as hm, avg(low_diff) over w as lm, t_hig
    window w as (partition by target, reference order by trade_date rows between 19 preceding and current row)),
 df3 as (select *, coalesce(hm <> 0 and abs((high_diff - hm) / nullif(hm, 0)) > 1.0 and abs(high_diff) > 0.02::double * t_low, false) as hx,
    coalesce(lm <> 0 and abs((low_diff - lm) / nullif(lm, 0)) > 1.0 and abs(low_diff) > 0.02::double * t_low, false) as lx from df2),
-lg as (select target, trade_date, count_if(hx) as high_hits, count_if(lx) as low_hits, max(t_volume) as volume, bool_or(am > 0 and amp / am > 2.0) as amplitude_flag from df3 group by 1, 2)"""
+df4 as (select *, case when hx then '与' || reference || '最高值差异异常 (比率: ' || printf('%.2f', round(abs((high_diff - hm) / nullif(hm, 0)) * 100 + 1e-9::double, 2)) || '%, 绝对差异: ' || printf('%.2f', round(abs(high_diff) + 1e-9::double, 2)) || ')' end as hw,
+   case when lx then '与' || reference || '最低值差异异常 (比率: ' || printf('%.2f', round(abs((low_diff - lm) / nullif(lm, 0)) * 100 + 1e-9::double, 2)) || '%, 绝对差异: ' || printf('%.2f', round(abs(low_diff) + 1e-9::double, 2)) || ')' end as lw from df3),
+lg as (select target, trade_date, count_if(hx) as high_hits, count_if(lx) as low_hits, max(t_volume) as volume, bool_or(am > 0 and amp / am > 2.0) as amplitude_flag, max(amp) as amp, max(am) as am,
+   array_to_string(list_sort(list_filter(flatten(list([hw, lw])), lambda x: x is not null)), '; ') as words from df4 group by 1, 2)"""
+RANGE = ER + """, runs as (select distinct trade_date, commodity, cast(right(trade_date, 2) as int) + length(commodity) as n from er where cast(right(trade_date, 2) as int) % 9 <> 0),
+rs as (select *, case when n % 11 = 0 then 'failed' when n % 7 = 0 then 'running' else 'success_with_events' end as status, case when n % 11 = 0 then 'error in ' || commodity end as error from runs),
+rg as (select trade_date, count_if(status = 'success_with_events') as hits, count_if(status = 'failed') as failed, count_if(status = 'running') as open, arg_min(error, commodity) filter (where error is not null) as error from rs group by 1),
+fe as (select trade_date, count(*) as events, string_agg(distinct commodity, ',' order by commodity) as hc from er group by 1),
+sp as (select strftime(unnest(range(timestamp '2023-12-25', timestamp '2024-02-06', interval 1 day)), '%Y%m%d') as trade_date),
+rj as (select sp.trade_date, case when cast(right(sp.trade_date, 2) as int) % 10 = 0 and events is not null then 'missing_day' when hits is null then 'missing_output' when failed > 0 then 'failed' when open > 0 then 'incomplete' else 'complete' end as status,
+   events, hits, failed, hc, error from sp left join rg using (trade_date) left join fe using (trade_date)),
+rd as (select trade_date, status, case when status like 'missing%' then 0 else events end as events, case when status like 'missing%' then 0 else hits end as hits, case when status like 'missing%' then 0 else failed end as failed,
+   case when status like 'missing%' then '' else hc end as hit_commodities, case when status not like 'missing%' then error end as error from rj)"""
 TDATE = "strftime(trade_date, '%Y-%m-%d') as trade_date"
 
 
+def _range_days(spark, d):
+    """Runs of the event days: every eleventh commodity-day failed, every seventh still runs; some days have no input or no run."""
+    day = F.dayofmonth(F.to_date("trade_date", "yyyyMMdd"))
+    n = day + F.length("commodity")
+    runs = ev(spark, d).select("trade_date", "commodity").distinct().filter(day % 9 != 0)
+    runs = runs.select("trade_date", "commodity", F.when(n % 11 == 0, "failed").when(n % 7 == 0, "running").otherwise("success_with_events").alias("status"),
+                       F.when(n % 11 == 0, F.concat(F.lit("error in "), "commodity")).otherwise("").alias("error"))
+    absent = ev(spark, d).select("trade_date").distinct().filter(day % 10 == 0)
+    return P.range_days(ev(spark, d), runs, absent, "20231225", "20240205")
+
+
+def _research(spark, d):
+    """Depths of each contract's events; candidates are their quantiles, every fourth contract isn't ready, every fifth has none."""
+    e, k = ev(spark, d), F.substring("target_contract", -1, 1).cast("int") + F.length("target_contract")
+    depths = e.groupBy(F.col("contract").alias("target_contract")).agg(F.percentile("event_depth_ticks", [0.5, 0.7, 0.85, 0.9]).alias("q"))
+    up = lambda x: F.greatest(F.lit(1), F.ceil(x - 1e-12)).cast("bigint")
+    cand = depths.select("target_contract", F.posexplode("q").alias("i", "t")).filter("i < 3").withColumn("total_touch_ticks", up(F.col("t")))
+    cand = cand.withColumn("W", up(F.col("total_touch_ticks") * 0.4)).select("target_contract", F.element_at(F.array(F.lit("P50"), F.lit("P70"), F.lit("P85")), F.col("i") + 1).alias("source_quantile"), F.lit(0.4).alias("width_ratio"),
+                                                                           F.lit("W_x_0.50").alias("step_mode"), "total_touch_ticks", "W", (F.col("total_touch_ticks") - F.col("W")).alias("D"), up(F.col("W") * 0.5).alias("S"))
+    stats = depths.filter(k % 5 != 0).select("target_contract", F.when(k % 4 == 0, "too_few").otherwise("research_candidate_ready").alias("candidate_status"), F.col("q")[3].alias("confirmed_depth_p90_ticks"))
+    return P.research_shapes(cand, stats, depths)
+
+
 def _td():
     return F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date")
 
@@ -139,9 +174,18 @@ QUERIES = {
     "rul_17_day_status": _statuses,
     "agg_16_month_rollup": lambda s, d: P.month_rollup(ev(s, d)).select(
         "month", "commodity", "event_count", F.round(F.col("notional") + 1e-9, 3).alias("notional"), *r6("share_pct")),
-    "top_05_largest_shortfalls": lambda s, d: ev(s, d).orderBy(F.col("notional_shortfall").desc(), "event_id").limit(10).select("event_id", *r6("notional_shortfall")),
-    "top_07_event_order_limit": lambda s, d: ev(s, d).filter("event_direction = 'down'").orderBy("trade_date", "event_time", "event_id").limit(100).select("trade_date", "event_time", "event_id"),
-    "top_08_hit_commodities": lambda s, d: ev(s, d).groupBy("commodity").agg(F.count(F.lit(1)).alias("event_count")).orderBy(F.col("event_count").desc(), "commodity"),
+    "top_05_largest_shortfalls": lambda s, d: P.largest_shortfalls(ev(s, d)).select("event_id", *r6("notional_shortfall")),
+    "top_05_most_common": lambda s, d: P.ranked_values(ev(s, d), "contract"),
+    "agg_15_range_days": lambda s, d: _range_days(s, d),
+    "rul_17_range_counts": lambda s, d: P.range_counts(_range_days(s, d)),
+    "agg_16_month_days": lambda s, d: P.month_days(ev(s, d)).select("month", "trade_date", "event_count", "commodity_count", *r6("events_per_day")),
+    "agg_25_commodity_years": lambda s, d: P.commodity_years(ev(s, d)),
+    "agg_26_year_totals": lambda s, d: P.year_totals(_orders_days(s, d)).select("year", "event_count", *r6("share_pct", "change_pct")),
+    "agg_26_leading_commodities": lambda s, d: P.leading_commodities(ev(s, d), YEARS, 3).select("place", "commodity", "y2023", "y2024", "total"),
+    "agg_29_pass_flags": lambda s, d: _distances(s, d)[0].select("InstrumentID", "direction", *r6("candidate_distance"), "pass_safe_distance", "pass_min_events", "pass_isolation_rate", "pass_monthly_opportunity", "qualified"),
+    "rul_18_research_shapes": lambda s, d: _research(s, d),
+    "top_07_event_order_limit": lambda s, d: P.ordered_events(ev(s, d), 100).select("trade_date", "event_time", "event_id"),
+    "top_08_hit_commodities": lambda s, d: P.hit_commodities(ev(s, d)),
     "set_01_schema_union": lambda s, d: ev(s, d).select("trade_date", "event_id", "recovery_label").unionByName(
         boundary(s, d), allowMissingColumns=True).groupBy("recovery_label", "verdict").agg(F.count(F.lit(1)).alias("n_rows")),
     "set_03_runnable_commodities": lambda s, d: TR.frames(s, d).filter("validation_status = 'validated'").select("commodity").intersect(
@@ -173,7 +217,7 @@ QUERIES = {
             ("floor_px", quotes.floor_to_tick(F.col("Turnover") / 7e3, F.lit(0.05))), ("round_px", quotes.round_to_tick(F.col("LastPrice"), F.lit(0.05))))]),
     "joi_23_reference_differences": lambda s, d: _legacy(s, d).select("target", "reference", _td(), *r6("low_diff", "high_diff")),
     "win_27_trailing_means": lambda s, d: L.detect(_legacy(s, d), 1.0, 20, 2.0, 20.0).select("target", _td(), "high_hits", "low_hits", "amplitude_flag"),
-    "rul_16_legacy_flags": lambda s, d: L.detect(_legacy(s, d), 1.0, 20, 2.0, 20.0).select("target", _td(), "is_flagged"),
+    "rul_16_legacy_flags": lambda s, d: L.detect(_legacy(s, d), 1.0, 20, 2.0, 20.0).select("target", _td(), "is_flagged", "anomaly_reasons"),
     "win_26_moving_averages": lambda s, d: L.moving_averages(daily_bars(s, d), (5, 20)).select("contract", _td(), *r6("ma_5", "ma_5_diff", "ma_20", "ma_20_diff_pct")),
 }
 
@@ -212,6 +256,28 @@ ORACLE = {
     "agg_16_month_rollup": ER + """, m as (select substr(trade_date, 1, 6) as month, commodity, count(*) as event_count, sum(notional_shortfall) as n from er group by 1, 2)
    select month, commodity, event_count, round(n + 1e-9::double, 3) as notional, round(event_count * 100.0::double / sum(event_count) over (partition by month) + 1e-9::double, 6) as share_pct from m""",
     "top_05_largest_shortfalls": ER + " select event_id, round(notional_shortfall + 1e-9::double, 6) as notional_shortfall from er order by er.notional_shortfall desc, event_id limit 10",
+    "top_05_most_common": ER + " select contract, event_count, row_number() over (order by event_count desc, contract) as place from (select contract, count(*) as event_count from er group by 1)",
+    "agg_15_range_days": RANGE + " select * from rd",
+    "rul_17_range_counts": RANGE + """ select count(*) as total_days, count_if(status = 'complete') as completed_days, count_if(status = 'failed') as failed_days, count_if(status = 'missing_day') as missing_days,
+   count_if(status = 'missing_output') as missing_output_days, count_if(status = 'incomplete') as incomplete_days, cast(sum(events) as bigint) as event_count from rd""",
+    "agg_16_month_days": ER + """, m as (select substr(trade_date, 1, 6) as month, trade_date, count(*) as event_count, count(distinct commodity) as commodity_count from er group by 1, 2)
+   select *, round(avg(event_count) over (partition by month) + 1e-9::double, 6) as events_per_day from m""",
+    "agg_25_commodity_years": ER + """ select commodity, cast(substr(trade_date, 1, 4) as int) as year, count(*) as event_count, count(distinct trade_date) as day_count, count(distinct contract) as contract_count from er
+   group by grouping sets ((commodity, cast(substr(trade_date, 1, 4) as int)), (commodity))""",
+    "agg_26_year_totals": """with y as (select year(cast(o_orderdate as date)) as year, count(*) as event_count from orders group by 1)
+   select y.year, y.event_count, round(y.event_count * 100.0::double / sum(y.event_count) over () + 1e-9::double, 6) as share_pct, round((y.event_count - b.event_count) * 100.0::double / b.event_count + 1e-9::double, 6) as change_pct
+   from y left join y b on b.year = y.year - 1""",
+    "agg_26_leading_commodities": ER + """, p as (select commodity, count_if(substr(trade_date, 1, 4) = '2023') as y2023, count_if(substr(trade_date, 1, 4) = '2024') as y2024 from er group by 1)
+   select row_number() over (order by y2023 + y2024 desc, commodity) as place, commodity, y2023, y2024, y2023 + y2024 as total from p qualify place <= 3""",
+    "agg_29_pass_flags": UNIQ + """ select "InstrumentID", direction, round(candidate_distance + 1e-9::double, 6) as candidate_distance, true as pass_safe_distance, event_count >= 3 as pass_min_events,
+   coalesce(isolation_rate >= 0.1, false) as pass_isolation_rate, coalesce(monthly_opportunity >= 1.0, false) as pass_monthly_opportunity, qualified from evl2""",
+    "rul_18_research_shapes": ER + """, dp as (select contract, quantile_cont(event_depth_ticks, [0.5, 0.7, 0.85, 0.9]) as q, cast(right(contract, 1) as int) + length(contract) as k from er group by 1),
+   st as (select *, case when k % 5 = 0 then null when k % 4 = 0 then 'too_few' else 'research_candidate_ready' end as status from dp),
+   sh as (select contract, status, unnest(['P50', 'P70', 'P85', 'P90']) as sq, greatest(1, ceil(unnest(q) - 1e-12::double))::bigint as t from st where status = 'research_candidate_ready'),
+   sw as (select *, greatest(1, ceil(t * 0.4::double - 1e-12::double))::bigint as w from sh)
+   select contract as target_contract, status as candidate_status, sq as source_quantile, t as total_touch_ticks, w as "W", t - w as "D", greatest(1, ceil(w * 0.5::double - 1e-12::double))::bigint as "S",
+      case when sq = 'P90' then 'P90_tail' else 'P50_P70_P85' end as replay_group, case when sq = 'P90' then 'tail_depth_candidate' end as risk_label, 'prepared' as replay_status from sw
+   union all select contract, status, null, null, null, null, null, null, null, case when status is null then 'skipped_missing_statistics' else 'skipped_not_ready' end from st where status is distinct from 'research_candidate_ready'""",
     "top_07_event_order_limit": ER + " select trade_date, event_time, event_id from er where event_direction = 'down' order by trade_date, event_time, event_id limit 100",
     "top_08_hit_commodities": ER + " select commodity, count(*) as event_count from er group by 1",
     "set_01_schema_union": BOUND + " select recovery_label, verdict, count(*) as n_rows from (select recovery_label, null as verdict from er union all select null, verdict from bd) group by 1, 2",
@@ -219,8 +285,8 @@ ORACLE = {
     "set_04_missing_contracts": ER + " select contract from er except select contract from er where notional_shortfall > 4500",
     "set_05_missing_days": "select strftime(dd, '%Y%m%d') as trade_date from (select unnest(range(timestamp '1995-01-01', timestamp '2002-01-01', interval 1 day)) as dd) where cast(dd as date) not in (select cast(o_orderdate as date) from orders)",
     "agg_25_month_calendar": ER + """, sp as (select strftime(unnest(range(timestamp '2023-01-01', timestamp '2025-01-01', interval 1 month)), '%Y%m') as month),
-   c as (select substr(trade_date, 1, 6) as month, count(*) as n, string_agg(distinct contract, ',' order by contract) as cs, count(distinct trade_date) as dc from er group by 1)
-   select sp.month, coalesce(n, 0) as event_count, coalesce(cs, '') as contracts, coalesce(dc, 0) as day_count from sp left join c using (month)""",
+   c as (select substr(trade_date, 1, 6) as month, count(*) as n, string_agg(distinct contract, ',' order by contract) as cs, string_agg(distinct trade_date, ',' order by trade_date) as ds, count(distinct trade_date) as dc from er group by 1)
+   select sp.month, coalesce(n, 0) as event_count, coalesce(cs, '') as contracts, coalesce(ds, '') as dates, coalesce(dc, 0) as day_count from sp left join c using (month)""",
     "agg_26_year_pivot": ER + """, p as (select commodity, count_if(substr(trade_date, 1, 4) = '2023') as y2023, count_if(substr(trade_date, 1, 4) = '2024') as y2024 from er group by 1)
    select *, y2023 + y2024 as total, round(y2024 * 100.0::double / nullif(sum(y2024) over (), 0) + 1e-9::double, 6) as share_pct,
    round((y2024 - y2023) * 100.0::double / nullif(y2023, 0) + 1e-9::double, 6) as change_pct from p""",
@@ -245,7 +311,7 @@ ORACLE = {
    round(round_even(last_price / 0.05::double, 0) * 0.05::double + 1e-9::double, 6) as round_px from snap""",
     "joi_23_reference_differences": LEG + f" select target, reference, {TDATE}, {q6('low_diff', 'high_diff')} from df",
     "win_27_trailing_means": LEG + f" select target, {TDATE}, high_hits, low_hits, amplitude_flag from lg",
-    "rul_16_legacy_flags": LEG + f" select target, {TDATE}, high_hits + low_hits > 0 and volume > 20 as is_flagged from lg",
+    "rul_16_legacy_flags": LEG + f" select target, {TDATE}, high_hits + low_hits > 0 and volume > 20 as is_flagged, case when high_hits + low_hits > 0 and volume > 20 then concat_ws('; ', words, case when amplitude_flag then '振幅异常 (当前振幅: ' || printf('%.2f', round(amp + 1e-9::double, 2)) || ', 历史平均: ' || printf('%.2f', round(am + 1e-9::double, 2)) || ', 倍数: ' || printf('%.2f', round(amp / am + 1e-9::double, 2)) || ')' end) end as anomaly_reasons from lg",
     "win_26_moving_averages": "with " + BARS_SQL + f""", m as (select *, case when count(*) over a >= 5 then avg(close) over a end as m5, case when count(*) over b >= 20 then avg(close) over b end as m20 from bars
    window a as (partition by contract order by trade_date rows between 4 preceding and current row), b as (partition by contract order by trade_date rows between 19 preceding and current row))
    select contract, {TDATE}, round(coalesce(m5, 0) + 1e-9::double, 6) as ma_5, round(coalesce(close - m5, 0) + 1e-9::double, 6) as ma_5_diff, round(coalesce(m20, 0) + 1e-9::double, 6) as ma_20,

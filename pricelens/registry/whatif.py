@@ -16,7 +16,7 @@ LATENCIES = [{"cancel_ack_latency_ms": 500, "new_order_ack_latency_ms": 500}, {"
 
 def _trades(spark, d):
     f, m, ev = TR._chain(spark, d)
-    return W.outcomes(ev, m, f, CFG)
+    return W.outcomes(ev, f, CFG, TR.CFG)
 
 
 def order_log(spark, d):
@@ -25,7 +25,8 @@ def order_log(spark, d):
     return e.select(
         F.date_format("ts", "yyyyMMdd").alias("trade_date"), F.upper("event_type").alias("contract"), i.alias("order_seq"),
         (F.unix_millis(F.col("ts").cast("timestamp")) % 86_400_000).alias("market_time_key"),
-        F.element_at(F.array(F.lit("submit"), F.lit("cancel_requested"), F.lit("ack")), (i % 3 + 1).cast("int")).alias("event"))
+        F.element_at(F.array(F.lit("submit"), F.lit("cancel_requested"), F.lit("ack")), (i % 3 + 1).cast("int")).alias("event"),
+        F.element_at(F.array(F.lit("hedge_sell"), F.lit("target_buy"), F.lit("target_sell")), (F.floor(i / 2) % 3 + 1).cast("int")).alias("role"))
 
 
 def transition_log(spark, d):
@@ -46,7 +47,8 @@ def trade_log(spark, d):
     return e.select(
         i.alias("trade_id"), F.date_format("ts", "yyyyMMdd").alias("trade_date"), F.upper("event_type").alias("contract"),
         key.alias("entry_key"), (key + 14_400_000).alias("exit_key"), (F.col("value") - 160).alias("net_pnl"), (F.col("value") * 20).alias("gross_margin"),
-        F.element_at(F.array(F.lit("closed"), F.lit("hedge_failure_exit"), F.lit("unclosed_end_of_day")), (i % 3 + 1).cast("int")).alias("status"),
+        F.element_at(F.array(F.lit("closed"), F.lit("hedge_failure_exit"), F.lit("unclosed_end_of_day"), F.lit("capital_limit_exit")), (i % 4 + 1).cast("int")).alias("status"),
+        F.upper("event_type").alias("target_contract"), F.when(i % 5 == 0, "fill_during_replace").otherwise("resting").alias("fill_context"),
         F.when(F.col("value") > 200, "detector_event_fill").otherwise("normal_move_fill").alias("event_label"))
 
 
@@ -98,9 +100,9 @@ TKEY = ["trade_date", "contract", "event_anchor_key", "order_age_seconds", "entr
 QUERIES = {
     "joi_19_scenarios": lambda s, d: W.scenarios(TR._chain(s, d)[2].filter("event_direction = 'down'").select("trade_date", "contract", "event_anchor_key"), CFG),
     "joi_20_grid_scenarios": lambda s, d: G.scenario_grid(TR.raw_rows(s, d).select("trade_date", "contract").distinct(), SHAPES, LATENCIES),
-    "joi_07_placement_fair": lambda s, d: (lambda f, m, ev: W.placement_fairs(ev.filter("event_direction = 'down'"), m, CFG).select(
-        "trade_date", "contract", "event_anchor_key", "order_age_seconds", "order_fair_key", *r6("order_fair_price")))(*TR._chain(s, d)),
-    "joi_21_limit_touches": lambda s, d: (lambda f, m, ev: W.touches(W.orders(W.placement_fairs(ev.filter("event_direction = 'down'"), m, CFG), CFG), f, CFG).select(
+    "joi_07_placement_fair": lambda s, d: (lambda f, m, ev: W.placement_fairs(ev.filter("event_direction = 'down'"), f, CFG, TR.CFG).select(
+        "trade_date", "contract", "event_anchor_key", "order_age_seconds", "order_fair_key", "order_fair_reason", *r6("order_fair_price")))(*TR._chain(s, d)),
+    "joi_21_limit_touches": lambda s, d: (lambda f, m, ev: W.touches(W.orders(W.placement_fairs(ev.filter("event_direction = 'down'"), f, CFG, TR.CFG), CFG), f, CFG).select(
         "trade_date", "contract", "event_anchor_key", "order_age_seconds", "entry_distance_bps", *r6("entry_price"), "pre_touch_key", "fill_key"))(*TR._chain(s, d)),
     "joi_08_executable_quotes": lambda s, d: _trades(s, d).filter("fill_key is not null").select(*TKEY, *r6("hedge_entry_price", "target_exit_price", "hedge_exit_price")),
     "win_24_unhedged_mae": lambda s, d: _trades(s, d).filter("fill_key is not null").select(*TKEY, *r6("unhedged_mae_bps", "unhedged_worst_mark_pnl")),
@@ -111,7 +113,7 @@ QUERIES = {
         *r6("settled_net_pnl", "eligible_net_pnl", "eligible_win_rate", "median_gross_margin", "unhedged_mae_bps_p10", "observed_worst_net_pnl_min", "model_fill_rate_among_clean_orders")),
     "win_28_peak_actions": lambda s, d: G.peak_actions(order_log(s, d), ["trade_date"]),
     "agg_22_replay_summary": lambda s, d: G.replay_summary(trade_log(s, d), order_log(s, d), transition_log(s, d)).select(
-        "scope", "day", "fill_count", "detector_event_fill_count", "closed_count", "hedge_failure_count", "order_action_count", "peak_order_actions_per_minute",
+        "scope", "day", "target_contract", "fill_count", "detector_event_fill_count", "normal_move_fill_count", "fill_during_replace_count", "closed_count", "hedge_failure_count", "capital_limit_exit_count", "order_action_count", "peak_order_actions_per_minute",
         "reprice_count", "pause_count", *r6("net_pnl", "win_rate", "worst_net_pnl", "max_gross_margin", "hedge_failure_rate")),
     "agg_23_scenario_summary": lambda s, d: G.scenario_summary(_daily_results(s, d), 100, 20, 0.51, 0.2, 400000.0, 5).select(
         "scenario_id", "instrument", "active_days", "fill_count", "skipped_day_count", "selection_reason", "eligible", F.round("net_pnl", 2).alias("net_pnl"), F.round("daily_net_std", 2).alias("daily_net_std")),
@@ -124,25 +126,27 @@ QUERIES = {
     "prj_26_fill_evidence": _frames_for_evidence,
     "prj_27_spread_guard": lambda s, d: _band_columns(s, d).select("snapshot_seq_end", "quote_price", "spread_ok", "width_ticks", "covers_spread"),
     "prj_28_distance_band": lambda s, d: _band_columns(s, d).select("snapshot_seq_end", "in_band"),
-    "win_29_slot_samples": lambda s, d: G.slot_samples(TR.frames(s, d), ["trade_date", "contract"], 5000).select("trade_date", "contract", "slot", "market_time_key"),
+    "win_29_slot_samples": lambda s, d: G.slot_samples(TR.frames(s, d), ["trade_date", "contract"], 5000).select("trade_date", "contract", "slot", "market_time_key", "snapshot_seq_end", "display_time", *r6("BidPrice1", "mid_price")),
     "win_33_alternate_deltas": lambda s, d: T.alternate_deltas(TR.frames(s, d), TR.CFG).select("trade_date", "contract", "market_time_key", "delta_volume"),
 }
 
 ORD = TR.EVENTS + """,
 dn as (select trade_date, commodity, contract, ak, pl from ev where dir = 'down'),
 rq as (select dn.*, age, ak - cast(age * 1000 as bigint) as ok from dn, (select unnest([5.0::double, 20.0::double]) as age)),
-pf as (select rq.*, m.mk as fk0, m.fp as fp0, m.rel as rel0 from rq asof left join mk_ m on rq.trade_date = m.trade_date and rq.contract = m.contract and rq.ok >= m.mk),
-pl_ as (select * exclude (fk0, fp0, rel0), case when ok - fk0 <= 3000 then fk0 end as fk, case when ok - fk0 <= 3000 and rel0 and fp0 > 0 then fp0 end as fair from pf),
+pf as (select rq.*, m.mk as fk0, m.fp as fp0, m.rel as rel0, m.tn as tn0, (select count(*) from fr w where w.trade_date = rq.trade_date and w.contract = rq.contract and w.mk between m.mk - 300000 and m.mk - 10000) as nw from rq asof left join mk_ m on rq.trade_date = m.trade_date and rq.contract = m.contract and rq.ok >= m.mk),
+pl_ as (select * exclude (fk0, fp0, rel0, tn0, nw), case when ok - fk0 <= 3000 then fk0 end as fk, case when ok - fk0 <= 3000 and rel0 and fp0 > 0 then fp0 end as fair,
+   case when ok - fk0 <= 3000 then (case when nw < 20 then 'target_baseline_too_short' when tn0 < 20 then 'target_spread_baseline_missing' when fp0 is null then 'insufficient_peers' when not rel0 then 'fair_uncertainty_exceeded' else '' end)
+     else 'target_snapshot_stale' end as why from pf),
 od as (select pl_.*, dist, round(floor(fair * (1.0::double - dist / 10000.0::double) / 0.02::double + 1e-9::double) * 0.02::double, 10) as ep from pl_, (select unnest([10.0::double, 25.0::double]) as dist)),
 tc as (select o.trade_date, o.contract, o.ak, o.age, o.dist, min(f.mk) filter (where f.mk < o.ak) as pre, min(f.mk) filter (where f.mk >= o.ak) as fl
    from od o join fr f on o.trade_date = f.trade_date and o.contract = f.contract and f.mk between o.ok and o.ak + 3000 and f.tradable and f.dv > 0 and f.lp <= o.ep group by all),
 o2 as (select od.*, pre, fl from od left join tc using (trade_date, contract, ak, age, dist)),
 sc as (select hd, xd from (select unnest([1.0::double, 3.0::double]) as hd), (select unnest([2.0::double, 8.0::double]) as xd) where xd >= hd),
 o3 as (select o2.*, hd, xd, pl[1] as ref, fl + cast(hd * 1000 as bigint) as hk, fl + cast(xd * 1000 as bigint) as xk from o2, sc),
-q1 as (select o3.*, f.mk as a_k, f.bid as a_p from o3 asof left join fr f on o3.trade_date = f.trade_date and o3.ref = f.contract and o3.hk >= f.mk),
-q2 as (select q1.*, f.mk as b_k, f.bid as b_p from q1 asof left join fr f on q1.trade_date = f.trade_date and q1.contract = f.contract and q1.xk >= f.mk),
-q3 as (select q2.*, f.mk as c_k, f.ask as c_p from q2 asof left join fr f on q2.trade_date = f.trade_date and q2.ref = f.contract and q2.xk >= f.mk),
-q4 as (select q3.*, f.mk as d_k, f.bid as d_p from q3 asof left join fr f on q3.trade_date = f.trade_date and q3.contract = f.contract and q3.hk >= f.mk),
+q1 as (select o3.*, f.mk as a_k, case when f.tradable then f.bid end as a_p from o3 asof left join fr f on o3.trade_date = f.trade_date and o3.ref = f.contract and o3.hk >= f.mk),
+q2 as (select q1.*, f.mk as b_k, case when f.tradable then f.bid end as b_p from q1 asof left join fr f on q1.trade_date = f.trade_date and q1.contract = f.contract and q1.xk >= f.mk),
+q3 as (select q2.*, f.mk as c_k, case when f.tradable then f.ask end as c_p from q2 asof left join fr f on q2.trade_date = f.trade_date and q2.ref = f.contract and q2.xk >= f.mk),
+q4 as (select q3.*, f.mk as d_k, case when f.tradable then f.bid end as d_p from q3 asof left join fr f on q3.trade_date = f.trade_date and q3.contract = f.contract and q3.hk >= f.mk),
 q5 as (select *, case when hk - a_k <= 3000 and a_p > 0 and a_p - 0.02::double > 0 then a_p - 0.02::double end as he, case when xk - b_k <= 3000 and b_p > 0 then b_p - 0.02::double end as te,
    case when xk - c_k <= 3000 and c_p > 0 then c_p + 0.02::double end as hx, case when hk - d_k <= 3000 and d_p > 0 then d_p end as eb from q4),
 lw as (select q.trade_date, q.contract, q.ak, q.age, q.dist, q.hd, q.xd, min(f.bid) as low from q5 q join fr f on q.trade_date = f.trade_date and q.contract = f.contract
@@ -151,8 +155,8 @@ q6 as (select q5.*, (least(low, eb) - 0.02::double - ep) / ep * 10000 as mae, (l
 mks as (select distinct q.trade_date, q.contract, q.ak, q.age, q.dist, q.hd, q.xd, q.ref, q.ep, q.he, k.mk as mkey from q6 q join (
    select trade_date, contract, mk from fr) k on q.trade_date = k.trade_date and q.contract = k.contract and k.mk between q.hk and q.xk where q.he is not null
    union select trade_date, contract, ak, age, dist, hd, xd, ref, ep, he, unnest([hk, xk]) from q6 where he is not null),
-w1 as (select mks.*, f.mk as tk_, f.bid as tb from mks asof left join fr f on mks.trade_date = f.trade_date and mks.contract = f.contract and mks.mkey >= f.mk),
-w2 as (select w1.*, f.mk as hk_, f.ask as hb from w1 asof left join fr f on w1.trade_date = f.trade_date and w1.ref = f.contract and w1.mkey >= f.mk),
+w1 as (select mks.*, f.mk as tk_, case when f.tradable then f.bid end as tb from mks asof left join fr f on mks.trade_date = f.trade_date and mks.contract = f.contract and mks.mkey >= f.mk),
+w2 as (select w1.*, f.mk as hk_, case when f.tradable then f.ask end as hb from w1 asof left join fr f on w1.trade_date = f.trade_date and w1.ref = f.contract and w1.mkey >= f.mk),
 hw as (select trade_date, contract, ak, age, dist, hd, xd, min((tb - 0.02::double - ep) * 10 + (he - hb - 0.02::double) * 10) as hworst from w2
    where mkey - tk_ <= 3000 and tb > 0 and mkey - hk_ <= 3000 and hb > 0 group by all),
 q7 as (select q6.*, hworst, (te - ep) * 10 + (he - hx) * 10 - 12.0::double as net, least(uw, hworst) - 12.0::double as own, (ep * 10 + he * 10) * 0.1::double as marg
@@ -163,11 +167,11 @@ tr as (select *, case when fair is null then 'order_fair_missing' when ep <= 0 t
 trs as (select *, status in ('capital_rejected', 'risk_rejected', 'event_fill') as settled from tr)"""
 QT = "trade_date, contract, ak as event_anchor_key, age as order_age_seconds, dist as entry_distance_bps, hd as hedge_delay_seconds, xd as exit_delay_seconds"
 LOGS = """with ol as (select strftime(ts, '%Y%m%d') as trade_date, upper(event_type) as contract, event_id as order_seq, epoch_us(ts) // 1000 % 86400000 as k,
-   list_extract(['submit', 'cancel_requested', 'ack'], cast(event_id % 3 + 1 as int)) as event from events),
+   list_extract(['submit', 'cancel_requested', 'ack'], cast(event_id % 3 + 1 as int)) as event, event_id // 2 % 3 > 0 as for_target from events),
 tl as (select strftime(ts, '%Y%m%d') as trade_date, upper(event_type) as contract, epoch_us(ts) // 1000 % 86400000 as k, list_extract(['QUOTING', 'PAUSED'], cast(event_id % 2 + 1 as int)) as to_state,
    list_extract(['start', 'last_price_down_confirmed', 'spread'], cast(event_id % 3 + 1 as int)) as reason from events where value < 15),
 td as (select event_id as trade_id, strftime(ts, '%Y%m%d') as trade_date, upper(event_type) as contract, epoch_us(ts) // 1000 % 86400000 as entry_key, value - 160 as net_pnl, value * 20 as gross_margin,
-   list_extract(['closed', 'hedge_failure_exit', 'unclosed_end_of_day'], cast(event_id % 3 + 1 as int)) as status, value > 200 as det from events where value > 120)"""
+   list_extract(['closed', 'hedge_failure_exit', 'unclosed_end_of_day', 'capital_limit_exit'], cast(event_id % 4 + 1 as int)) as status, event_id % 5 = 0 as replacing, value > 200 as det from events where value > 120)"""
 SCOPED = LOGS + """,
 sol as (select 'overall' as scope, 'ALL' as day, * from ol union all select 'day', trade_date, * from ol),
 stl as (select 'overall' as scope, 'ALL' as day, * from tl union all select 'day', trade_date, * from tl),
@@ -178,7 +182,7 @@ ORACLE = {
     "joi_19_scenarios": ORD + " select trade_date, contract, ak as event_anchor_key, age as order_age_seconds, dist as entry_distance_bps, hd as hedge_delay_seconds, xd as exit_delay_seconds from dn, (select unnest([5.0::double, 20.0::double]) as age), (select unnest([10.0::double, 25.0::double]) as dist), sc",
     "joi_20_grid_scenarios": "with " + SNAPSHOTS_SQL + """, q as (select * from (values (1, 0.4::double, 0.6::double, 0.2::double), (2, 0.8::double, 1.2::double, 0.4::double)) t(q, w, dd, s)), l as (select * from (values (1, 500, 500), (2, 1000, 750)) t(l, c, n))
    select 'Q0' || q || '-L0' || l as scenario_id, w as "W_pct", dd as "D_pct", s as "S_pct", c as cancel_ack_latency_ms, n as new_order_ack_latency_ms, trade_date, contract from q, l, (select distinct trade_day as trade_date, contract from snap)""",
-    "joi_07_placement_fair": ORD + " select trade_date, contract, ak as event_anchor_key, age as order_age_seconds, fk as order_fair_key, round(fair + 1e-9::double, 6) as order_fair_price from pl_",
+    "joi_07_placement_fair": ORD + " select trade_date, contract, ak as event_anchor_key, age as order_age_seconds, fk as order_fair_key, why as order_fair_reason, round(fair + 1e-9::double, 6) as order_fair_price from pl_",
     "joi_21_limit_touches": ORD + " select trade_date, contract, ak as event_anchor_key, age as order_age_seconds, dist as entry_distance_bps, round(ep + 1e-9::double, 6) as entry_price, pre as pre_touch_key, fl as fill_key from o2",
     "joi_08_executable_quotes": ORD + f" select {QT}, round(he + 1e-9::double, 6) as hedge_entry_price, round(te + 1e-9::double, 6) as target_exit_price, round(hx + 1e-9::double, 6) as hedge_exit_price from trs where fl is not null",
     "win_24_unhedged_mae": ORD + f" select {QT}, round(mae + 1e-9::double, 6) as unhedged_mae_bps, round(uw + 1e-9::double, 6) as unhedged_worst_mark_pnl from trs where fl is not null",
@@ -191,11 +195,11 @@ ORACLE = {
    round(quantile_cont(mae, 0.1) filter (where settled) + 1e-9::double, 6) as unhedged_mae_bps_p10, round(min(own) filter (where settled) + 1e-9::double, 6) as observed_worst_net_pnl_min,
    round(count_if(settled) / nullif(count(*) - count_if(status = 'pre_event_touch'), 0)::double + 1e-9::double, 6) as model_fill_rate_among_clean_orders from trs group by 1, 2, 3, 4, 5, 6, 7""",
     "win_28_peak_actions": SCOPED + " select day as trade_date, peak as peak_order_actions_per_minute from pk where scope = 'day'",
-    "agg_22_replay_summary": SCOPED + """, t as (select scope, day, count(*) as fc, count_if(det) as dc, count_if(status <> 'unclosed_end_of_day') as cc, count_if(status = 'hedge_failure_exit') as hc, sum(net_pnl) as net,
+    "agg_22_replay_summary": SCOPED + """, t as (select scope, day, count(*) as fc, count_if(det) as dc, count_if(status <> 'unclosed_end_of_day') as cc, count_if(status = 'hedge_failure_exit') as hc, sum(net_pnl) as net, count_if(not det) as nc, count_if(replacing) as rpl, count_if(status = 'capital_limit_exit') as cl, arg_min(contract, (entry_key, trade_id)) as traded,
    avg(case when net_pnl > 0 then 1.0::double else 0 end) as wr, min(net_pnl) as wn, max(gross_margin) as mg from std group by 1, 2),
-   o as (select scope, day, count_if(event in ('submit', 'cancel_requested')) as oc from sol group by 1, 2),
+   o as (select scope, day, count_if(event in ('submit', 'cancel_requested')) as oc, arg_min(contract, (k, order_seq)) filter (where for_target) as quoted from sol group by 1, 2),
    s as (select scope, day, count_if(reason = 'last_price_down_confirmed') as rc, count_if(to_state = 'PAUSED' and reason <> 'start') as pc from stl group by 1, 2)
-   select o.scope, o.day, coalesce(fc, 0) as fill_count, coalesce(dc, 0) as detector_event_fill_count, coalesce(cc, 0) as closed_count, coalesce(hc, 0) as hedge_failure_count, oc as order_action_count,
+   select o.scope, o.day, coalesce(traded, quoted, '') as target_contract, coalesce(nc, 0) as normal_move_fill_count, coalesce(rpl, 0) as fill_during_replace_count, coalesce(cl, 0) as capital_limit_exit_count, coalesce(fc, 0) as fill_count, coalesce(dc, 0) as detector_event_fill_count, coalesce(cc, 0) as closed_count, coalesce(hc, 0) as hedge_failure_count, oc as order_action_count,
    coalesce(peak, 0) as peak_order_actions_per_minute, coalesce(rc, 0) as reprice_count, coalesce(pc, 0) as pause_count, round(coalesce(net, 0) + 1e-9::double, 6) as net_pnl, round(wr + 1e-9::double, 6) as win_rate,
    round(wn + 1e-9::double, 6) as worst_net_pnl, round(mg + 1e-9::double, 6) as max_gross_margin, round(hc / nullif(fc, 0)::double + 1e-9::double, 6) as hedge_failure_rate
    from o left join t using (scope, day) left join pk using (scope, day) left join s using (scope, day)""",
@@ -225,6 +229,6 @@ ORACLE = {
    coalesce(tick > 0 and bid > 0 and ask >= bid and greatest(1, ceil(lp * 0.4::double / 100.0::double / tick - 1e-12::double)) + greatest(1, ceil(lp * 0.6::double / 100.0::double / tick - 1e-12::double)) > (ask - bid) / tick * 20.0::double, false) as covers_spread from y""",
     "prj_28_distance_band": TR.FRAMES + """, z as (select *, seq1 % 2 = 0 as buy from fr), y as (select *, round(case when buy then floor(mid * (1 - 0.0013::double) / tick + 1e-12::double) else ceil(mid * (1 + 0.0013::double) / tick - 1e-12::double) end * tick, 10) as px from z)
    select seq1 as snapshot_seq_end, case when buy then (mid - px) / mid else (px - mid) / mid end between 0.0013::double - 1e-12::double and 0.00131::double + 1e-12::double as in_band from y""",
-    "win_29_slot_samples": TR.FRAMES + " select trade_date, contract, mk // 5000 as slot, min(mk) as market_time_key from fr group by 1, 2, 3",
+    "win_29_slot_samples": TR.FRAMES + " select trade_date, contract, mk // 5000 as slot, mk as market_time_key, seq1 as snapshot_seq_end, disp as display_time, round(bid + 1e-9::double, 6) as \"BidPrice1\", round(mid + 1e-9::double, 6) as mid_price from fr qualify row_number() over (partition by trade_date, contract, mk // 5000 order by mk) = 1",
     "win_33_alternate_deltas": TR.FRAMES + " select trade_date, contract, mk as market_time_key, case when mk - pk <= 3000 and vol > pv then vol - pv end as delta_volume from fr",
 }

@@ -3,10 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Size of the quantile sketches, and the share of ranks that their quantiles stay within with 99 % confidence.
+SKETCH_K, RANK_ERROR = 400, 0.01
+
 
 def deviation_events(candidates: DataFrame, gap: str = "5 seconds", lateness: str = "10 seconds") -> DataFrame:
     """Candidates (contract, side, ts, deviation) merged into events; a gap equal to ``gap`` still merges."""
@@ -15,43 +19,95 @@ def deviation_events(candidates: DataFrame, gap: str = "5 seconds", lateness: st
         F.count(F.lit(1)).alias("candidate_rows"), F.max(size).alias("abs_deviation"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")).drop("w")
 
 
-def quality_counters(rows: DataFrame, width: str = "1 minute", lateness: str = "10 seconds") -> DataFrame:
-    """Row counts and approximate deviation quantiles per contract and tumbling window."""
+def window_counters(rows: DataFrame, width: str = "1 minute", lateness: str = "10 seconds", accuracy: int = SKETCH_K) -> DataFrame:
+    """Row counts and a quantile sketch of the absolute deviation per contract and tumbling window.
+
+    Sketches merge, so windows roll up to any longer span later (``rolled_up``) without their rows.
+    """
     return rows.withWatermark("ts", lateness).groupBy("contract", F.window("ts", width).alias("w")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count("deviation").alias("deviation_records"),
-        F.percentile_approx(F.abs(F.col("deviation")), [0.9, 0.99], F.lit(10_000)).alias("quantiles")).select(
-        "contract", F.col("w.start").alias("window_start"), "rows", "deviation_records", "quantiles")
+        F.count(F.lit(1)).alias("rows"), F.count("deviation").alias("deviation_records"), F.max(F.abs("deviation")).alias("abs_max"),
+        F.kll_sketch_agg_double(F.abs("deviation"), accuracy).alias("sketch")).select(
+        "contract", F.col("w.start").alias("window_start"), "rows", "deviation_records", "abs_max", "sketch")
+
+
+def rolled_up(counters: DataFrame, keys: list[str], quantiles: dict[str, float], accuracy: int = SKETCH_K) -> DataFrame:
+    """Counts, maximum and quantiles per ``keys`` from window counters; a quantile's rank is within RANK_ERROR of the one asked for."""
+    merged = counters.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("deviation_records").alias("deviation_records"), F.max("abs_max").alias("abs_max"),
+                                         F.kll_merge_agg_double("sketch", accuracy).alias("sketch"))
+    picked = [F.when(F.col("deviation_records") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q).cast("double"))).alias(n) for n, q in quantiles.items()]
+    return merged.select(*keys, "rows", "deviation_records", "abs_max", *picked)
 
 
 class DeltaState(StatefulProcessor):
-    """Keeps the last snapshot of a contract; emits volume deltas and segment numbers."""
+    """Snapshots of one contract in event-time order: volume deltas, gaps and segments.
+
+    Rows wait until the watermark has passed them, so those that come in any order within the lateness are taken in theirs,
+    as one array each time. What is kept is the last row and the rows that wait; a contract that is silent for longer
+    than the gap keeps nothing, for its next row starts a segment in any case.
+    """
+
+    ROW = "ts_ms bigint, snapshot_seq bigint, volume bigint"
 
     def __init__(self, gap_ms: int = 300_000):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "key bigint, volume bigint, segment bigint")
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts_ms bigint, volume bigint, segment_start bigint")
+        self.waiting = handle.getListState("waiting", self.ROW)
+
+    def _taken(self, key, rows: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        """Results of the rows up to the watermark; the others wait, and one timer is set for what comes next."""
+        rows = sorted(rows)
+        ready = next((i for i, r in enumerate(rows) if r[0] > watermark), len(rows))
+        if rows[ready:]:
+            self.waiting.put(rows[ready:])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if ready:
+            at, seq, volume = (np.array(x, np.int64) for x in zip(*rows[:ready]))
+            known = self.last.get() if self.last.exists() else None
+            before_at, before_volume = np.r_[known[0] if known else at[0], at[:-1]], np.r_[known[1] if known else volume[0], volume[:-1]]
+            fresh = (at - before_at > self.gap_ms) | (volume < before_volume)
+            fresh[0] |= known is None
+            begins = np.where(fresh, at, 0)
+            if known and not fresh[0]:
+                begins[0] = known[2]
+            segment = np.maximum.accumulate(begins)
+            self.last.update((int(at[-1]), int(volume[-1]), int(segment[-1])))
+            inside = lambda x: pd.Series(x, dtype="Int64").mask(fresh)
+            yield pd.DataFrame({"contract": key[0], "snapshot_seq": seq, "delta_volume": inside(volume - before_volume), "gap_ms": inside(at - before_at), "segment_start": segment})
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rows[ready:]:
+            self.handle.registerTimer(rows[-1][0])
+        elif self.last.exists():
+            self.handle.registerTimer(self.last.get()[0] + self.gap_ms + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["market_time_key", "snapshot_seq"])
-        state = self.last.get() if self.last.exists() else None
-        k, v, segment = state if state else (None, None, 0)
-        deltas, segments = [], []
-        for at, volume in zip(batch["market_time_key"], batch["Volume"]):
-            fresh = k is None or at - k > self.gap_ms or at < k or volume < v
-            segment += int(fresh)
-            deltas.append(None if fresh else int(volume - v))
-            segments.append(segment)
-            k, v = int(at), int(volume)
-        self.last.update((k, v, segment))
-        yield pd.DataFrame({"contract": key[0], "snapshot_seq": batch["snapshot_seq"].to_numpy(),
-                            "delta_volume": pd.array(deltas, dtype="Int64"), "segment_id": segments})
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        for part in rows:
+            held += list(zip(*(part[c].astype("int64").tolist() for c in ("ts_ms", "snapshot_seq", "volume"))))
+        yield from self._taken(key, held, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        if held:
+            yield from self._taken(key, held, watermark)
+        elif self.last.exists() and self.last.get()[0] + self.gap_ms < watermark:
+            self.last.clear()
 
     def close(self) -> None:
         pass
 
 
-def incremental_deltas(rows: DataFrame, gap_ms: int = 300_000) -> DataFrame:
-    """Needs the RocksDB state store. Rows: contract, snapshot_seq, market_time_key, Volume."""
-    return rows.groupBy("contract").transformWithStateInPandas(
-        DeltaState(gap_ms), "contract string, snapshot_seq bigint, delta_volume bigint, segment_id bigint", "Append", "None")
+def incremental_deltas(rows: DataFrame, gap_ms: int = 300_000, lateness: str = "10 seconds") -> DataFrame:
+    """contract, snapshot_seq, delta_volume, gap_ms, segment_start of rows with contract, ts, snapshot_seq, Volume.
+
+    Needs the RocksDB state store. Rows later than ``lateness`` are dropped by the watermark; volumes that fall and gaps
+    beyond ``gap_ms`` start a segment, named by the time of its first row, which has neither delta nor gap.
+    """
+    timed = rows.withWatermark("ts", lateness).select("contract", "ts", F.unix_millis("ts").alias("ts_ms"), "snapshot_seq", F.col("Volume").alias("volume"))
+    return timed.groupBy("contract").transformWithStateInPandas(
+        DeltaState(gap_ms), "contract string, snapshot_seq bigint, delta_volume bigint, gap_ms bigint, segment_start bigint", "Append", "EventTime")
