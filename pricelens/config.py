@@ -79,6 +79,9 @@ class WhatIfConfig:
     hedge_lots: int = 1
     commission_per_lot: float = 3.0
     margin_rate: float = 0.1
+    # (commodity, value) where a commodity has costs of its own.
+    commissions: tuple[tuple[str, float], ...] = ()
+    margin_rates: tuple[tuple[str, float], ...] = ()
     account_equity: float = 100_000.0
     max_margin_ratio: float = 0.5
     max_single_trade_loss: float = 60.0

@@ -26,6 +26,14 @@ def _list(values) -> Column:
     return F.explode(F.array(*[F.lit(float(v)) for v in values]))
 
 
+def _of_commodity(values: tuple[tuple[str, float], ...], default: float) -> Column:
+    """The commodity's own value, else the default."""
+    if not values:
+        return F.lit(default)
+    pairs = F.create_map(*[F.lit(x) for pair in values for x in pair])
+    return F.coalesce(F.try_element_at(pairs, F.col("commodity")), F.lit(default))
+
+
 def scenarios(events: DataFrame, cfg: WhatIfConfig = WhatIfConfig()) -> DataFrame:
     """The events under all parameter combinations that do not exit before they hedge."""
     return (
@@ -47,6 +55,7 @@ def placement_fairs(events: DataFrame, frames: DataFrame, cfg: WhatIfConfig = Wh
         "order_time_key", (c("event_anchor_key") - F.rint(c("order_age_seconds") * 1000)).cast("bigint"))
     latest = frames.select(*K, "market_time_key", "tick_size", "contract_multiplier")
     found = asof_join(ask, latest, K, "order_time_key", "market_time_key", cfg.quote_age_ms, "f").withColumn("at_key", c("f.market_time_key"))
+    found = materialize(found)  # asked for twice: the instants, and the orders that get their prices
     volumes = contract_volumes(frames)
     references = reference_contracts(volumes, ticks).join(eligible_pool(volumes, ticks).select(*K), K, "left_semi")
     fairs = point_fairs(found.filter("at_key is not null"), frames, references, ticks)
@@ -115,10 +124,18 @@ def hedged_worst_mark(rows: DataFrame, frames: DataFrame, cfg: WhatIfConfig = Wh
 
 
 def outcomes(events: DataFrame, frames: DataFrame, cfg: WhatIfConfig = WhatIfConfig(), ticks: TickConfig = TickConfig()) -> DataFrame:
-    """One row per downward event and scenario with prices, P&L, risk and status."""
+    """One row per downward event and scenario with prices, P&L, risk and status.
+
+    Statuses are tried in a fixed order: the anchor's frame, a reliable price, the target's tick size and multiplier, the
+    entry, touches and fills, the hedge's contract and metadata, its quotes, capital and risk.
+    """
     c = F.col
     # Each step is written: the next one plans over a plain table, not over all joins before it.
+    anchors = frames.select(*K, c("market_time_key").alias("event_anchor_key"), F.lit(True).alias("anchor_found"))
     down = materialize(events.filter(c("event_direction") == "down"))
+    found = materialize(down.select(*EVENT).join(anchors, EVENT, "left").select(*EVENT, F.coalesce("anchor_found", F.lit(False)).alias("anchor_found")))
+    listed = frames.groupBy(*K).agg(F.max("tick_size").alias("_tick"), F.max("contract_multiplier").alias("_multiplier"))
+    hedges = listed.select("trade_date", "commodity", c("contract").alias("reference_contract"), F.lit(True).alias("hedge_listed"), (c("_tick").isNotNull() & c("_multiplier").isNotNull()).alias("hedge_described"))
     x = materialize(touches(materialize(orders(placement_fairs(down, frames, cfg, ticks), cfg)), frames, cfg))
     x = x.withColumn("hedge_delay_seconds", _list(cfg.hedge_delays_seconds)).withColumn("exit_delay_seconds", _list(cfg.exit_delays_seconds))
     later = lambda s: (c("fill_key") + F.rint(c(s) * 1000)).cast("bigint")
@@ -134,28 +151,30 @@ def outcomes(events: DataFrame, frames: DataFrame, cfg: WhatIfConfig = WhatIfCon
     x = x.withColumns({"hedge_entry_price": positive(c("_hb") - slip), "target_exit_price": positive(c("_tb") - slip), "hedge_exit_price": c("_ha") + slip})
     x = materialize(unhedged_mae(materialize(x), frames, cfg))
     x = materialize(hedged_worst_mark(x, frames, cfg))
+    x = x.join(found, EVENT, "left").join(hedges, ["trade_date", "commodity", "reference_contract"], "left")
     size_t, size_h = c("multiplier") * cfg.target_lots, c("multiplier") * cfg.hedge_lots
-    commission = 2.0 * (cfg.target_lots + cfg.hedge_lots) * cfg.commission_per_lot
+    commission = 2.0 * (cfg.target_lots + cfg.hedge_lots) * _of_commodity(cfg.commissions, cfg.commission_per_lot)
     x = x.withColumns({"target_pnl": (c("target_exit_price") - c("entry_price")) * size_t,
                        "hedge_pnl": (c("hedge_entry_price") - c("hedge_exit_price")) * size_h})
     x = x.withColumns({
         "net_pnl": c("target_pnl") + c("hedge_pnl") - commission,
         "observed_worst_net_pnl": F.least("unhedged_worst_mark_pnl", "hedged_worst_mark_pnl") - commission,
-        "gross_margin": (c("entry_price") * size_t + c("hedge_entry_price") * size_h) * cfg.margin_rate,
+        "gross_margin": (c("entry_price") * size_t + c("hedge_entry_price") * size_h) * _of_commodity(cfg.margin_rates, cfg.margin_rate),
     })
     capital = c("gross_margin") <= cfg.account_equity * cfg.max_margin_ratio
     risk = F.coalesce(c("observed_worst_net_pnl") >= -cfg.max_single_trade_loss, F.lit(False))
     status = (
-        F.when(c("order_fair_price").isNull(), "order_fair_missing").when(c("entry_price") <= 0, "entry_price_invalid")
+        F.when(~F.coalesce("anchor_found", F.lit(False)), "anchor_not_found").when(c("order_fair_price").isNull(), "order_fair_missing")
+        .when(c("tick_size").isNull() | c("multiplier").isNull(), "target_metadata_missing").when(c("entry_price") <= 0, "entry_price_invalid")
         .when(c("pre_touch_key").isNotNull(), "pre_event_touch").when(c("fill_key").isNull(), "no_fill")
-        .when(c("reference_contract").isNull(), "reference_contract_missing").when(c("hedge_entry_price").isNull(), "hedge_quote_missing")
+        .when(c("hedge_listed").isNull(), "reference_contract_missing").when(~c("hedge_described"), "hedge_metadata_missing").when(c("hedge_entry_price").isNull(), "hedge_quote_missing")
         .when(c("target_exit_price").isNull(), "target_exit_quote_missing").when(c("hedge_exit_price").isNull(), "hedge_exit_quote_missing")
         .when(~capital, "capital_rejected").when(~risk, "risk_rejected").otherwise("event_fill"))
     settled = c("status").isin("capital_rejected", "risk_rejected", "event_fill")
     x = x.withColumn("status", status).withColumn("model_settled", settled)
     money = ["target_pnl", "hedge_pnl", "net_pnl", "observed_worst_net_pnl", "gross_margin", "hedged_worst_mark_pnl"]
     return x.withColumns({"strategy_eligible": c("status") == "event_fill", "fill_model": F.lit(cfg.fill_model)}).withColumns(
-        {m: F.when(c("model_settled"), c(m)) for m in money}).drop("_hb", "_hb_key", "_tb", "_tb_key", "_ha", "_ha_key")
+        {m: F.when(c("model_settled"), c(m)) for m in money}).drop("_hb", "_hb_key", "_tb", "_tb_key", "_ha", "_ha_key", "anchor_found", "hedge_listed", "hedge_described")
 
 
 GROUP = ["fill_model", "commodity", "contract", "order_age_seconds", "entry_distance_bps", "hedge_delay_seconds", "exit_delay_seconds"]

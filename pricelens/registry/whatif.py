@@ -9,7 +9,7 @@ from ..sources.driver_tables import BARS_SQL, SNAPSHOTS_SQL, daily_bars, table
 from . import ticks as TR
 from .daily import r6
 
-CFG = WhatIfConfig()
+CFG = WhatIfConfig(commissions=(("PURCHASE", 4.0),), margin_rates=(("VIEW", 0.12),))
 SHAPES = [{"W_pct": 0.4, "D_pct": 0.6, "S_pct": 0.2}, {"W_pct": 0.8, "D_pct": 1.2, "S_pct": 0.4}]
 LATENCIES = [{"cancel_ack_latency_ms": 500, "new_order_ack_latency_ms": 500}, {"cancel_ack_latency_ms": 1000, "new_order_ack_latency_ms": 750}]
 
@@ -159,8 +159,8 @@ w1 as (select mks.*, f.mk as tk_, case when f.tradable then f.bid end as tb from
 w2 as (select w1.*, f.mk as hk_, case when f.tradable then f.ask end as hb from w1 asof left join fr f on w1.trade_date = f.trade_date and w1.ref = f.contract and w1.mkey >= f.mk),
 hw as (select trade_date, contract, ak, age, dist, hd, xd, min((tb - 0.02::double - ep) * 10 + (he - hb - 0.02::double) * 10) as hworst from w2
    where mkey - tk_ <= 3000 and tb > 0 and mkey - hk_ <= 3000 and hb > 0 group by all),
-q7 as (select q6.*, hworst, (te - ep) * 10 + (he - hx) * 10 - 12.0::double as net, least(uw, hworst) - 12.0::double as own, (ep * 10 + he * 10) * 0.1::double as marg
-   from q6 left join hw using (trade_date, contract, ak, age, dist, hd, xd)),
+q7 as (select q6.*, hworst, (te - ep) * 10 + (he - hx) * 10 - cost as net, least(uw, hworst) - cost as own, (ep * 10 + he * 10) * case when commodity = 'VIEW' then 0.12::double else 0.1::double end as marg
+   from (select *, case when commodity = 'PURCHASE' then 16.0::double else 12.0::double end as cost from q6) q6 left join hw using (trade_date, contract, ak, age, dist, hd, xd)),
 tr as (select *, case when fair is null then 'order_fair_missing' when ep <= 0 then 'entry_price_invalid' when pre is not null then 'pre_event_touch' when fl is null then 'no_fill'
    when ref is null then 'reference_contract_missing' when he is null then 'hedge_quote_missing' when te is null then 'target_exit_quote_missing' when hx is null then 'hedge_exit_quote_missing'
    when marg > 50000 then 'capital_rejected' when coalesce(own, -1e18) < -60 then 'risk_rejected' else 'event_fill' end as status from q7),
