@@ -146,3 +146,19 @@ def test_many_sets_that_share_a_passage_or_are_edited_too_far(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(df).collect()}
     assert got == {d: {5001: 5000, 5003: 5002}.get(d, d) for d, _ in docs}
+
+
+def test_copies_without_their_source_meet_by_their_edits(spark):
+    """Copies with an edit each, no two of them near but where the edits are; and sets that the star of a cluster connects."""
+    pick = random.Random(14)
+    docs = []
+    for f in range(4):
+        base = [f"f{f}w{k}" for k in range(70)]
+        for i in range(120):
+            w = list(base)
+            for k in pick.sample(range(70), pick.choice([1, 1, 1, 2, 3])):
+                w[k] = f"e{pick.randint(0, 3)}f{f}k{k}" if i % 3 else f"e{i}f{f}k{k}"
+            docs.append((len(docs), " ".join(w if i % 10 else w[:-1])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, ngram_join.jaccard_groups(df).collect()), key=repr)
+    assert got == brute.jaccard_groups(docs)
