@@ -11,7 +11,8 @@ from ..functions.codes import file_contract_info
 from ..plans import daily as P, study as S
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import archives, files, sinks, store
-from ..sources.driver_tables import BARS_SQL, SNAPSHOTS_SQL, daily_bars, snapshots
+from ..plans.events import load_directions
+from ..sources.driver_tables import BARS_SQL, EVENT_ROWS_SQL, SNAPSHOTS_SQL, daily_bars, event_rows, snapshots
 from .daily import SCORE, _samples, q6, r6
 from .study import SPINE, _all as study_results
 
@@ -190,7 +191,42 @@ def _result_digests(spark, d):
     return reduce(DataFrame.unionByName, [archives.result_digest(df, df.columns).withColumn("form", F.lit(n)) for n, df in forms.items()])
 
 
+def _event_tables(spark, d):
+    """Event tables of day folders, some with their columns in another order and one more."""
+    rows, place = load_directions(event_rows(spark, d)), folder(spark)
+    fields = {"交易日": "trade_date", "品种": "commodity", "合约": "contract", "事件编号": "event_id", "触发原因": "trigger_reasons", "异常方向": "raw_direction"}
+    even = F.pmod(F.col("trade_date").cast("int"), F.lit(2)) == 0
+    line = lambda names: F.to_csv(F.struct(*[F.col(fields.get(n, n)).alias(n) for n in names]))
+    one, two = list(fields), [*reversed(fields), "recovery_label"]
+    text = rows.groupBy("trade_date").agg(F.array_join(F.collect_list(F.when(even, line(one)).otherwise(line(two))), "\n").alias("body"))
+    text = text.withColumn("text", F.concat(F.when(even, F.lit(",".join(one))).otherwise(F.lit(",".join(two))), F.lit("\n"), "body", F.lit("\n")))
+    archives.write_files(_placed(text, F.concat("trade_date", F.lit("-par/events.csv")), None, F.when(even, "utf-8-sig").otherwise("utf-8")), place)
+    got = files.read_event_tables(spark, place).withColumnRenamed("event_direction", "raw_direction").withColumnRenamed("display_trade_date", "trade_date")
+    return load_directions(got).select("batch_date", "trade_date", "commodity", "contract", "event_id", "trigger_reasons", "event_direction", "recovery_label")
+
+
+def _event_sheet(spark, d):
+    """The event table under its fixed headers, written and read back by name."""
+    place = folder(spark)
+    sheet = sinks.event_table(event_rows(spark, d).withColumn("event_direction", F.trim(F.lower("raw_direction"))))
+    sinks.publish({"events": sheet}, place, fmt="csv")
+    back = sinks.current_tables(spark, place)["events"]
+    return back.select(F.col("事件编号").alias("event_id"), F.col("触发原因").alias("reasons"), F.round(F.col("事件确认深度_跳").cast("double"), 6).alias("depth"), F.lit(len(back.columns)).cast("bigint").alias("n_columns"))
+
+
+def _vendor_bars(spark, d):
+    """Bars under Chinese vendor headers with numbers as text, some unusable."""
+    k = F.floor(F.datediff("trade_date", F.lit("1992-01-06").cast("date")) / 7)
+    text = lambda c: (F.floor(F.col(c) * 1000.0) / 1000.0).cast("string")
+    raw = daily_bars(spark, d).select(F.date_format("trade_date", "yyyy-MM-dd").alias("日期"), text("open").alias("开盘价"), text("high").alias("最高"), F.when(k % 7 == 0, "--").otherwise(text("low")).alias("最低价"),
+                                      text("close").alias("收盘"), F.col("volume").cast("string").alias("成交量"))
+    return files.normalize_bar_columns(raw).groupBy("date").agg(F.count("low").alias("n_low"), F.round(F.max("high"), 3).alias("high"), F.round(F.min("high_low"), 3).alias("high_low"), F.sum("volume").cast("bigint").alias("volume"))
+
+
 QUERIES = {
+    "src_10_event_tables": _event_tables,
+    "src_12_vendor_bars": _vendor_bars,
+    "snk_02_event_sheet": _event_sheet,
     "snk_01_screen_set": _screen_set,
     "snk_04_study_set": _study_set,
     "snk_06_keyed_cache": _cached_frames,
@@ -228,6 +264,10 @@ mine as (select * from raw where not bad_code and commodity in ('AX', 'BX', 'CX'
 
 HEX4 = " || '|' || ".join(f"cast(sum(cast(('0x' || substr(h, {1 + 15 * k}, 15)) as bigint)) as varchar)" for k in range(4))
 ORACLE = {
+    "src_10_event_tables": "with " + EVENT_ROWS_SQL + """ select trade_date as batch_date, trade_date, commodity, contract, event_id, trigger_reasons, event_direction, case when cast(trade_date as int) % 2 = 1 then recovery_label end as recovery_label from er""",
+    "src_12_vendor_bars": "with " + BARS_SQL + f""", r as (select *, {CUT('high')} as h, case when (date_diff('day', date '1992-01-06', trade_date) // 7) % 7 <> 0 then {CUT('low')} end as l from bars)
+   select strftime(trade_date, '%Y-%m-%d') as date, count(l) as n_low, round(max(h), 3) as high, round(min(h - l), 3) as high_low, cast(sum(volume) as bigint) as volume from r group by 1""",
+    "snk_02_event_sheet": "with " + EVENT_ROWS_SQL + " select event_id, trigger_reasons as reasons, round(event_depth_ticks, 6) as depth, 52 as n_columns from er",
     "snk_01_screen_set": SCORE + """ select detail_id, 'suspicious_dates' as "table", round(cast(candidate_score as double), 6) as value from suspects
    union all select detail_id, 'invalid_samples', null from samples where sample_status <> 'valid'
    union all select commodity, 'commodity_summary', cast(count(*) as double) from suspects group by 1

@@ -35,3 +35,13 @@ BAR_ALIASES = {
     "date": ("date", "日期", "trade_date", "time"), "open": ("open", "开盘", "开盘价"), "high": ("high", "最高", "最高价"),
     "low": ("low", "最低", "最低价"), "close": ("close", "收盘", "收盘价"), "volume": ("volume", "vol", "成交量"),
 }
+
+# Columns that each use of an event table asks for.
+EVENT_REQUIRED = {
+    "any": ("交易日", "品种", "合约"),
+    "replay": ("交易日", "品种", "合约", "事件锚点结束序号"),
+    "shapes": ("品种", "合约", "交易日", "事件编号", "突发偏离_跳", "事件确认深度_跳", "事件确认深度_基点", "确认深度来源", "回归标签", "可见末笔恢复确认秒数", "区间均价恢复确认秒数", "买一恢复确认秒数",
+               "有效参考合约数", "合理价不确定性_跳", "数据质量标记", "日线边界判定", "日线边界规则或数据版本", "日线边界清单SHA256", "源事件CSV SHA256"),
+}
+# Columns that bind a table to its boundary list; the last two are SHA-256 digests.
+EVENT_BINDING = ("日线边界规则或数据版本", "日线边界清单SHA256", "源事件CSV SHA256")

@@ -1,14 +1,15 @@
 """Readers for daily bar trees, snapshot CSV folders and archives, event tables; source discovery and choice."""
 from __future__ import annotations
 
+import csv
 from datetime import datetime, timedelta
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.codes import CONTINUOUS_WORDS, base_name, file_contract_info, normalize_contract
-from ..schemas import BAR_ALIASES, DAILY_FILE, EVENT_HEADERS, SNAPSHOT_FILE
-from ..session import materialize
+from ..schemas import BAR_ALIASES, DAILY_FILE, EVENT_BINDING, EVENT_HEADERS, EVENT_REQUIRED, SNAPSHOT_FILE
+from ..session import dimension, materialize
 from . import archives
 
 COLUMNS = archives.COLUMNS
@@ -172,29 +173,51 @@ def matches(instrument: Column, commodities: list[str] | None = None, contracts:
 
 # ---- event tables and legacy bars ------------------------------------------------------------------------
 
-def read_event_tables(spark: SparkSession, path: str) -> DataFrame:
+def _headers(batches):
+    for batch in batches:
+        for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            first = next(archives.blocks(archives.Source(path, size=length)), b"").split(b"\n", 1)[0]
+            names = next(csv.reader([first.decode("utf-8-sig").rstrip("\r")]), [])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([[n.strip() for n in names]], pa.list_(pa.string()))], names=["file", "names"])
+
+
+def read_event_tables(spark: SparkSession, path: str, use: str = "any") -> DataFrame:
     """Event CSVs of one or many day folders with English column names and the batch date of their folder.
 
-    Files may have different columns: those with one header are read together, and all are united by name.
+    Files may have different columns in any order: the first line of each names them, and all are united by name. A
+    file that lacks a column which ``use`` asks for (EVENT_REQUIRED) fails the job. The driver sees the distinct headers only.
     """
-    required = ("交易日", "品种", "合约")
-    line = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
-    names = F.transform(F.split(line, ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
-    headers = spark.read.text(path).where(F.arrays_overlap(names, F.array(*[F.lit(c) for c in required]))).select(names.alias("names"), F.col("_metadata.file_path").alias("file"))
-    groups = headers.groupBy("names").agg(F.collect_set("file").alias("files")).orderBy("names").collect()
-    english = {header: name for name, header in EVENT_HEADERS.items()}
-    batch = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{8})[^/]*/", 1)
-    tables = []
-    for group in groups:
-        missing = set(required) - set(group.names)
+    found = archives.listing(spark, path, "*.csv").mapInArrow(_headers, "file string, names array<string>")
+    headers = materialize(found.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")))
+    distinct = sorted(tuple(r.names) for r in headers.select("names").distinct().collect())
+    if not distinct:
+        raise ValueError(f"no event tables below {path}")
+    for names in distinct:
+        missing = set(EVENT_REQUIRED[use]) - set(names)
         if missing:
-            raise ValueError(f"missing columns: {sorted(missing)} in {group.files[0]}")
-        schema = ", ".join(f"`{c}` string" for c in group.names)
-        df = spark.read.schema(schema).option("header", "true").csv(group.files)
-        tables.append(df.select(*[F.col(f"`{c}`").alias(english.get(c, c)) for c in group.names], batch.alias("batch_date")))
-    if not tables:
-        raise ValueError(f"missing columns: {sorted(required)}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+            where = headers.where(F.col("names") == F.array(*[F.lit(n) for n in names])).agg(F.min("file")).first()[0]
+            raise ValueError(f"missing columns: {sorted(missing)} in {where}")
+    wide = max(len(n) for n in distinct)
+    cells = [f"_c{i}" for i in range(wide)]
+    rows = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("header", "true").option("enforceSchema", "true").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").csv(path)
+    place = F.col("_metadata.file_path")
+    rows = rows.select(F.array(*cells).alias("cells"), F.regexp_replace(place, "^file:/+", "file:/").alias("file"), F.regexp_extract(place, r"/(\d{8})[^/]*/", 1).alias("batch_date"))
+    joined = rows.join(dimension(headers), "file")
+    english = {header: name for name, header in EVENT_HEADERS.items()}
+    columns = list(dict.fromkeys(n for names in distinct for n in names))
+    value = lambda n: F.get("cells", (F.array_position("names", F.lit(n)) - 1).cast("int"))
+    return joined.select(*[F.when(F.array_contains("names", n), value(n)).alias(english.get(n, n)) for n in columns], "batch_date")
+
+
+def binding_violations(events: DataFrame) -> DataFrame:
+    """column, problem of the columns that bind a table to its boundary list: empty cells, no SHA-256, more than one value."""
+    checks = []
+    for i, name in enumerate(EVENT_BINDING):
+        v = F.trim(F.col(f"`{name}`"))
+        bad = F.when(F.count_if(F.coalesce(v == "", F.lit(True))) > 0, "empty")
+        bad = bad.when(F.count_if(~v.rlike("^[0-9a-fA-F]{64}$")) > 0, "not_sha256") if i else bad
+        checks.append(F.struct(F.lit(name).alias("column"), bad.when(F.count_distinct(v) > 1, "not_one_value").alias("problem")))
+    return events.agg(F.array(*checks).alias("c")).select(F.explode("c").alias("c")).select("c.*").where("problem is not null")
 
 
 def normalize_bar_columns(df: DataFrame) -> DataFrame:
