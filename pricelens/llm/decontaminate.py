@@ -1,11 +1,12 @@
 """Benchmark decontamination with SimHash windows of the items' sizes and a multi-index Hamming search.
 
-Words are lower-cased runs of letters and digits. A window has the size of a benchmark item and stands where one of the
-item's five-word shingles would put the item's start, or so far beside it that no more than a fifth of the item's
-weight falls out: no other window can reach the similarity, which needs common shingles. A window's 64-bit SimHash falls into four blocks of 16 bits. Two fingerprints within RADIUS = 15 bits agree
+Words are lower-cased runs of letters and digits; shingles weigh as much as they have letters, and the weight of the common
+ones over that of all must reach 0.8. A window has the size of a benchmark item. Every window of a document gets a
+fingerprint in which the item's shingles, in whatever order they stand, weigh 0.8 of the item: no other window can reach
+the similarity. A window's 64-bit SimHash falls into four blocks of 16 bits. Two fingerprints within RADIUS = 15 bits agree
 in one block up to three bits, so the items' blocks are indexed with up to three bits turned, and a look-up of the
-window's four blocks finds every item in the radius. Pairs within it are compared exactly: shingles weigh as much as
-they have letters, and the weight of the common ones over that of all must reach 0.8.
+window's four blocks finds every item in the radius. Pairs within it are compared exactly. A pair at a similarity of just
+0.8 lies within the radius in about 97 cases of a hundred; a document has several windows at every leak.
 """
 from __future__ import annotations
 
@@ -74,20 +75,29 @@ def block_index(items: DataFrame) -> DataFrame:
     return spread.select("block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "item_key")
 
 
-def _anchors(items: DataFrame, size: int) -> DataFrame:
-    """Shingles of the items at each offset, with the shifts of a window to either side (late, early) that lose no more
-    than a fifth of the item's weight; a shingle that stands twice in the item costs nothing."""
-    def piece(w, at):
-        letters = reduce(lambda a, b: a + b, [F.length(F.get(w, at + k)) for k in range(size)])
-        return F.struct(_gram(w, at, size).alias("gram"), letters.alias("weight"))
+def _anchors(items: DataFrame) -> DataFrame:
+    """item_key, len, gram, weight, least: the items' distinct shingles, and the common weight that a window must have."""
+    least = SIMILARITY * F.aggregate("grams", F.lit(0), lambda s, g: s + g["weight"]) - 1e-9
+    return items.select("item_key", "len", least.alias("least"), F.explode("grams").alias("g")).select("item_key", "len", "least", F.col("g.code").alias("gram"), "g.weight")
+
 
-    own = items.select("item_key", "len", F.posexplode(F.transform(_starts(F.col("w"), size), lambda at: piece(F.col("w"), at))).alias("offset", "x")).select("item_key", "len", "offset", "x.gram", "x.weight")
-    item = Window.partitionBy("item_key")
-    own = own.withColumn("once", F.when(F.count(F.lit(1)).over(Window.partitionBy("item_key", "gram")) == 1, F.col("weight")).otherwise(F.lit(0)))
-    spare = (1 - SIMILARITY) * F.sum("weight").over(item) + 1e-9
-    for name, order in (("late", F.col("offset")), ("early", F.col("offset").desc())):
-        own = own.withColumn(name, (F.sum("once").over(item.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) <= spare).cast("int"))
-    return own.select("item_key", "len", F.sum("late").over(item).cast("int").alias("late"), F.sum("early").over(item).cast("int").alias("early"), "offset", "gram")
+def _spots(hits: DataFrame) -> DataFrame:
+    """row_key, len, start of every window in which hits on one item weigh enough; hits: row_key, pos, gram and its item.
+
+    Rows of which all hits on an item together weigh too little go first. A hit is in the windows that start at most an
+    item's length before it: its weight comes at the first of these starts and goes after the last, and the running
+    sum along the starts is every window's weight.
+    """
+    pair = ["row_key", "item_key"]
+    enough = hits.groupBy(*pair, "gram").agg(F.max("weight").alias("weight"), F.max("least").alias("least")).groupBy(*pair).agg(F.sum("weight").alias("all_"), F.max("least").alias("least"))
+    hits = hits.join(enough.where(F.col("all_") >= F.col("least")).select(*pair), pair)
+    last = F.col("len") - F.least(F.col("len"), F.lit(SHINGLE))
+    turns = F.array(F.struct(F.greatest(F.col("pos") - last, F.lit(0)).alias("start"), F.col("weight")), F.struct((F.col("pos") + 1).alias("start"), (-F.col("weight")).alias("weight")))
+    steps = hits.select(*pair, "len", "least", F.explode(turns).alias("t")).groupBy(*pair, "len", "least", "t.start").agg(F.sum("t.weight").alias("step"))
+    along = Window.partitionBy(*pair).orderBy("start")
+    heavy = steps.select("row_key", "len", "least", "start", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("weight"), F.lead("start").over(along).alias("next_"))
+    heavy = heavy.where(F.col("weight") >= F.col("least"))
+    return heavy.select("row_key", "len", F.explode(F.sequence(F.col("start"), F.col("next_") - 1)).alias("start")).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -101,29 +111,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     items = items.select("item_id", F.size("w").alias("len"), "w", F.xxhash64("item_id", "w").alias("item_key")).dropDuplicates(["item_key"])
     items = written(items.withColumn("grams", shingles(F.col("w"))).withColumn("code", simhash(F.col("grams"))))
     sizes = [r[0] for r in items.select(F.least("len", F.lit(SHINGLE)).alias("n")).distinct().orderBy("n").collect()]
-    anchors = [_anchors(items.where(F.least("len", F.lit(SHINGLE)) == n), n) for n in sizes]
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"))
-    if not anchors:
+    if not sizes:
         return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("double").alias("similarity"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("int").alias("start_word"))
-    anchors = written(reduce(DataFrame.union, anchors))
+    anchors = written(_anchors(items))
     known = anchors.select("gram").distinct()
     split = rows.select("row_key", words(F.col("text")).alias("w"))
     grams = F.concat(*[F.transform(_starts(F.col("w"), n), lambda at: F.struct(at.alias("pos"), _gram(F.col("w"), at, n).alias("gram"))) for n in sizes])
     each = split.select("row_key", F.explode(grams).alias("x")).select("row_key", "x.pos", "x.gram")
     hits = each.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "gram")
-    aligned = hits.join(anchors, "gram").select("row_key", "len", "early", "late", (F.col("pos") - F.col("offset")).alias("start")).distinct()
-    shifted = F.explode(F.sequence(F.col("start") - F.col("early"), F.col("start") + F.col("late")))
-    spots = written(aligned.select("row_key", "len", shifted.alias("start")).where("start >= 0").distinct())
+    spots = written(_spots(written(hits.join(anchors, "gram"))))
     # The rows with hits grow with the corpus, so they are never broadcast: texts move once, at every size.
     texts = rows.join(spots.select("row_key").distinct().hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", words(F.col("text")).alias("w"))
     windows = spots.join(texts, "row_key").select("row_key", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("w"), "len")
     windows = windows.where(F.size("w") == F.col("len"))
-    windows = written(windows.withColumn("grams", shingles(F.col("w"))).withColumn("code", simhash(F.col("grams"))).select("row_key", "start", "len", "grams", "code"))
+    windows = windows.withColumn("grams", shingles(F.col("w"))).withColumn("code", simhash(F.col("grams")))  # two steps: shingles are made once
+    windows = written(windows.select("row_key", "start", "len", "w", "code"))
     probes = windows.select("code", F.explode(_keys(F.col("code"))).alias("x")).select("code", "x.block", "x.value").distinct()
     near = probes.join(block_index(items), ["block", "value"]).select(F.col("code").alias("window_code"), "item_key").distinct()
     targets = items.select("item_key", "item_id", F.col("len").alias("item_len"), F.col("grams").alias("item_grams"), F.col("code").alias("item_code"))
     near = near.join(targets, "item_key").where(F.bit_count(F.col("window_code").bitwiseXOR(F.col("item_code"))) <= RADIUS)
-    pairs = windows.join(near, (F.col("code") == F.col("window_code")) & (F.col("len") == F.col("item_len")))
+    pairs = windows.join(near, (F.col("code") == F.col("window_code")) & (F.col("len") == F.col("item_len"))).withColumn("grams", shingles(F.col("w")))
 
     def weight(x):
         return F.aggregate(x, F.lit(0), lambda s, g: s + g["weight"])

@@ -268,3 +268,37 @@ def test_pipeline(spark):
             assert all(not any(x in (t or "") for x in leaks) for _, t in after) and len(after) >= len(before) - sum(any(x in (t or "") for x in leaks) for t in before.values())
         docs = out
     assert docs.count() > 0
+
+
+def test_rearranged_and_edited_items_are_found(spark):
+    """Recall at each level of similarity against windows compared by brute force, rearranged items among them."""
+    pick = random.Random(21)
+    items = [(i, " ".join(f"q{pick.randint(0, 9000)}" for _ in range(pick.choice([40, 100])))) for i in range(40)]
+    docs, kinds = [], {}
+    for i in range(240):
+        w = items[i % 40][1].split()
+        cuts = sorted(pick.sample(range(1, len(w)), i % 3))
+        parts = [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)])]
+        w = [x for p in reversed(parts) for x in p]
+        for k in pick.sample(range(len(w)), (i // 40) % 3 * len(w) // 100):
+            w[k] = f"new{i}"
+        docs.append((i, " ".join([f"d{pick.randint(0, 9000)}" for _ in range(pick.randint(0, 60))] + w + [f"t{i}"])))
+        kinds[i] = len(parts)
+
+    def grams(w):
+        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+
+    weigh = lambda x: sum(len("".join(g)) for g in x)
+    best = {}
+    for i, text in docs:
+        w, x = text.split(), items[i % 40][1].split()
+        whole = grams(x)
+        scores = [weigh(g & whole) / weigh(g | whole) for g in (grams(w[k:k + len(x)]) for k in range(len(w) - len(x) + 1))]
+        best[i] = max(scores, default=0)
+    found = {r.doc_id for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() if r.contaminated}
+    assert all(best[i] >= 0.8 for i in found)
+    for low, high in ((0.8, 0.87), (0.87, 0.95), (0.95, 1.01)):
+        level = [i for i in best if low <= best[i] < high]
+        assert len(level) >= 10 and len(found & set(level)) >= 0.9 * len(level), (low, len(level))
+    turned = [i for i in best if kinds[i] > 1 and best[i] >= 0.85]
+    assert len(turned) >= 15 and len(found & set(turned)) >= 0.97 * len(turned)
