@@ -97,7 +97,18 @@ def _band_columns(spark, d):
 OUT_COLS = ["order_fair_price", "entry_price", "hedge_entry_price", "target_exit_price", "hedge_exit_price", "unhedged_mae_bps", "net_pnl", "hedged_worst_mark_pnl", "gross_margin"]
 TKEY = ["trade_date", "contract", "event_anchor_key", "order_age_seconds", "entry_distance_bps", "hedge_delay_seconds", "exit_delay_seconds"]
 
+def _reference_rows(spark, d):
+    """Each contract's references are the next two in the alphabet, the first of them its hedge."""
+    names = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
+    pairs = [(names[i], names[(i + k) % 5], True, k == 1) for i in range(5) for k in (1, 2)]
+    references = spark.createDataFrame(pairs, "contract string, reference string, is_fair_reference boolean, is_hedge boolean")
+    quotes = order_log(spark, d).groupBy("trade_date", "contract", "market_time_key").agg(F.max("order_seq").cast("double").alias("LastPrice"), F.lit(0.0).alias("BidPrice1"), F.lit(0.0).alias("AskPrice1"))
+    trades = trade_log(spark, d).withColumn("hedge_key", F.col("entry_key") + 60_000)
+    return G.reference_context(trades, quotes, references, 600_000).select("trade_id", "reference", "roles", "market_time_key", "LastPrice", "phases")
+
+
 QUERIES = {
+    "joi_27_reference_context": _reference_rows,
     "joi_19_scenarios": lambda s, d: W.scenarios(TR._chain(s, d)[2].filter("event_direction = 'down'").select("trade_date", "contract", "event_anchor_key"), CFG),
     "joi_20_grid_scenarios": lambda s, d: G.scenario_grid(TR.raw_rows(s, d).select("trade_date", "contract").distinct(), SHAPES, LATENCIES),
     "joi_07_placement_fair": lambda s, d: (lambda f, m, ev: W.placement_fairs(ev.filter("event_direction = 'down'"), f, CFG, TR.CFG).select(
@@ -179,6 +190,13 @@ std as (select 'overall' as scope, 'ALL' as day, * from td union all select 'day
 pk as (select scope, day, max(n) as peak from (select scope, day, count(*) over (partition by scope, day order by k range between 60000 preceding and current row) as n from sol where event in ('submit', 'cancel_requested')) group by 1, 2)"""
 
 ORACLE = {
+    "joi_27_reference_context": LOGS + """, nm as (select unnest(['CLICK', 'ERROR', 'PURCHASE', 'SIGNUP', 'VIEW']) as contract, unnest(['ERROR', 'PURCHASE', 'SIGNUP', 'VIEW', 'CLICK']) as r1, unnest(['PURCHASE', 'SIGNUP', 'VIEW', 'CLICK', 'ERROR']) as r2),
+   rf as (select contract, r1 as reference, 'fair_reference+hedge' as roles from nm union all select contract, r2, 'fair_reference' from nm),
+   qt as (select trade_date, contract, k, cast(max(order_seq) as double) as lp from ol group by 1, 2, 3),
+   x as (select td.trade_id, rf.reference, roles, qt.k, lp, entry_key, entry_key + 60000 as hedge_key, entry_key + 14400000 as exit_key from td join rf on td.contract = rf.contract
+      join qt on qt.trade_date = td.trade_date and qt.contract = rf.reference and qt.k between entry_key - 600000 and entry_key + 14400000 + 600000),
+   y as (select *, max(k) filter (where k <= entry_key) over w as a, max(k) filter (where k <= hedge_key) over w as b, max(k) filter (where k <= exit_key) over w as c from x window w as (partition by trade_id, reference))
+   select trade_id, reference, roles, k as market_time_key, lp as "LastPrice", concat_ws('+', case when k = a then 'entry' end, case when k = b then 'hedge' end, case when k = c then 'exit' end) as phases from y""",
     "joi_19_scenarios": ORD + " select trade_date, contract, ak as event_anchor_key, age as order_age_seconds, dist as entry_distance_bps, hd as hedge_delay_seconds, xd as exit_delay_seconds from dn, (select unnest([5.0::double, 20.0::double]) as age), (select unnest([10.0::double, 25.0::double]) as dist), sc",
     "joi_20_grid_scenarios": "with " + SNAPSHOTS_SQL + """, q as (select * from (values (1, 0.4::double, 0.6::double, 0.2::double), (2, 0.8::double, 1.2::double, 0.4::double)) t(q, w, dd, s)), l as (select * from (values (1, 500, 500), (2, 1000, 750)) t(l, c, n))
    select 'Q0' || q || '-L0' || l as scenario_id, w as "W_pct", dd as "D_pct", s as "S_pct", c as cancel_ack_latency_ms, n as new_order_ack_latency_ms, trade_date, contract from q, l, (select distinct trade_day as trade_date, contract from snap)""",
