@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 SAMPLE = ["daily_structure_summary", "rul_07_candidate_level", "win_20_event_clusters", "agg_06_fair_price", "rul_11_candidate_trigger",
           "agg_20_parameter_shapes", "rul_16_legacy_flags", "win_28_peak_actions", "agg_27_amplitude_excess", "agg_28_contract_gap", "agg_15_range_days",
           "agg_22_replay_summary", "rul_18_research_shapes", "src_03_archive_rows", "src_07_encodings", "fun_08_result_digest", "snk_06_keyed_cache",
-          "joi_07_placement_fair", "str_02_window_counters", "str_03_incremental_deltas"]
+          "str_03_incremental_deltas"]
 NAMES = sorted(all_oracles()) if os.environ.get("PRICELENS_ALL") else SAMPLE
 
 
