@@ -99,7 +99,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             held.append(_counted(part))
-            if sum(t.num_rows for t in held) > 2 * HELD:
+            if sum(t.num_rows for t in held) > 2 * HELD or sum(t.nbytes for t in held) > 2 * HELD_BYTES:
                 held = [_combined(held)]
                 if held[0].num_rows > HELD or held[0].nbytes > HELD_BYTES:
                     yield from _rows(held.pop())
