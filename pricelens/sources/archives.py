@@ -1,8 +1,8 @@
 """Files and members of ZIP archives as byte ranges: listed, digested, probed and read by tasks, never extracted.
 
 A source is a plain file or one member of an archive. The central directory at an archive's end (or the ZIP64 one that it
-points to) tells where members lie, so each member is its own unit of work: a month archive is read by as many tasks as it
-has members. A task holds a few blocks of one source at a time.
+points to) tells where members lie, so members are read apart from their archive: a large one by a task of its own, small
+ones some megabytes to a task, so that tasks grow with bytes. A task holds a few blocks of one source at a time.
 
 Files are opened through ``pyarrow.fs``; paths without a scheme are local ones or those of a shared mount.
 """
@@ -49,6 +49,32 @@ class Source(InputPartition):
     status: str = OK
 
 
+@dataclass(frozen=True)
+class Sources(InputPartition):
+    items: tuple[Source, ...]
+
+
+#: Bytes of sources that make a task, tasks that a small input is dealt over, and what opening one source weighs.
+TASK_BYTES, LEAST_TASKS, OPENING = 32 << 20, 64, 64 << 10
+
+
+def task_bytes(total: int) -> int:
+    return max(1, min(TASK_BYTES, total // LEAST_TASKS))
+
+
+def grouped(listed: list[Source]) -> list[Sources]:
+    """The sources in their order, as many to a group as their bytes allow."""
+    weight = lambda s: (s.size or 0) + OPENING
+    limit, groups, held = task_bytes(sum(map(weight, listed))), [[]], 0
+    for s in listed:
+        if groups[-1] and held + weight(s) > limit:
+            groups.append([])
+            held = 0
+        groups[-1].append(s)
+        held += weight(s)
+    return [Sources(tuple(g)) for g in groups if g]
+
+
 def uri(path: str) -> str:
     """A path as Spark prints it (file:/x, /x, scheme://x) in the form that pyarrow takes."""
     if path.startswith("file:") and not path.startswith("file://"):
@@ -209,7 +235,7 @@ class _MemberReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.date = options["path"], options.get("trade_date")
 
-    def partitions(self) -> list[Source]:
+    def partitions(self) -> list[Sources]:
         store, name = fs.FileSystem.from_uri(uri(self.path).replace(" ", "%20"))
         scheme = uri(self.path)[:-len(name)] if uri(self.path).endswith(name) else ""
         info = store.get_file_info(name)
@@ -217,14 +243,15 @@ class _MemberReader(DataSourceReader):
         archives = sorted(scheme + f.path for f in found if f.is_file and f.path.lower().endswith(".zip"))
         with ThreadPoolExecutor(16) as pool:  # a few kilobytes of each archive
             listed = [s for some in pool.map(_named, archives) for s in some]
-        return sorted((s for s in listed if not self.date or s.member is None or s.member.lower().endswith(f"_{self.date}.csv")), key=lambda s: (s.path, s.member or ""))
+        return grouped(sorted((s for s in listed if not self.date or s.member is None or s.member.lower().endswith(f"_{self.date}.csv")), key=lambda s: (s.path, s.member or "")))
 
-    def read(self, partition: Source) -> Iterator[pa.RecordBatch]:
-        return csv_rows(partition) if isinstance(partition, Source) else iter(())
+    def read(self, partition: Sources) -> Iterator[pa.RecordBatch]:
+        for source in partition.items if isinstance(partition, Sources) else ():
+            yield from csv_rows(source)
 
 
 class ZipMembers(DataSource):
-    """``spark.read.format("zip_members").load(path)``: a partition for each CSV member of the archive, or of those in a folder."""
+    """``spark.read.format("zip_members").load(path)``: partitions of the CSV members of the archive, or of those in a folder."""
 
     @classmethod
     def name(cls) -> str:
@@ -238,7 +265,7 @@ class ZipMembers(DataSource):
 
 
 def read_archives(spark: SparkSession, path: str, trade_date: str | None = None) -> DataFrame:
-    """Text rows of all CSV members (of those named ``_{trade_date}.csv``), one task for each member."""
+    """Text rows of all CSV members (of those named ``_{trade_date}.csv``), members dealt to tasks by their bytes."""
     spark.dataSource.register(ZipMembers)
     reader = spark.read.format("zip_members")
     return (reader.option("trade_date", trade_date) if trade_date else reader).load(path)
@@ -274,8 +301,9 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Source]:
 
 
 def spread(listed: DataFrame) -> DataFrame:
-    """One task for each source up to a bound, so that a few large ones do not share one."""
-    return listed.repartition(max(1, min(listed.count(), 20_000)))
+    """Sources dealt over tasks by their number and bytes: no more tasks than sources, and a few large ones do not share one."""
+    n, total = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce("size", F.lit(0)) + OPENING), F.lit(0))).first()
+    return listed.repartition(max(1, min(n, total // task_bytes(total), 20_000)))
 
 
 def probe(listed: DataFrame) -> DataFrame:
@@ -345,7 +373,8 @@ def _written(root: str):
             store.move(aside, f"{base}/{path}")  # a task that is lost and repeated leaves whole files only
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # one text at a time: a batch may hold thousands
+                row = {name: column[at].as_py() for name, column in zip(batch.schema.names, batch.columns)}
                 if row["path"] != path:
                     if path is not None:
                         finish()

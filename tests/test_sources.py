@@ -141,3 +141,12 @@ def test_numbers_that_json_has_not(spark):
     df = spark.createDataFrame([(1, nan, [1.0, nan], (float("inf"), "s"), {"k": nan}), (2, None, None, None, None)], "i int, x double, a array<double>, r struct<y: double, z: string>, m map<string, double>")
     got = [r.j for r in df.select(F.to_json(F.struct(*[daily.finite(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]), {"ignoreNullFields": "false"}).alias("j")).collect()]
     assert got == ['{"i":1,"x":null,"a":[1.0,null],"r":{"y":null,"z":"s"},"m":{"k":null}}', '{"i":2,"x":null,"a":null,"r":null,"m":null}']
+
+
+def test_small_members_share_tasks_and_large_ones_do_not():
+    small = [archives.Source("a.zip", f"m{i:05}", 0, 10, 6_000) for i in range(36_000)]
+    big = archives.Source("b.zip", "big", 0, 10, 1 << 30)
+    groups = archives.grouped([*small, big, *small])
+    assert [s for g in groups for s in g.items] == [*small, big, *small]
+    assert len(groups) < 250 and [len(g.items) for g in groups if big in g.items] == [1]
+    assert len(archives.grouped(small[:7])) == 7 and archives.grouped([]) == []
