@@ -38,15 +38,15 @@ def collapse(raw: DataFrame) -> DataFrame:
     previous frame is made later, at frame level, so no raw-level ordering of a whole contract-day is needed.
     """
     cell = Window.partitionBy(*K, "market_time_key").orderBy("snapshot_seq")
-    rows = raw.withColumn("_drop", F.coalesce(F.col("Turnover") < F.lag("Turnover").over(cell), F.lit(False)))
+    upto = cell.rowsBetween(Window.unboundedPreceding, 0)
     payload = [c for c in raw.columns if c not in (*K, "market_time_key", "snapshot_seq")]
-    return rows.groupBy(*K, "market_time_key").agg(
-        F.max_by(F.struct(*payload), "snapshot_seq").alias("_last"),
-        F.min("snapshot_seq").alias("snapshot_seq_start"), F.max("snapshot_seq").alias("snapshot_seq_end"),
-        F.min_by("Turnover", "snapshot_seq").alias("first_turnover"), F.bool_or("_drop").alias("drop_inside"),
-        F.count(F.lit(1)).alias("raw_rows"),
-    ).select(*K, "market_time_key", "snapshot_seq_start", "snapshot_seq_end", "first_turnover", "drop_inside",
-             "raw_rows", "_last.*")
+    rows = raw.withColumns({"_drop": F.coalesce(F.col("Turnover") < F.lag("Turnover").over(cell), F.lit(False)), "_last": F.lead(F.lit(1)).over(cell).isNull()})
+    # The last row has seen its whole cell, so one sort serves the order and the totals.
+    return rows.withColumns({
+        "snapshot_seq_start": F.min("snapshot_seq").over(upto), "first_turnover": F.first("Turnover").over(upto),
+        "drop_inside": F.bool_or("_drop").over(upto), "raw_rows": F.count(F.lit(1)).over(upto),
+    }).filter("_last").select(*K, "market_time_key", "snapshot_seq_start", F.col("snapshot_seq").alias("snapshot_seq_end"), "first_turnover",
+                              "drop_inside", "raw_rows", *payload)
 
 
 def prepare(raw: DataFrame, profiles: DataFrame, cfg: TickConfig = TickConfig(), bounds: DataFrame | None = None,
@@ -66,6 +66,7 @@ def prepare(raw: DataFrame, profiles: DataFrame, cfg: TickConfig = TickConfig(),
         "display_time": display_time(c("UpdateTime"), c("UpdateMillisec")),
         "mid_price": mid_price(c("BidPrice1"), c("AskPrice1")),
     })
+    collapsed = f
     f = f.withColumn(CHUNK, chunk_of("market_time_key", width or cfg.chunk_ms))
     f = ordered_state(f, K, ["market_time_key"], CHUNK, previous={
         "_pk": c("market_time_key"), "_pv": c("Volume"), "_pt": c("Turnover"), "_ps": c("is_tradable_session"),
@@ -93,7 +94,7 @@ def prepare(raw: DataFrame, profiles: DataFrame, cfg: TickConfig = TickConfig(),
                       c("delta_turnover") / c("delta_volume") / c("contract_multiplier"))
     f = f.withColumn("_vwap", raw_vwap)
     if bounds is not None:
-        f = _with_daily_band(f, bounds, cfg)
+        f = _with_daily_band(f, collapsed, bounds, cfg)
     else:
         f = f.withColumns({"_band_low": F.lit(None).cast("double"), "_band_high": F.lit(None).cast("double")})
     limits_set = (c("UpperLimitPrice") > 0) & (c("LowerLimitPrice") > 0)
@@ -108,12 +109,12 @@ def prepare(raw: DataFrame, profiles: DataFrame, cfg: TickConfig = TickConfig(),
     return f.drop("_pk", "_pv", "_pt", "_ps", "_dv", "_dt", "_vwap", "_band_low", "_band_high", "first_turnover", "drop_inside")
 
 
-def _with_daily_band(f: DataFrame, bounds: DataFrame, cfg: TickConfig) -> DataFrame:
-    """Daily price band where the limit midpoint agrees with the previous settlement."""
+def _with_daily_band(f: DataFrame, collapsed: DataFrame, bounds: DataFrame, cfg: TickConfig) -> DataFrame:
+    """Daily price band where the limit midpoint agrees with the previous settlement; limits come from the frames as collapsed."""
     c = F.col
     # Price limits are constants of a contract-day, so the distinct values behind these medians are few.
     both = (c("UpperLimitPrice") > 0) & (c("LowerLimitPrice") > 0)
-    centre = f.groupBy(*K).agg(
+    centre = collapsed.groupBy(*K).agg(
         F.percentile(F.when(both, c("UpperLimitPrice")), 0.5).alias("_u"),
         F.percentile(F.when(both, c("LowerLimitPrice")), 0.5).alias("_l"), F.max("tick_size").alias("_tick"),
     ).withColumn("_code", normalize_contract(c("contract")))

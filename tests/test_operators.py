@@ -84,3 +84,43 @@ def test_window_statistics():
     assert counts.tolist() == [0, 1, 2, 3, 3]
     assert med[3] == 2.0 and abs(sigma[3] - 1.4826) < 1e-12
     assert quantile_rows(values[idx], inside, 0.95)[1][2] == pytest.approx(np.quantile([1, 5], 0.95))
+
+
+def test_windows_of_several_contracts_share_a_block():
+    """Fair prices of all contracts in one call equal plain medians over each window, where spreads beyond a limit leave no pair."""
+    from pricelens.config import TickConfig
+    from pricelens.operators.baseline import align_peers, fair_prices
+    cfg, rng = TickConfig(min_pairs=3, min_pair_span_ms=1_000, baseline_ms=20_000, exclude_recent_ms=1_000), np.random.default_rng(5)
+    sizes, codes = [40, 55], ["a", "b"]
+    keys = np.concatenate([np.sort(rng.choice(60, n, replace=False)) * 1000 for n in sizes])
+    n = len(keys)
+    whole = {"market_time_key": keys, "quote_valid": rng.random(n) < 0.9, "mid_price": rng.normal(100, 1, n), "spread_ticks": np.where(rng.random(n) < 0.04, 50.0, rng.integers(1, 4, n))}
+    spans = {"a": (0, 40), "b": (40, 95)}
+    peers = align_peers(whole, spans, {"a": ["b", "gone"], "b": ["a"]}, cfg.reference_age_ms)
+    fair, basis, _ = fair_prices(keys + np.repeat([0, 1 << 40], sizes), whole["mid_price"], whole["spread_ticks"], whole["quote_valid"], peers, np.arange(n), cfg)
+    seen = 0
+    for code, other in (("a", "b"), ("b", "a")):
+        (lo, hi), (plo, phi) = spans[code], spans[other]
+        for i in range(lo, hi):
+            def latest(t):
+                at = [j for j in range(plo, phi) if keys[j] <= t]
+                return at[-1] if at and t - keys[at[-1]] <= cfg.reference_age_ms and whole["quote_valid"][at[-1]] else None
+            window = [j for j in range(lo, hi) if keys[i] - 20_000 <= keys[j] <= keys[i] - 1_000]
+            own = [whole["spread_ticks"][j] for j in window if whole["quote_valid"][j]]
+            theirs = [(j, latest(keys[j])) for j in window if latest(keys[j]) is not None]
+            want = np.nan
+            if len(own) >= 3 and len(theirs) >= 3 and latest(keys[i]) is not None:
+                limit, plimit = np.quantile(own, 0.95) + 1, np.quantile([whole["spread_ticks"][k] for _, k in theirs], 0.95) + 1
+                pairs = [(j, k) for j, k in theirs if whole["quote_valid"][j] and whole["spread_ticks"][j] <= limit and whole["spread_ticks"][k] <= plimit]
+                if whole["spread_ticks"][latest(keys[i])] <= plimit and len(pairs) >= 3 and keys[pairs[-1][1]] - keys[pairs[0][1]] >= 1_000:
+                    want = np.median([whole["mid_price"][j] - whole["mid_price"][k] for j, k in pairs])
+            assert np.isnan(basis[i, 0]) if np.isnan(want) else basis[i, 0] == pytest.approx(want)
+            seen += not np.isnan(want)
+    assert seen > 20 and np.isnan(basis[:, 1]).all()
+
+
+def test_frames_are_ordered_once(spark):
+    """The day's limits come from the collapsed frames, so the previous-row step stands once in the plan."""
+    from pricelens.registry.ticks import frames
+    plan = frames(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lag(_tail") == 1
