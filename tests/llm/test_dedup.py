@@ -162,3 +162,20 @@ def test_copies_without_their_source_meet_by_their_edits(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = sorted(map(tuple, ngram_join.jaccard_groups(df).collect()), key=repr)
     assert got == brute.jaccard_groups(docs)
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    """Components and written tables drop the shuffles of their jobs, so that many rounds do not fill the disk."""
+    import time
+    from pyspark.sql import functions as F
+    from pricelens.llm.common import written
+    from pricelens.llm.graph import components
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    before = files()
+    chain = spark.range(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert written(components(chain).groupBy("component").count()).collect() == [(0, 65)]
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.5)
+    assert not files() - before
