@@ -46,7 +46,8 @@ class DeltaState(StatefulProcessor):
     than the gap keeps nothing, for its next row starts a segment in any case.
     """
 
-    ROW = "ts_ms bigint, snapshot_seq bigint, volume bigint"
+    #: The rows that wait stand in one value, as 64-bit integers, beside the key's timer: one call reads or writes both.
+    WAITING = "timer bigint, rows binary"
 
     def __init__(self, gap_ms: int = 300_000):
         self.gap_ms = gap_ms
@@ -54,19 +55,20 @@ class DeltaState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "ts_ms bigint, volume bigint, segment_start bigint")
-        self.waiting = handle.getListState("waiting", self.ROW)
-
-    def _taken(self, key, rows: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
-        """Results of the rows up to the watermark; the others wait, and one timer is set for what comes next."""
-        rows = sorted(rows)
-        ready = next((i for i, r in enumerate(rows) if r[0] > watermark), len(rows))
-        if rows[ready:]:
-            self.waiting.put(rows[ready:])
-        elif self.waiting.exists():
-            self.waiting.clear()
+        self.waiting = handle.getValueState("waiting", self.WAITING)
+
+    def _held(self) -> tuple[int | None, np.ndarray]:
+        """The key's timer and its waiting rows: ts_ms, snapshot_seq, volume."""
+        timer, rows = self.waiting.get() or (None, b"")
+        return timer, np.frombuffer(bytes(rows), np.int64).reshape(-1, 3)
+
+    def _taken(self, key, rows: np.ndarray, watermark: int, timer: int | None) -> Iterator[pd.DataFrame]:
+        """Results of the rows up to the watermark; the others wait, and one timer is set for what comes next. ``timer`` is still set."""
+        rows = rows[np.lexsort(rows.T[::-1])]
+        ready = int(np.searchsorted(rows[:, 0], watermark, side="right"))
+        known = self.last.get()
         if ready:
-            at, seq, volume = (np.array(x, np.int64) for x in zip(*rows[:ready]))
-            known = self.last.get() if self.last.exists() else None
+            at, seq, volume = rows[:ready].T
             before_at, before_volume = np.r_[known[0] if known else at[0], at[:-1]], np.r_[known[1] if known else volume[0], volume[:-1]]
             fresh = (at - before_at > self.gap_ms) | (volume < before_volume)
             fresh[0] |= known is None
@@ -74,29 +76,32 @@ class DeltaState(StatefulProcessor):
             if known and not fresh[0]:
                 begins[0] = known[2]
             segment = np.maximum.accumulate(begins)
-            self.last.update((int(at[-1]), int(volume[-1]), int(segment[-1])))
-            inside = lambda x: pd.Series(x, dtype="Int64").mask(fresh)
+            known = (int(at[-1]), int(volume[-1]), int(segment[-1]))
+            self.last.update(known)
+            inside = lambda x: pd.arrays.IntegerArray(x, fresh.copy())
             yield pd.DataFrame({"contract": key[0], "snapshot_seq": seq, "delta_volume": inside(volume - before_volume), "gap_ms": inside(at - before_at), "segment_start": segment})
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if rows[ready:]:
-            self.handle.registerTimer(rows[-1][0])
-        elif self.last.exists():
-            self.handle.registerTimer(self.last.get()[0] + self.gap_ms + 1)
+        wanted = int(rows[-1, 0]) if len(rows) > ready else known[0] + self.gap_ms + 1
+        self.waiting.update((wanted, rows[ready:].tobytes()))
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wanted)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        for part in rows:
-            held += list(zip(*(part[c].astype("int64").tolist() for c in ("ts_ms", "snapshot_seq", "volume"))))
-        yield from self._taken(key, held, timerValues.getCurrentWatermarkInMs())
+        timer, held = self._held()
+        new = [np.stack([part[c].to_numpy(np.int64) for c in ("ts_ms", "snapshot_seq", "volume")], axis=1) for part in rows]
+        yield from self._taken(key, np.concatenate([held, *new]), timerValues.getCurrentWatermarkInMs(), timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        if held:
-            yield from self._taken(key, held, watermark)
-        elif self.last.exists() and self.last.get()[0] + self.gap_ms < watermark:
+        timer, held = self._held()
+        if len(held):
+            yield from self._taken(key, held, watermark, None)
+            return
+        known = self.last.get()
+        if known and known[0] + self.gap_ms < watermark:
             self.last.clear()
+            self.waiting.clear()
 
     def close(self) -> None:
         pass
