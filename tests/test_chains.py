@@ -120,3 +120,9 @@ def test_event_tables_of_different_headers_unite_by_name(spark, tmp_path):
     rows = sorted((r.batch_date, r.extra, *[v for c, v in sorted(r.asDict().items()) if c not in ("batch_date", "extra")]) for r in df.collect())
     assert [r[:2] for r in rows] == [("20250102", "x"), ("20250103", None)]
     assert {"a", "a01", "2025-01-02"} == set(rows[0][2:]) and {"b", "b01", "2025-01-03"} == set(rows[1][2:])
+
+
+def test_manifest_counts_events_without_their_paths(spark):
+    """Details are one row per event, so their number needs no interval join."""
+    from pricelens.registry.study import QUERIES
+    assert "Join" not in QUERIES["agg_11_manifest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
