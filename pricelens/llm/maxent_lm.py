@@ -30,6 +30,8 @@ KNOWN, CLASSES, ROWS = 2046, 64, 1 << 12
 ROUNDS, RATE, BATCH = 2, 0.3, 1024
 #: Times that a word must stand in a shard to be counted for the choice of the known words.
 SHARD_TIMES = 3
+#: Rows with another gradient in a batch from which on the rest are summed by runs.
+FEW = 32
 BLOCK = 1 << 14
 START = np.uint64(0x5851F42D4C957F2D)
 PASS_SCHEMA = "symbol int, times long, bucket int, payload binary"
@@ -135,32 +137,55 @@ def first_weights(vocab: Vocabulary) -> np.ndarray:
     return flat
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of z, which is overwritten, the exponentials over that of its largest, and their sum."""
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z, z.sum(axis=1, keepdims=True)
 
 
 def _layers(tables, rows, group):
-    """Class probabilities, and place probabilities within the given classes."""
-    z = tables["class_bias"] + tables["class"][rows[0]]
-    z += tables["class"][rows[1] + ROWS]
-    z += tables["class"][rows[2] + 2 * ROWS]
+    """Class probabilities, and place probabilities within the given classes; each as weights and their sum."""
+    z = tables["class"].take(rows[0], axis=0)
+    z += tables["class"].take(rows[1] + ROWS, axis=0)
+    z += tables["class"].take(rows[2] + 2 * ROWS, axis=0)
+    z += tables["class_bias"]
     many = np.flatnonzero(tables["word_bias"][group, 1] > -50) if tables["word_bias"].shape[1] > 1 else np.zeros(0, np.int64)
-    y = tables["word_bias"][group[many]]
+    y = tables["word_bias"].take(group[many], axis=0)
     for k in range(3):
-        y += tables["word"][rows[k, many] + k * ROWS]
-    return _softmax(z), many, _softmax(y)
+        y += tables["word"].take(rows[k, many] + k * ROWS, axis=0)
+    return _exp(z), many, _exp(y)
+
+
+def _row_sums(index: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in `index`, and of each the sum of its gradients; entry i has gradient i modulo their number.
+
+    The rows stand by how often they occur, so that those with another entry are always the first ones: they are added
+    place by place while they are many, the entries that the few frequent ones have left by runs.
+    """
+    order = np.argsort(index.astype(np.uint16) if 3 * ROWS <= 1 << 16 else index, kind="stable")
+    first = np.flatnonzero(np.diff(index[order], prepend=-1))
+    times = np.diff(first, append=len(index))
+    by = np.argsort(-times, kind="stable")
+    first, times = first[by], times[by]
+    entry = order % len(gradient)
+    total = gradient.take(entry[first], axis=0)
+    place, more = 1, int(np.count_nonzero(times > 1))
+    while more > FEW:
+        total[:more] += gradient.take(entry[first[:more] + place], axis=0)
+        place += 1
+        more = int(np.count_nonzero(times > place))
+    if more:
+        left = times[:more] - place
+        begin = np.cumsum(left) - left
+        at = np.repeat(first[:more] + place - begin, left) + np.arange(left.sum())
+        total[:more] += np.add.reduceat(gradient.take(entry[at], axis=0), begin, axis=0)
+    return index[order[first]], total
 
 
 def _step(table, seen, index, gradient):
-    """AdaGrad over the touched rows, one rate for each row: sums of the gradients of equal rows, by sorting."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    first = np.flatnonzero(np.diff(index, prepend=-1))
-    total = np.add.reduceat(gradient[order], first, axis=0)
-    touched = index[first]
+    """AdaGrad over the touched rows, one rate for each row: sums of the gradients of equal rows."""
+    touched, total = _row_sums(index, gradient)
     much = seen[touched] + np.einsum("ij,ij->i", total, total) / np.float32(total.shape[1])
     seen[touched] = much
     total *= (np.float32(RATE) / np.sqrt(much + np.float32(1)))[:, None]
@@ -182,13 +207,16 @@ def _updates(vocab: Vocabulary, weights):
                 total += len(symbol)
                 for a in range(0, len(symbol), BATCH):
                     some, mine, r = symbol[a:a + BATCH], group[a:a + BATCH], rows[:, a:a + BATCH]
-                    p, many, q = _layers(tables, r, mine)
+                    (p, p_sum), many, (q, q_sum) = _layers(tables, r, mine)
+                    p /= p_sum
+                    q /= q_sum
                     p[np.arange(len(some)), mine] -= 1
                     q[np.arange(len(many)), vocab.place[some[many]]] -= 1
-                    for k in range(3):
-                        _step(tables["class"], seen["class"], r[k] + k * ROWS, p)
-                        if len(many):
-                            _step(tables["word"], seen["word"], r[k, many] + k * ROWS, q)
+                    # The features have rows of their own, so one step takes all three.
+                    r = r + np.arange(3)[:, None] * ROWS
+                    _step(tables["class"], seen["class"], r.ravel(), p)
+                    if len(many):
+                        _step(tables["word"], seen["word"], r[:, many].ravel(), q)
         change = (flat - before) * np.float32(total)
         blocks = [change[a:a + BLOCK] for a in range(0, len(change), BLOCK)] if total else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()), pa.array([total] * len(blocks), pa.int64())], names=["block", "change", "tokens"])
@@ -299,9 +327,9 @@ def _scores(vocab: Vocabulary, weights):
                 each = np.zeros(len(symbol))
                 for a in range(0, len(symbol), BATCH):
                     some, mine = symbol[a:a + BATCH], group[a:a + BATCH]
-                    p, many, q = _layers(tables, rows[:, a:a + BATCH], mine)
-                    chance = p[np.arange(len(some)), mine].astype(np.float64)
-                    chance[many] *= q[np.arange(len(many)), vocab.place[some[many]]]
+                    (p, p_sum), many, (q, q_sum) = _layers(tables, rows[:, a:a + BATCH], mine)
+                    chance = (p[np.arange(len(some)), mine] / p_sum[:, 0]).astype(np.float64)
+                    chance[many] *= q[np.arange(len(many)), vocab.place[some[many]]] / q_sum[:, 0]
                     each[a:a + BATCH] = np.log10(np.maximum(chance, 1e-30))
                 n = len(bounds) - 1
                 sums = [np.bincount(doc, weights=w, minlength=n) for w in (symbol == vocab.rare, logs[symbol], counted[symbol], each)]

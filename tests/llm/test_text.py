@@ -9,6 +9,7 @@ from collections import Counter
 
 import brute
 import corpus_pipeline
+import numpy as np
 import pytest
 from messy_rows import CLASHING, ROWS
 from oracle import compare, connect
@@ -204,6 +205,18 @@ def test_language_model(spark, messy, nothing):
     assert maxent_lm.lm_scores(messy).count() == len(ROWS) and maxent_lm.lm_scores(nothing).count() == 0
 
 
+def test_gradients_of_equal_rows_are_summed():
+    """Often and seldom repeated rows, in three runs over the same gradients, and a batch of one."""
+    draw = np.random.default_rng(3)
+    for n, top in ((1024, 4096), (1024, 90), (700, 40), (1024, 3), (1, 5)):
+        index = (draw.zipf(1.3, (3, n)) % top + np.arange(3)[:, None] * maxent_lm.ROWS).ravel()
+        gradient = draw.normal(size=(n, 7)).astype(np.float32)
+        plain = np.zeros((3 * maxent_lm.ROWS, 7))
+        np.add.at(plain, index, np.tile(gradient, (3, 1)))
+        touched, total = maxent_lm._row_sums(index, gradient)
+        assert sorted(touched) == sorted(set(index)) and np.abs(total - plain[touched]).max() < 1e-3
+
+
 # Decontamination
 
 def test_contamination(spark, messy, nothing):
