@@ -25,6 +25,8 @@ SAMPLE = 10_000
 #: Words that tell most about the labels, and the least G^2 of a word that counts.
 FEATURES, LEAST_G2 = 4096, 30.0
 ROUNDS, RATE, SHRINK = 60, 0.2, 1e-5
+#: Bytes of text that are cut into words at once; the arrays over single bytes are many times as large.
+PIECE = 1 << 18
 #: Bytes of a stem, and of the shortest word that has one.
 STEM, LONG = 4, 6
 
@@ -83,7 +85,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PIECE):
             codes, doc, *_ = _words(part.column(0))
             toxic = np.asarray(part.column(1).to_numpy(zero_copy_only=False)) == 1
             order = np.lexsort((doc, codes))
@@ -98,7 +100,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _bags(known: np.ndarray):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 codes, doc, sentence, _, _, owner, offsets = _words(part.column(0))
                 docs = len(offsets) - 1
                 at, feature = _hits(codes, doc, sentence, known)
@@ -172,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 def _scored(model: Model):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 codes, doc, sentence, starts, ends, owner, offsets = _words(part.column(1))
                 at, feature = _hits(codes, doc, sentence, model.codes)
                 p = _sigmoid(model.bias + np.bincount(at, weights=model.weights[feature], minlength=len(owner)))
