@@ -179,3 +179,42 @@ def test_rounds_leave_no_shuffle_files(spark):
     while files() - before and time.time() < until:
         time.sleep(0.5)
     assert not files() - before
+
+
+def test_components_of_few_and_of_many_edges(spark, monkeypatch):
+    pick = random.Random(3)
+    edges = [(pick.randrange(300), pick.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(-5, 2000), (2000, -(1 << 62))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = sorted(map(tuple, graph.components(df).collect()))
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert few == sorted(map(tuple, graph.components(df).collect()))
+    assert {n: c for n, c in few}[1060] == 1000 and {n: c for n, c in few}[-5] == -(1 << 62)
+    none = graph.components(df.limit(0))
+    assert none.columns == ["node", "component"] and not none.collect()
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    chain = spark.range(64).selectExpr("id as a", "id + 1 as b")
+    spark.sparkContext.setJobGroup("chain", "")
+    graph.components(chain).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) <= 8
+
+
+def test_heads_are_dealt_by_the_bytes_of_the_texts(spark, monkeypatch):
+    """However few partitions the session has, a task holds the rare shingles of so many bytes only."""
+    docs, asked, first = _families(8, 30, 6), [], ngram_join._first_pass
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 4096, raising=False)
+    monkeypatch.setattr(ngram_join, "_first_pass", lambda buckets: asked.append(buckets) or first(buckets))
+    assert sorted(map(tuple, ngram_join.jaccard_groups(df).collect()), key=repr) == brute.jaccard_groups(docs)
+    assert asked == [-(-sum(len(t) for _, t in docs) // 4096)] and asked[0] > 4
+
+
+def test_hub_rounds_when_pairs_are_many(spark, monkeypatch):
+    docs = _families(9, 30, 25)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert sorted(map(tuple, ngram_join.jaccard_groups(df).collect()), key=repr) == brute.jaccard_groups(docs)
