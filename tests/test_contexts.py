@@ -5,6 +5,7 @@ from pricelens.operators.rangejoin import range_join
 from pricelens.plans import logs as G
 
 DAY = ["2024-01-01", "A"]
+DAY_KEYS = ["trade_date", "contract"]
 
 
 def plan(df):
@@ -53,3 +54,43 @@ def test_reference_context_orders_only_its_inputs(spark):
     assert {tuple(r) for r in out.select("trade_id", "market_time_key", "phases").collect()} == expected(spark, ["entry", "hedge", "exit"], 10_000)
     assert {r[0] for r in out.select("roles").collect()} == {"fair_reference+hedge"}
     assert "SortMergeJoin" in plan(out).split("Window", 1)[0]
+
+
+def test_frames_know_the_next_key(spark):
+    keys = [5, 5, 9, 3_599_999, 3_600_000, 3_600_000, 20_000_000, None]
+    rows = [("d", c, k, i) for c in ("A", "B") for i, k in enumerate(keys) if c == "A" or k != 9] + [("d", None, 7, 0)]
+    out = G.until_next(spark.createDataFrame(rows, "trade_date string, contract string, market_time_key long, n int"), DAY_KEYS)
+    got = sorted(((r.contract, r.market_time_key, r.n, r._next) for r in out.collect() if r.contract), key=repr)
+    after = lambda c, k: min((x[2] for x in rows if x[1] == c and x[2] is not None and x[2] > k), default=None)
+    assert got == sorted(((c, k, n, after(c, k)) for _, c, k, n in rows if c and k is not None), key=repr)
+
+
+def test_spans_are_shuffled_once_and_without_bounds(spark):
+    references = spark.createDataFrame([("A", "A", True, True)], "contract string, reference string, is_fair_reference boolean, is_hedge boolean")
+    for out, most in ((G.trade_context(trades(spark), frames(spark)), 5), (G.reference_context(trades(spark), frames(spark), references), 7)):
+        text = plan(out)
+        above = text.split("explode(sequence", 1)[0]
+        assert text.count("explode(") == 1 and text.count("Exchange hashpartitioning") <= most
+        assert "_span" not in text and "_from" not in above and "_until" not in above
+
+
+def test_equal_trades_count_once_and_frames_as_often_as_they_are(spark):
+    once = {tuple(r) for r in G.trade_context(trades(spark), frames(spark)).select("trade_id", "market_time_key", "phases").collect()}
+    twice = G.trade_context(trades(spark).union(trades(spark)), frames(spark).union(frames(spark))).select("trade_id", "market_time_key", "phases").collect()
+    assert sorted(map(tuple, twice)) == sorted([*once, *once])
+
+
+def test_trade_flow_has_both_kinds_on_one_line(spark):
+    events = spark.createDataFrame([(*DAY, k, "x") for k in (0, 900, 900, 30_000, 690_000)] + [(*DAY, None, "x")], "trade_date string, contract string, market_time_key long, event string")
+    states = events.withColumnRenamed("event", "to_state").filter("market_time_key >= 900")
+    got = sorted(map(tuple, G.trade_flow(trades(spark), events, states).select("trade_id", "market_time_key", "priority", "kind", "detail").collect()))
+    inside = {1: (0, 900, 900), 2: (0, 900, 900), 3: (690_000,)}
+    assert got == sorted((t, k, p, kind, "x") for t, ks in inside.items() for k in ks for p, kind in ((0, "transition"), (1, "order")) if p or k >= 900)
+
+
+def test_pairs_come_point_by_point(spark):
+    """Points repeat down the rows, so that a file of pairs takes little; the intervals are the side that is held."""
+    spans = spark.range(40).select(F.lit("A").alias("k"), F.col("id").alias("a"), (F.col("id") + 1000).alias("b"))
+    points = spark.range(50).select(F.lit("A").alias("k"), (F.col("id") + 100).alias("p"))
+    found = [r.p for r in range_join(spans, points, ["k"], "a", F.col("b") + 0, "p", tasks=1).collect()]
+    assert len(found) == 2000 and sum(x != y for x, y in zip(found, found[1:])) == 49
